@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+from segspark.llm.license_scan import op2_license_scan
 from segspark.llm.mixing import OP9_SQL, op9_mixing
 from segspark.llm.quality_rules import OP10_SQL, op10_quality_rules
+from segspark.llm.secret_scan import op7_secret_scan
+from segspark.llm.token_counts import op8_token_counts
+from segspark.llm.url_filter import OP1_SQL, op1_url_filter
+from segspark.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op6_warc": op6_warc,
+    "op2_license_scan": op2_license_scan,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op1_url_filter": OP1_SQL,
+    "op6_warc": OP6_SQL,
     "op9_mixing": OP9_SQL,
     "op10_quality_rules": OP10_SQL,
 }
