@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from segspark.llm.decontamination import op5_decontamination
 from segspark.llm.license_scan import op2_license_scan
 from segspark.llm.mixing import OP9_SQL, op9_mixing
+from segspark.llm.quality_mil import op3_quality_classifier
 from segspark.llm.quality_rules import OP10_SQL, op10_quality_rules
 from segspark.llm.secret_scan import op7_secret_scan
 from segspark.llm.token_counts import op8_token_counts
@@ -14,6 +16,8 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op6_warc": op6_warc,
     "op2_license_scan": op2_license_scan,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op5_decontamination": op5_decontamination,
     "op7_secret_scan": op7_secret_scan,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
