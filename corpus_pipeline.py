@@ -1,4 +1,66 @@
-"""placeholder"""
-STAGES = []
+"""The corpus pipeline: five operators in a row over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept.  All
+but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from segspark.llm._scratch import materialize
+from segspark.llm.decontamination import drop_contaminated
+from segspark.llm.mixing import emit_copies, mix_sources
+from segspark.llm.ngram_join import one_of_each
+from segspark.llm.quality_mil import classify, train
+from segspark.llm.secret_scan import redact_documents
+
+#: Near duplicates: words in a shingle, and the similarity in percent from which on.
+SHINGLE, SIMILAR = 5, 80
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from ``labels``, does not reject."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return classify(docs, model, keep_text=True).filter("predicted = 1").select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return one_of_each(docs, size=SHINGLE, percent=SIMILAR)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark``."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets redacted and ``n_chars`` counted anew."""
+    return redact_documents(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as it is drawn, numbered in ``copy``."""
+    return emit_copies(mix_sources(docs))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("secret scans", secret_scans),
+    ("mixing sources to target weights", mixing_sources),
+]
+
+#: A trained classifier and an edit-distance search are not SQL.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each is written and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

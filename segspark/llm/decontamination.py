@@ -168,6 +168,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_R
     return out
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` in which no item is found, with all their columns and unmoved."""
+    for rows in item_blocks(items, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            block = None
+            for batch in batches:
+                block = block or ItemBlock(*shared.value, error_rate)
+                keep = np.ones(batch.num_rows, bool)
+                for lo, _, data, offsets in text_slices(batch.column(batch.schema.get_field_index(text))):
+                    keep[[lo + t for t, *_ in block.search(Words(data, offsets, NON_ALNUM))]] = False
+                yield batch if keep.all() else batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

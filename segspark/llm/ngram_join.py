@@ -377,9 +377,22 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     return components(docs, doc_id, text, size, percent)
 
 
-def representative(component: Column, doc_id: Column) -> Column:
-    """Whether a document stands for its component."""
-    return component.eqNullSafe(doc_id)
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each component: that with the smallest id, and of
+    rows with that id the one whose text has the smallest hash.
+
+    Few rows are dropped, so the dropped ones are looked up, not the kept."""
+    key = F.struct(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
+    found = materialize(components(docs.select(key.alias("key"), F.col(f"`{text}`")), "key", text, size, percent), "components")
+    stands = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    drop = found.filter(~stands).select("doc_id.*").distinct().withColumnRenamed("id", "_id").withColumnRenamed("h", "_h")
+    again = found.filter(stands).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id.*").withColumnRenamed("id", "_id").withColumnRenamed("h", "_h")
+    keyed = docs.withColumn("_hash", F.xxhash64(F.col(f"`{text}`")))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))
+    kept = keyed.join(drop, same, "left_anti")
+    once = kept.join(again, same, "left_anti")
+    rest = kept.join(again, same, "left_semi").dropDuplicates([doc_id, "_hash"])
+    return once.unionByName(rest).drop("_hash")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

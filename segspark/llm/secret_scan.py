@@ -77,9 +77,10 @@ SPAN = StructType([StructField("kind", StringType()), StructField("start", LongT
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("scope", pa.int64())]))
 
 
-def parts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with a row number ``_row`` and the arrays ``strong`` and ``weak``."""
-    own = [f for f in docs.schema.fields if f.name not in ("_row", "strong", "weak", text)]
+def parts(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs``, its text only if asked for, with a row number ``_row`` and the arrays
+    ``strong`` and ``weak``."""
+    own = [f for f in docs.schema.fields if f.name not in ("_row", "strong", "weak") and (keep_text or f.name != text)]
     schema = StructType([*own, StructField("_row", LongType()), StructField("strong", ArrayType(SPAN)), StructField("weak", ArrayType(SPAN))])
 
     def scoped(spans: list[tuple[str, int, int]], ends: list[int]) -> list[dict]:
@@ -101,7 +102,7 @@ def parts(docs: DataFrame, text: str = "text") -> DataFrame:
             columns = [*batch.columns[: len(own)], rows, pa.array(strong, _ARROW), pa.array(weak, _ARROW)]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    return docs.select(*(F.col(f"`{f.name}`") for f in own), F.col(f"`{text}`")).mapInArrow(cut, schema)
+    return docs.select(*(F.col(f"`{f.name}`") for f in own), F.col(f"`{text}`").alias("_body")).mapInArrow(cut, schema)
 
 
 def link_parts(found: DataFrame, reach: int = REACH) -> DataFrame:
@@ -153,6 +154,21 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
+def redact_documents(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
+    """``docs`` with the reported spans of each text redacted, columns unchanged.
+
+    Only documents with weak candidates meet the linked spans; the others stay in place."""
+    found = materialize(parts(docs, text, keep_text=True), "parts")
+    span = F.struct("kind", "start", "end")
+    linked = link_parts(found, reach).groupBy("_row").agg(F.collect_list(span).alias("linked"))
+    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
+    sure = found.filter(F.size("weak") == 0).withColumn("linked", none)
+    both = sure.unionByName(found.filter(F.size("weak") > 0).join(linked, "_row", "left").withColumn("linked", F.coalesce("linked", none)))
+    strong = F.transform("strong", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    body = redact(F.col(f"`{text}`"), F.concat(strong, F.col("linked")))
+    return both.select(*(body.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     n = lambda kind: F.size(F.filter("strong", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
