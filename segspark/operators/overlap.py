@@ -56,4 +56,4 @@ def neighbours(rows: DataFrame, others: DataFrame, flank: int) -> DataFrame:
     left out: one row for each pair."""
     left = rows.withColumn("start", F.col("pos") - flank).withColumn("end", F.col("pos") + flank)
     right = others.withColumn("r_start", F.col("o_pos")).withColumn("r_end", F.col("o_pos"))
-    return overlap_join(left, right, size=max(BIN, flank)).filter("vid <> o_id").drop("start", "end", "r_start", "r_end")
+    return overlap_join(left, right, size=max(256, 2 * flank)).filter("vid <> o_id").drop("start", "end", "r_start", "r_end")

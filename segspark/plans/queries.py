@@ -770,9 +770,9 @@ def translate_cds(spark, d):
 @query("subsequence", f"WITH {D.GENE_CTE} SELECT gene, substr({D.DNA}, 11, CAST(least(60, g_end - g_start) AS INT)) AS seq FROM genes")
 def subsequence(spark, d):
     genes = D.genes(spark, d)
-    sequences = genes.select(F.col("gene").alias("chrom"), F.expr(D.DNA).alias("seq"))
-    regions = genes.select("gene", F.col("gene").alias("chrom"), F.lit(11).alias("start"), (10 + F.least(F.lit(60), F.col("g_end") - F.col("g_start"))).alias("end"))
-    return R.subsequences(regions, sequences).select("gene", "seq")
+    chunks = R.chunked(genes.select(F.col("gene").alias("chrom"), F.substr(F.expr(D.DNA), F.lit(1), F.lit(100)).alias("seq")), 32)
+    regions = genes.select("gene", F.col("gene").alias("chrom"), F.lit(11).cast("long").alias("start"), (10 + F.least(F.lit(60), F.col("g_end") - F.col("g_start"))).alias("end"))
+    return R.subsequences(regions, chunks, 32, "gene").select("gene", "seq")
 
 
 @query("masked_length", "SELECT doc_id, CAST(length(text) - length(replace(text, 'n', '')) AS INT) AS n FROM documents")
@@ -808,22 +808,22 @@ def secondary_neighbours(spark, d):
     return overlap.neighbours(primary.select("vid", "chrom", "pos"), others, 1000).select("vid", "o_id")
 
 
-GENOME = "repeat(translate(md5(chrom), '0123456789abcdef', 'ACGTACGTACGTACGT'), 80)"
+GENOME = "repeat(translate(md5(chrom), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1600)"
 
 
 @query(
     "template_mask",
-    f"WITH {D.VARIANT_CTE}, {ROLES}, s AS (SELECT *, pos % 2000 + 1 AS p FROM r WHERE role IS NOT NULL), a AS (SELECT *, {GENOME} AS g FROM s WHERE role = 'primary' AND p > 30), "
+    f"WITH {D.VARIANT_CTE}, {ROLES}, s AS (SELECT *, pos % 50000 + 1 AS p FROM r WHERE role IS NOT NULL), a AS (SELECT *, substr({GENOME}, CAST(p - 30 AS INT), 61) AS g FROM s WHERE role = 'primary' AND p > 30), "
     "m AS (SELECT a.vid, unnest(CASE WHEN length(b.ref) > 1 THEN range(b.p - a.p + 30, b.p - a.p + 30 + length(b.ref)) WHEN length(b.alt) > 1 THEN [b.p - a.p + 31] ELSE [b.p - a.p + 30] END) AS i FROM a JOIN s b ON b.role = 'secondary' AND a.chrom = b.chrom AND abs(a.p - b.p) <= 30 AND a.vid <> b.vid), "
     "k AS (SELECT vid, list(DISTINCT i) AS w FROM m GROUP BY vid) "
-    "SELECT a.vid, array_to_string(list_transform(range(0, 61), lambda j: CASE WHEN j = 30 THEN CASE WHEN ref || alt IN ('AT', 'TA') THEN 'W' WHEN ref || alt IN ('CG', 'GC') THEN 'S' WHEN ref || alt IN ('AC', 'CA') THEN 'M' WHEN ref || alt IN ('GT', 'TG') THEN 'K' WHEN ref || alt IN ('CT', 'TC') THEN 'Y' ELSE 'R' END WHEN list_contains(coalesce(w, []), j) THEN 'N' ELSE substr(g, CAST(p - 30 + j AS INT), 1) END), '') AS template FROM a LEFT JOIN k USING (vid)",
+    "SELECT a.vid, array_to_string(list_transform(range(0, 61), lambda j: CASE WHEN j = 30 THEN CASE WHEN ref || alt IN ('AT', 'TA') THEN 'W' WHEN ref || alt IN ('CG', 'GC') THEN 'S' WHEN ref || alt IN ('AC', 'CA') THEN 'M' WHEN ref || alt IN ('GT', 'TG') THEN 'K' WHEN ref || alt IN ('CT', 'TC') THEN 'Y' ELSE 'R' END WHEN list_contains(coalesce(w, []), j) THEN 'N' ELSE substr(g, CAST(j + 1 AS INT), 1) END), '') AS template FROM a LEFT JOIN k USING (vid)",
 )
 def template_mask(spark, d):
     primary, others = _neighbours(spark, d)
-    primary = primary.withColumn("pos", F.col("pos") % 2000 + 1).withColumn("major", F.col("ref"))
-    others = others.withColumn("o_pos", F.col("o_pos") % 2000 + 1)
+    primary = primary.withColumn("pos", F.col("pos") % 50_000 + 1).withColumn("major", F.col("ref"))
+    others = others.withColumn("o_pos", F.col("o_pos") % 50_000 + 1)
     chroms = primary.select("chrom").distinct().withColumn("seq", F.expr(GENOME))
-    return primers.templates(primary, others, chroms, 30).select("vid", "template")
+    return primers.templates(primary, others, R.chunked(chroms, 1000), 1000, 30).select("vid", "template")
 
 
 PRODUCT = f"WITH {D.GENE_CTE}, t AS (SELECT gene, strand, substr({D.DNA}, 1, 101) AS t, CAST(gene % 20 AS INT) AS l, CAST(60 + gene % 40 AS INT) AS r FROM genes), p AS (SELECT *, substr(t, l + 1, r - l + 1) || 'GAATTC' AS raw FROM t) "

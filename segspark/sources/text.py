@@ -177,21 +177,32 @@ def feature_name(attributes: Column, name: str, pairs: str = "") -> Column:
 
 
 def read_fasta(spark: SparkSession, source: str | list[str], chunk: int | None = None) -> DataFrame:
-    """``chrom, seq``; with ``chunk``: ``chrom, start (1-based), seq`` in pieces of so many bases."""
+    """``chrom, seq``; with ``chunk``: in pieces of so many bases, see :func:`chunked`."""
     if isinstance(source, list):
         text = spark.createDataFrame([(x,) for x in "\n".join(source).split(">")], "value string")
     else:
         text = spark.read.option("lineSep", ">").text(source)
     rows = text.filter(F.trim("value") != "").select(F.regexp_extract("value", "^(\\S+)", 1).alias("chrom"), F.regexp_replace(F.regexp_replace("value", "^[^\\n]*", ""), "\\s", "").alias("seq"))
-    if chunk is None:
-        return rows
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / chunk).cast("int")), lambda i: F.struct((i * chunk + 1).alias("start"), F.substr("seq", i * chunk + 1, F.lit(chunk)).alias("seq")))
-    return rows.select("chrom", F.explode(pieces).alias("p")).select("chrom", "p.start", "p.seq")
+    return rows if chunk is None else chunked(rows, chunk)
 
 
-def subsequences(regions: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Adds ``seq``: bases ``start`` to ``end`` (1-based, inclusive) of the chromosome."""
-    return regions.join(sequences.withColumnRenamed("seq", "_seq"), "chrom").withColumn("seq", F.substr("_seq", F.col("start").cast("int"), (F.col("end") - F.col("start") + 1).cast("int"))).drop("_seq")
+def chunked(sequences: DataFrame, size: int) -> DataFrame:
+    """``chrom, chunk (from 0), seq``: sequences in pieces of ``size`` bases."""
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / size).cast("int")), lambda i: F.struct(i.cast("long").alias("chunk"), F.substr("seq", i * size + 1, F.lit(size)).alias("seq")))
+    return sequences.select("chrom", F.explode(pieces).alias("p")).select("chrom", "p.chunk", "p.seq")
+
+
+def subsequences(regions: DataFrame, chunks: DataFrame, size: int, key: str) -> DataFrame:
+    """Adds ``seq``: bases ``start`` to ``end`` (1-based, inclusive) from the :func:`chunked`
+    sequences.  ``key`` tells regions apart; those with nothing in reach are dropped.
+
+    A region meets only the chunks it touches, so no row carries a whole chromosome."""
+    spans = regions.select(F.col(key).alias("_key"), "chrom", "start", "end").withColumn("chunk", F.explode(F.sequence(F.floor((F.col("start") - 1) / size), F.floor((F.col("end") - 1) / size))))
+    first = F.greatest(F.col("start") - F.col("chunk") * size, F.lit(1))
+    last = F.least(F.col("end") - F.col("chunk") * size, F.lit(size))
+    pieces = spans.join(chunks, ["chrom", "chunk"]).select("_key", "chunk", F.substr("seq", first.cast("int"), (last - first + 1).cast("int")).alias("piece"))
+    whole = pieces.groupBy("_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "piece"))), lambda x: x["piece"]), "").alias("seq"))
+    return regions.join(whole, F.col(key) == F.col("_key")).drop("_key")
 
 
 def translate_chromosomes(rows: DataFrame, table: DataFrame) -> DataFrame:
