@@ -6,7 +6,7 @@ piece of a matching item stands unchanged in the passage.  Documents are searche
 the pieces with vectorised window hashes; around each hit the item is verified with
 Myers' bit-parallel distance against the stretch that it could cover.
 
-Words are lower-cased runs of letters, digits and non-ASCII characters.  Items reach the
+Words are runs of letters, digits and non-ASCII characters, all in lower case.  Items reach the
 tasks in blocks of about ``block_bytes`` of text, one pass over the documents a block, so
 what is broadcast is bounded and any number of items can be searched.
 
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +75,7 @@ class ItemBlock:
         self.items, self.forward, self.backward = [], [], []
         pieces: dict[int, list[tuple[int, int, int]]] = {}
         for item_id, text in zip(ids, texts, strict=True):
-            data = np.frombuffer((text or "").encode(), np.uint8)
+            data = np.frombuffer((pc.utf8_lower(text or "").as_py()).encode(), np.uint8)
             words = Words(data, np.array([0, len(data)], np.int64), NON_ALNUM)
             m = len(words.hashes)
             if not m:
@@ -156,7 +157,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_R
             block = None
             for batch in batches:
                 block = block or ItemBlock(*shared.value, error_rate)
-                for lo, hi, data, offsets in text_slices(batch.column(1)):
+                for lo, hi, data, offsets in text_slices(pc.utf8_lower(batch.column(1))):
                     hits = list(block.search(Words(data, offsets, NON_ALNUM)))
                     if hits:
                         text, item, distance, first, end = zip(*hits)
@@ -178,7 +179,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", err
             for batch in batches:
                 block = block or ItemBlock(*shared.value, error_rate)
                 keep = np.ones(batch.num_rows, bool)
-                for lo, _, data, offsets in text_slices(batch.column(batch.schema.get_field_index(text))):
+                for lo, _, data, offsets in text_slices(pc.utf8_lower(batch.column(batch.schema.get_field_index(text)))):
                     keep[[lo + t for t, *_ in block.search(Words(data, offsets, NON_ALNUM))]] = False
                 yield batch if keep.all() else batch.filter(pa.array(keep))
 

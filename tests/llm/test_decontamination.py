@@ -3,12 +3,11 @@ import re
 
 from segspark.llm import decontamination as D
 
-FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
 
 
 def words(t):
-    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").translate(FOLD))
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
 
 
 def distance(pattern, text):
@@ -24,7 +23,7 @@ def distance(pattern, text):
 
 def cases(seed=2):
     r = random.Random(seed)
-    text = lambda n: [f"v{r.randrange(400)}" for _ in range(n)]
+    text = lambda n: [f"vñ{r.randrange(400)}" for _ in range(n)]
     items = [text(n) for n in (4, 5, 12, 15, 20, 33, 70, 15)]
     docs = [text(80) for _ in range(20)]
     for item in items:
@@ -35,7 +34,7 @@ def cases(seed=2):
                 kind = r.randrange(3)
                 x[at : at + (kind > 0)] = [] if kind == 1 else [f"n{r.randrange(99)}"]
             docs.append(text(r.randrange(30)) + x + text(r.randrange(30)))
-    return [(i, " ".join(x).title() + ".") for i, x in enumerate(docs)], [(i, ", ".join(x)) for i, x in enumerate(items)]
+    return [(i, " ".join(x).upper() + ".") for i, x in enumerate(docs)], [(i, ", ".join(x)) for i, x in enumerate(items)]
 
 
 def test_against_brute_force(spark):
@@ -63,6 +62,6 @@ def test_dropping_keeps_clean_documents_whole(spark, odd_docs, no_docs):
 def test_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (None, "one"), (4, "zwölf BOXKÄMPFER"), (5, "one"), (5, "one")], ITEMS)
     got = sorted((r["doc_id"], r["item_id"], r["distance"]) for r in D.decontaminate(odd_docs, items).collect() if r["doc_id"] is not None and r["item_id"] is not None)
-    assert got == [(3, 5, 0)] * 4  # Ä is not folded, and a repeated row finds a repeated item twice
+    assert got == [(3, 5, 0)] * 4 + [(4, 4, 0)]  # a repeated row finds a repeated item twice
     assert D.decontaminate(no_docs, items).count() == 0
     assert D.decontaminate(odd_docs, spark.createDataFrame([], ITEMS)).count() == 0
