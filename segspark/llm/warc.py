@@ -114,13 +114,13 @@ def byte_ranges(selected: DataFrame, range_bytes: int = RANGE_BYTES, gap_bytes:
 
     Stretches are cut where the next record lies more than ``gap_bytes`` on, or where a
     multiple of ``range_bytes`` is passed, so no group exceeds a range and a record."""
-    by_file = Window.partitionBy("file").orderBy("offset", "length")
-    before = F.lag(F.col("offset") + F.col("length")).over(by_file)
-    breaks = (F.col("offset") - before > gap_bytes) | (F.floor(F.col("offset") / range_bytes) != F.floor(F.lag("offset").over(by_file) / range_bytes))
-    cut = selected.select("file", "offset", "length").withColumn("new", F.coalesce(breaks, F.lit(True)).cast("long"))
-    grouped = cut.withColumn("range", F.sum("new").over(by_file.rowsBetween(Window.unboundedPreceding, 0)))
+    slot = F.floor(F.col("offset") / range_bytes).alias("slot")
+    in_slot = Window.partitionBy("file", "slot").orderBy("offset", "length")
+    breaks = F.col("offset") - F.lag(F.col("offset") + F.col("length")).over(in_slot) > gap_bytes
+    cut = selected.select("file", "offset", "length", slot).withColumn("new", F.coalesce(breaks, F.lit(False)).cast("long"))
+    grouped = cut.withColumn("range", F.sum("new").over(in_slot.rowsBetween(Window.unboundedPreceding, 0)))
     places = F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("records")
-    return grouped.groupBy("file", "range").agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("stop"), places).drop("range")
+    return grouped.groupBy("file", "slot", "range").agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("stop"), places).drop("slot", "range")
 
 
 def read_records(selected: DataFrame, payload: bool = False, range_bytes: int = RANGE_BYTES, gap_bytes: int = GAP_BYTES) -> DataFrame:
@@ -147,7 +147,10 @@ def read_records(selected: DataFrame, payload: bool = False, range_bytes: int =
                     found.append(x)
                 yield pa.RecordBatch.from_pydict({k: [x[k] for x in found] for k in kinds}, schema=pa.schema(list(kinds.items())))
 
-    return byte_ranges(selected, range_bytes, gap_bytes).mapInArrow(read, schema)
+    # The index is small but what it points to isn't: ranges are dealt to as many tasks as
+    # a shuffle has, which adaptive execution would take for one small partition.
+    tasks = int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return byte_ranges(selected, range_bytes, gap_bytes).repartition(tasks, "file", "start").mapInArrow(read, schema)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
