@@ -79,9 +79,15 @@ def mark_base(codon: Column, place: Column) -> Column:
 
 
 def translate_cds(cds: Column) -> Column:
-    """Protein of whole codons from the first base on."""
-    codons = F.when(F.length(cds) >= 3, F.sequence(F.lit(0), F.floor(F.length(cds) / 3).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(codons, lambda i: translate_codon(F.substr(cds, 3 * i + 1, F.lit(3)))), "")
+    """Protein of whole codons from the first base on.
+
+    Codons get a mark at their end and are replaced one kind after another, which can only
+    match where a mark is, so frames stay; all 64 replacements are plain string functions."""
+    whole = F.substr(cds, F.lit(1), (F.floor(F.length(cds) / 3) * 3).cast("int"))
+    out = F.regexp_replace(whole, "(?s)(...)", "$1,")
+    for i, letter in enumerate(AMINO_ACIDS):
+        out = F.replace(out, F.lit(BASES[i // 16] + BASES[i // 4 % 4] + BASES[i % 4] + ","), F.lit(letter))
+    return F.regexp_replace(out, "(?s)...,", "X")
 
 
 def masked_length(seq: Column, letter: str = "N") -> Column:

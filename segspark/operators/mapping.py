@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segspark.functions.stats import beta_arrays, ln_beta_binomial, log_binomial
+from segspark.sources.text import spread
 
 #: Noise of the background model, and of phenotypes in the tested one.
 BACKGROUND_EPS, EPS = 1e-2, 1e-4
@@ -70,7 +71,7 @@ def sums_by_grid(snps: DataFrame, rates: DataFrame, n_res: int, n_sus: int, step
     ready = ready.join(grid_bounds(snps, step), "chrom")
     ready = ready.join(rates, "chrom") if "chrom" in rates.columns else ready.crossJoin(F.broadcast(rates))  # one row
     ready = ready.select("chrom", "pos", "res_major", "n_res", "sus_major", "n_sus", "pmin", "points", "rate")
-    parts = ready.mapInArrow(work, "chrom string, i long, theta int, ll double, ll0 double")
+    parts = spread(ready).mapInArrow(work, "chrom string, i long, theta int, ll double, ll0 double")
     return parts.groupBy("chrom", "i", "theta").agg(F.sum("ll").alias("ll"), F.sum("ll0").alias("ll0"))
 
 

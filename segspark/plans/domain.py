@@ -5,6 +5,9 @@ SQL start from the same rows and are independent from there on."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SNPS = """
@@ -44,6 +47,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_files(lines: DataFrame) -> DataFrame:
+    """Lines (``value``) as text files in the shared folder, and a scan of them: what a
+    reader of genomics files starts from."""
+    spark = lines.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="segspark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/lines-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return spark.read.text(path)
+
+
 def _columns(text: str) -> list[str]:
     """The select list cut at the commas outside brackets and quotes."""
     out, depth, part, quoted = [], 0, "", False

@@ -393,7 +393,7 @@ def _parsed(spark, d):
     """Calls as text lines, read back by the reader's projections."""
     rows = D.project(D.table(spark, d, "lineitem"), CALLS)
     line = F.concat_ws("\t", "chrom", "pos", F.lit("."), "ref", "alt", "qual", "filter", "info", F.lit("GT:AD:DP:GQ:PL"), F.expr(SAMPLE1), F.expr(f"CASE WHEN gone THEN './.' ELSE {SAMPLE2} END"))
-    return R.parse_vcf(rows.select(line.alias("value")), ["res", "sus"])
+    return R.parse_vcf(D.as_files(R.spread(rows).select(line.alias("value"))), ["res", "sus"])
 
 
 @query(
@@ -744,7 +744,7 @@ CLEAN = "q AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS
 
 
 def _dna(spark, d):
-    return D.table(spark, d, "documents").select("doc_id", S.clean_dna(F.col("text")).alias("seq"))
+    return R.spread(D.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", S.clean_dna(F.col("text")).alias("seq"))
 
 
 @query("revcomp", f"WITH {CLEAN} SELECT doc_id, md5(translate(reverse(seq), 'ACGT', 'TGCA')) AS rc FROM q")
@@ -808,22 +808,22 @@ def secondary_neighbours(spark, d):
     return overlap.neighbours(primary.select("vid", "chrom", "pos"), others, 1000).select("vid", "o_id")
 
 
-GENOME = "repeat(translate(md5(chrom), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1600)"
+GENOME = "repeat(translate(md5(chrom), '0123456789abcdef', 'ACGTACGTACGTACGT'), 62510)"
 
 
 @query(
     "template_mask",
-    f"WITH {D.VARIANT_CTE}, {ROLES}, s AS (SELECT *, pos % 50000 + 1 AS p FROM r WHERE role IS NOT NULL), a AS (SELECT *, substr({GENOME}, CAST(p - 30 AS INT), 61) AS g FROM s WHERE role = 'primary' AND p > 30), "
+    f"WITH {D.VARIANT_CTE}, {ROLES}, s AS (SELECT *, pos % 2000000 + 1 AS p FROM r WHERE role IS NOT NULL), a AS (SELECT *, substr({GENOME.replace('62510', '4')}, CAST((p - 31) % 32 + 1 AS INT), 61) AS g FROM s WHERE role = 'primary' AND p > 30), "
     "m AS (SELECT a.vid, unnest(CASE WHEN length(b.ref) > 1 THEN range(b.p - a.p + 30, b.p - a.p + 30 + length(b.ref)) WHEN length(b.alt) > 1 THEN [b.p - a.p + 31] ELSE [b.p - a.p + 30] END) AS i FROM a JOIN s b ON b.role = 'secondary' AND a.chrom = b.chrom AND abs(a.p - b.p) <= 30 AND a.vid <> b.vid), "
     "k AS (SELECT vid, list(DISTINCT i) AS w FROM m GROUP BY vid) "
     "SELECT a.vid, array_to_string(list_transform(range(0, 61), lambda j: CASE WHEN j = 30 THEN CASE WHEN ref || alt IN ('AT', 'TA') THEN 'W' WHEN ref || alt IN ('CG', 'GC') THEN 'S' WHEN ref || alt IN ('AC', 'CA') THEN 'M' WHEN ref || alt IN ('GT', 'TG') THEN 'K' WHEN ref || alt IN ('CT', 'TC') THEN 'Y' ELSE 'R' END WHEN list_contains(coalesce(w, []), j) THEN 'N' ELSE substr(g, CAST(j + 1 AS INT), 1) END), '') AS template FROM a LEFT JOIN k USING (vid)",
 )
 def template_mask(spark, d):
     primary, others = _neighbours(spark, d)
-    primary = primary.withColumn("pos", F.col("pos") % 50_000 + 1).withColumn("major", F.col("ref"))
-    others = others.withColumn("o_pos", F.col("o_pos") % 50_000 + 1)
+    primary = primary.withColumn("pos", F.col("pos") % 2_000_000 + 1).withColumn("major", F.col("ref"))
+    others = others.withColumn("o_pos", F.col("o_pos") % 2_000_000 + 1)
     chroms = primary.select("chrom").distinct().withColumn("seq", F.expr(GENOME))
-    return primers.templates(primary, others, R.chunked(chroms, 1000), 1000, 30).select("vid", "template")
+    return primers.templates(primary, others, R.chunked(chroms, 4000), 4000, 30).select("vid", "template")
 
 
 PRODUCT = f"WITH {D.GENE_CTE}, t AS (SELECT gene, strand, substr({D.DNA}, 1, 101) AS t, CAST(gene % 20 AS INT) AS l, CAST(60 + gene % 40 AS INT) AS r FROM genes), p AS (SELECT *, substr(t, l + 1, r - l + 1) || 'GAATTC' AS raw FROM t) "

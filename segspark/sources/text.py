@@ -17,6 +17,13 @@ def lines(spark: SparkSession, source: str | list[str]) -> DataFrame:
     return spark.read.text(source)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over as many partitions as there are cores if they come in fewer (one small
+    file), for work that costs far more than moving them; larger inputs stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def header(text: DataFrame) -> list[str]:
     """Columns of the last line before the data that starts with one #."""
     row = text.filter(F.col("value").startswith("#") & ~F.col("value").startswith("##")).select("value").limit(1).collect()
@@ -188,8 +195,8 @@ def read_fasta(spark: SparkSession, source: str | list[str], chunk: int | None =
 
 def chunked(sequences: DataFrame, size: int) -> DataFrame:
     """``chrom, chunk (from 0), seq``: sequences in pieces of ``size`` bases."""
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / size).cast("int")), lambda i: F.struct(i.cast("long").alias("chunk"), F.substr("seq", i * size + 1, F.lit(size)).alias("seq")))
-    return sequences.select("chrom", F.explode(pieces).alias("p")).select("chrom", "p.chunk", "p.seq")
+    pieces = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}+"), F.lit(0))  # one pass over the sequence
+    return sequences.select("chrom", F.posexplode(pieces).alias("chunk", "seq")).withColumn("chunk", F.col("chunk").cast("long"))
 
 
 def subsequences(regions: DataFrame, chunks: DataFrame, size: int, key: str) -> DataFrame:
