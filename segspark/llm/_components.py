@@ -11,9 +11,11 @@ from segspark.llm._scratch import materialize
 ROUNDS = 60
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["x"], row["s"]
+def _settled(tree: DataFrame) -> bool:
+    """Whether every component is one star: no node has two parents, no parent has one."""
+    ends = tree.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(tree.select(F.col("b").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+    roles = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+    return roles.filter("child > 1 OR (child = 1 AND parent = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -32,12 +34,9 @@ def connected_components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     tree = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     nodes = edges.filter("a = b").select(F.col("a").alias("node")).distinct()
     tree = materialize(tree, "edges")
-    before = None
     for _ in range(rounds):
-        now = _state(tree)
-        if now == before:
+        if _settled(tree):
             break
-        before = now
         both = tree.unionByName(tree.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
