@@ -12,7 +12,7 @@ from segspark.functions import stats as T
 from segspark.operators import assays, bins, consequence, mapping, normalise, overlap, primers, quality, variants
 from segspark.plans import domain as D
 from segspark.sources import text as R
-from segspark.sources.sinks import rbci_line, tabbed
+from segspark.sources.sinks import pooled_line, tabbed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,13 +34,13 @@ KEY = ["chrom", "pos", "vid"]
 # ---- filters of pooled SNPs
 
 
-@query("rbci_region_filter", f"WITH {D.SNP_CTE} SELECT chrom, pos, vid FROM snps WHERE chrom = 'RF' AND pos >= 1000000 AND pos <= 9000000")
-def rbci_region_filter(spark, d):
+@query("region_filter", f"WITH {D.SNP_CTE} SELECT chrom, pos, vid FROM snps WHERE chrom = 'RF' AND pos >= 1000000 AND pos <= 9000000")
+def region_filter(spark, d):
     return D.snps(spark, d).filter(quality.in_region("RF", 1_000_000, 9_000_000)).select(*KEY)
 
 
-@query("rbci_flag_filter", f"WITH {D.SNP_CTE} SELECT chrom, pos, vid FROM snps WHERE lineno % 3 = 0 AND qual >= 30000")
-def rbci_flag_filter(spark, d):
+@query("flag_filter", f"WITH {D.SNP_CTE} SELECT chrom, pos, vid FROM snps WHERE lineno % 3 = 0 AND qual >= 30000")
+def flag_filter(spark, d):
     return D.snps(spark, d).filter(quality.legal_flags("pass") & (F.col("qual") >= 30000)).select(*KEY)
 
 
@@ -440,11 +440,11 @@ def filter_annotate(spark, d):
 
 
 @query(
-    "rbci_lines",
+    "pooled_lines",
     f"WITH {CALL_CTE}, {SWITCH}, l AS (SELECT chrom, pos, concat_ws(chr(9), chrom, pos, '.', ref, alt, CASE WHEN multi THEN 'NA' WHEN sw THEN alt ELSE ref END, CASE WHEN multi THEN 'NA' WHEN sw THEN ref ELSE alt END) AS line FROM sw) SELECT line, count(*) AS n FROM l GROUP BY line",
 )
-def rbci_lines(spark, d):
-    rows = normalise.normalise(_parsed(spark, d), DESIGN).select(rbci_line(["res", "sus"]).alias("line"))
+def pooled_lines(spark, d):
+    rows = normalise.normalise(_parsed(spark, d), DESIGN).select(pooled_line(["res", "sus"]).alias("line"))
     return rows.groupBy(F.array_join(F.slice(F.split("line", "\t"), 1, 7), "\t").alias("line")).agg(F.count("*").alias("n"))
 
 

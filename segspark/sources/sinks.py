@@ -21,13 +21,13 @@ def write_lines(rows: DataFrame, path: str, header: list[str] = (), force: bool
         rows.sparkSession.createDataFrame([(x,) for x in header], "value string").coalesce(1).write.mode(mode).text(f"{path}-header")
 
 
-def rbci_line(samples: list[str]) -> Column:
+def pooled_line(samples: list[str]) -> Column:
     """A row of the normalised table (see operators.normalise) as text."""
     segr = F.when(F.col("segr_major").isNotNull(), F.concat_ws(",", "segr_major", "segr_minor"))
     return tabbed("chrom", "pos", F.lit("."), "ref", F.array_join("alt", ","), "major", "minor", "qual", F.array_join("filter", ";"), "type", segr, "hapsc", F.array_join("format", ":"), *samples)
 
 
-def rbci_header(samples: list[str], copied: list[str] = (), command: str | None = None) -> list[str]:
+def pooled_header(samples: list[str], copied: list[str] = (), command: str | None = None) -> list[str]:
     first = ["##fileformat=RCBIv0.1", *copied, *([f"##commandline={command}"] if command else [])] if command or copied else []
     return [*first, "#" + "\t".join(["CHROM", "POS", "ID", "REF", "ALT", "MAJOR", "MINOR", "QUAL", "FILTER", "TYPE", "SEGR", "HAPSC", "FORMAT", *samples])]
 
@@ -48,7 +48,7 @@ def assay_vcf_header() -> list[str]:
     return ["##fileformat=VCFv4.1", f"##fileDate={date.today():%Y%m%d}", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"]
 
 
-def rbcp_line() -> Column:
-    from segspark.sources.text import RBCP_COLUMNS
+def primer_line() -> Column:
+    from segspark.sources.text import PRIMER_COLUMNS
 
-    return tabbed(*RBCP_COLUMNS, missing=".")
+    return tabbed(*PRIMER_COLUMNS, missing=".")

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RBCI_COLUMNS = ["chrom", "pos", "id", "ref", "alt", "major", "minor", "qual", "filter", "type", "segr", "hapsc", "format"]
-RBCP_COLUMNS = ["chrom", "pos", "id", "ref", "alt", "major", "minor", "qual", "filter", "type", "segr", "direction", "primer_left", "primer_right", "product_len", "n_count", "product_seq"]
+POOLED_COLUMNS = ["chrom", "pos", "id", "ref", "alt", "major", "minor", "qual", "filter", "type", "segr", "hapsc", "format"]
+PRIMER_COLUMNS = ["chrom", "pos", "id", "ref", "alt", "major", "minor", "qual", "filter", "type", "segr", "direction", "primer_left", "primer_right", "product_len", "n_count", "product_seq"]
 
 
 def lines(spark: SparkSession, source: str | list[str]) -> DataFrame:
@@ -50,12 +50,12 @@ def counts(text: Column) -> Column:
     return F.transform(F.split(text, ","), lambda x: x.try_cast("int"))
 
 
-def read_rbci(spark: SparkSession, source: str | list[str], res: str, sus: str, parents: tuple[str, str] | None = None) -> DataFrame:
+def read_pooled(spark: SparkSession, source: str | list[str], res: str, sus: str, parents: tuple[str, str] | None = None) -> DataFrame:
     """SNPs with segregation counts of two pools, by the names of their columns."""
     text = lines(spark, source)
     names = header(text)
     f = lambda name: F.get("f", F.lit(names.index(name)))
-    at = {c: F.get("f", F.lit(i)) for i, c in enumerate(RBCI_COLUMNS)}
+    at = {c: F.get("f", F.lit(i)) for i, c in enumerate(POOLED_COLUMNS)}
     rows = fields(text).filter((at["segr"] != "NA") & (at["type"] == "SNP"))
     format = F.split(at["format"], ":")
     of = lambda sample, name: tag(format, F.split(f(sample), ":"), name)
@@ -139,9 +139,9 @@ def read_allele_table(spark: SparkSession, source: str | list[str]) -> DataFrame
     return text.select(*columns)
 
 
-def read_rbcp(spark: SparkSession, source: str | list[str]) -> DataFrame:
+def read_primers(spark: SparkSession, source: str | list[str]) -> DataFrame:
     """Primer rows that have an id."""
-    rows = fields(lines(spark, source)).select(*(F.get("f", F.lit(i)).alias(c) for i, c in enumerate(RBCP_COLUMNS)))
+    rows = fields(lines(spark, source)).select(*(F.get("f", F.lit(i)).alias(c) for i, c in enumerate(PRIMER_COLUMNS)))
     return rows.filter("id <> '.'").withColumn("pos", F.col("pos").try_cast("long"))
 
 

@@ -45,12 +45,12 @@ def test_missing_tag_is_an_error(spark):
         normalise.check_calls(R.read_vcf(spark, bad), normalise.Design("a", "b", ("c",)))
 
 
-def test_rbci_round_trip(spark, tmp_path):
-    rows = normalise.normalise(R.read_vcf(spark, VCF), DESIGN).select(sinks.rbci_line(["res", "sus"]).alias("line"))
-    path = str(tmp_path / "rbci")
-    sinks.write_lines(rows, path, sinks.rbci_header(["res", "sus"]))
-    text = sinks.rbci_header(["res", "sus"]) + [r[0] for r in spark.read.text(path).collect()]
-    back = R.read_rbci(spark, text, "res", "sus").collect()
+def test_pooled_round_trip(spark, tmp_path):
+    rows = normalise.normalise(R.read_vcf(spark, VCF), DESIGN).select(sinks.pooled_line(["res", "sus"]).alias("line"))
+    path = str(tmp_path / "pooled")
+    sinks.write_lines(rows, path, sinks.pooled_header(["res", "sus"]))
+    text = sinks.pooled_header(["res", "sus"]) + [r[0] for r in spark.read.text(path).collect()]
+    back = R.read_pooled(spark, text, "res", "sus").collect()
     assert [(r["chrom"], r["pos"], r["res_major"], r["res_minor"], r["sus_major"], r["geno_sus"]) for r in back] == [("1", 100, 17, 3, 8, "0|0")]
     with pytest.raises(Exception, match="exists"):
         sinks.write_lines(rows, path)
