@@ -397,3 +397,29 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS g
+  FROM d
+), n AS (
+  SELECT rid, count(*) AS n FROM s GROUP BY rid
+), p AS (
+  SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY a.rid, b.rid
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * k >= 85 * (a.n + b.n - k)
+), e AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r AS (
+  SELECT rid AS x, rid AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
+), c AS (
+  SELECT r.x AS rid, min(o.doc_id) AS component_id FROM r JOIN d o ON o.rid = r.y GROUP BY r.x
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d JOIN c ON c.rid = d.rid LEFT JOIN n ON n.rid = d.rid
+"""

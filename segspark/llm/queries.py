@@ -5,7 +5,7 @@ from __future__ import annotations
 from segspark.llm.decontamination import op5_decontamination
 from segspark.llm.license_scan import op2_license_scan
 from segspark.llm.mixing import OP9_SQL, op9_mixing
-from segspark.llm.ngram_join import op4_ngram_join
+from segspark.llm.ngram_join import OP4_SQL, op4_ngram_join
 from segspark.llm.quality_mil import op3_quality_classifier
 from segspark.llm.quality_rules import OP10_SQL, op10_quality_rules
 from segspark.llm.secret_scan import op7_secret_scan
@@ -28,6 +28,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_url_filter": OP1_SQL,
+    "op4_ngram_join": OP4_SQL,
     "op6_warc": OP6_SQL,
     "op9_mixing": OP9_SQL,
     "op10_quality_rules": OP10_SQL,
