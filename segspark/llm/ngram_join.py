@@ -26,7 +26,7 @@ Defined results: null and empty texts have no shingles and are linked with nothi
 text with fewer words than a shingle has its whole sequence as one; texts are read whole;
 rows that repeat a doc_id are documents of their own; a null doc_id never names a
 component unless no member has another; an empty table gives an empty result; further
-columns pass through, the columns that are added replace those of the same name.
+columns don't enter the result (:func:`one_of_each` passes them through).
 """
 
 from __future__ import annotations
