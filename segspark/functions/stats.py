@@ -96,6 +96,13 @@ def beta_params(podd: Column, pool: str, size: float, eps: float) -> tuple[Colum
     return mean * c, (1 - mean) * c
 
 
+def beta_params_plain(podd: Column, pool: str, n_res: float, n_sus: float, eps: float) -> tuple[Column, Column]:
+    """The earlier form: counts of expected alleles; alpha of sus is scaled by the size of res."""
+    if pool == "res":
+        return 2 * n_res * (1 - podd - eps), 2 * n_res * (podd + eps)
+    return 2 * n_res * (1 + podd + eps) / 3, 2 * n_sus * (2 - podd - eps) / 3
+
+
 def beta_arrays(podd: np.ndarray, pool: str, size: float, eps: float) -> tuple[np.ndarray, np.ndarray]:
     """The same over arrays.  A variance beyond what a beta distribution can have
     (c below ``FLAT``) counts as the flattest one."""

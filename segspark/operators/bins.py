@@ -26,16 +26,33 @@ def row_bins(rows: DataFrame, values: list[str], size: int, key: str = "chrom",
 
     Numbering is per stretch of positions, shifted by the counts before it, so that no
     single task sorts a whole chromosome."""
+    rows = numbered(rows, key, pos, ties)
+    return rows.groupBy(key, F.floor(F.col("_i") / size).alias("bin")).agg(F.avg(pos).alias("bin_pos"), F.count("*").alias("n"), *(F.sum(v).alias(v) for v in values))
+
+
+def numbered(rows: DataFrame, key: str = "chrom", pos: str = "pos", ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``_i``: the number of each row of a key from 0, in order of position."""
     stretch = F.floor(F.col(pos) / F.lit(STRETCH))
     counts = rows.groupBy(key, stretch.alias("_s")).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(key, "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     order = Window.partitionBy(key, "_s").orderBy(pos, *ties)
-    numbered = rows.withColumn("_s", stretch).withColumn("_i", F.row_number().over(order) - 1).join(counts, [key, "_s"])
-    return numbered.groupBy(key, F.floor((F.col("_i") + F.col("_before")) / size).alias("bin")).agg(F.avg(pos).alias("bin_pos"), F.count("*").alias("n"), *(F.sum(v).alias(v) for v in values))
+    found = rows.withColumn("_s", stretch).withColumn("_i", F.row_number().over(order) - 1).join(counts, [key, "_s"])
+    return found.withColumn("_i", F.col("_i") + F.col("_before")).drop("_s", "_before")
+
+
+def row_windows(rows: DataFrame, values: list[str], reach: int, key: str = "chrom", pos: str = "pos", ties: tuple[str, ...] = (), block: int = 10_000) -> DataFrame:
+    """Adds ``window_<value>``: sums over the ``reach`` rows before and after each row and itself.
+
+    Blocks of rows get ``reach`` rows of their neighbours, so windows stay within blocks."""
+    i = F.col("_i")
+    blocks = numbered(rows, key, pos, ties).withColumn("_b", F.explode(F.sequence(F.floor(F.greatest(i - reach, F.lit(0)) / block), F.floor((i + reach) / block))))
+    near = Window.partitionBy(key, "_b").orderBy("_i").rowsBetween(-reach, reach)
+    summed = blocks.withColumns({f"window_{v}": F.sum(v).over(near) for v in values})
+    return summed.filter(F.col("_b") == F.floor(i / block)).drop("_i", "_b")
 
 
-#: Base pairs of one stretch in row_bins.
+#: Base pairs of one stretch in which rows are numbered.
 STRETCH = 1_000_000
 
 

@@ -75,6 +75,16 @@ def cds_position() -> Column:
     return (F.col("exon_off") + F.col("pos") - F.col("e_start") + 1).cast("int")
 
 
+def first_isoform(name: Column, pattern: str = "(\\d+)$") -> Column:
+    """Whether the isoform number that ``pattern`` finds in a name is 1, or there is none."""
+    number = F.regexp_extract(name, pattern, 1)
+    return (number == "") | (number == "1")
+
+
+def peak_distance(peak: int = 1) -> Column:
+    return F.abs(F.col("pos") - peak)
+
+
 def gene_position() -> Column:
     """Place in the gene from its own first base on; ``hit_end`` is the end of a deletion
     inside the gene."""
@@ -231,3 +241,8 @@ def gene_alignment(genes: DataFrame, edits: DataFrame) -> DataFrame:
     out = genes.join(listed, "gene", "left").withColumn("_a", F.aggregate(F.coalesce("edits", none), start, put, end))
     turn = lambda x: F.when(F.col("strand") == "+", x).otherwise(revcomp(x))
     return out.select("gene", turn(F.col("_a.ref")).alias("ref"), turn(F.col("_a.alt")).alias("alt"))
+
+
+def alignment_lines() -> Column:
+    """An aligned gene (gene, ref, alt) as lines of text."""
+    return F.concat_ws("\n", F.concat(F.lit(">"), F.col("gene").cast("string"), F.lit(" reference")), "ref", F.concat(F.lit(">"), F.col("gene").cast("string"), F.lit(" variant")), "alt")

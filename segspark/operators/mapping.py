@@ -106,6 +106,29 @@ def peaks(scores: DataFrame) -> DataFrame:
     return scores.groupBy("chrom").agg(best).select("chrom", F.col("b.pos").alias("pos"), F.col("b.score").alias("score"))
 
 
+def nearest_snp(snps: DataFrame, step: int, reach: int) -> DataFrame:
+    """``chrom, i, pos, distance``: the SNP nearest to each grid point, the first one of equals;
+    grid points without a SNP closer than ``reach`` are absent."""
+    near = snps.select("chrom", "pos").join(grid_bounds(snps, step), "chrom")
+    lo = F.greatest(F.lit(0), F.floor((F.col("pos") - reach - F.col("pmin")) / step) + 1)
+    hi = F.least(F.col("points") - 1, F.ceil((F.col("pos") + reach - F.col("pmin")) / step) - 1)
+    near = near.withColumn("_lo", lo).withColumn("_hi", hi).filter("_lo <= _hi").withColumn("i", F.explode(F.sequence("_lo", "_hi")))
+    best = F.min(F.struct(F.abs(F.col("pmin") + F.col("i") * step - F.col("pos")).alias("distance"), "pos")).alias("b")
+    return near.groupBy("chrom", "i").agg(best).select("chrom", "i", "b.pos", "b.distance")
+
+
+def balanced_sample(snps: DataFrame, center: int, size: int, seed: int = 1, key: str = "vid") -> DataFrame:
+    """At most ``size`` SNPs to the left and to the right of ``center``, drawn by a seeded hash."""
+    side = F.col("pos") >= center
+    draw = F.struct(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+    return snps.filter(side).orderBy(draw).limit(size).unionByName(snps.filter(~side).orderBy(draw).limit(size))
+
+
+def corrected_frequency(expected: float = 0.66) -> Column:
+    """Joint frequency of the major allele over its expectation."""
+    return F.try_divide(F.col("both_major"), F.col("both_major") + F.col("both_minor")) / expected
+
+
 def binomial_lod(p_res: float = 0.99, p_sus: float = 0.33) -> list[Column]:
     """``score, score_res, score_sus`` of each SNP against one half."""
     parts = []

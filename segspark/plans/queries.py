@@ -163,6 +163,12 @@ def hom_het_bins(spark, d):
     return rows.withColumn("hom", F.round("hom", 6)).withColumn("het", F.round("het", 6))
 
 
+@query("row_windows", f"WITH {D.SNP_CTE} SELECT chrom, pos, vid, qual, CAST(sum(res_major) OVER (PARTITION BY chrom ORDER BY pos, vid, res_major, qual ROWS BETWEEN 100 PRECEDING AND 100 FOLLOWING) AS BIGINT) AS window_res_major FROM snps")
+def row_windows(spark, d):
+    rows = D.snps(spark, d).select("chrom", "pos", "vid", "qual", "res_major")
+    return bins.row_windows(rows, ["res_major"], 100, ties=("vid", "res_major", "qual"), block=2000).drop("res_major")
+
+
 @query("expected_window", f'WITH {D.SNP_CTE} SELECT chrom, round((max(pos) - min(pos)) / (2.0::DOUBLE * 458), 6) AS "window" FROM snps GROUP BY chrom')
 def expected_window(spark, d):
     return bins.expected_window(D.snps(spark, d), 458).withColumn("window", F.round("window", 6))
@@ -311,6 +317,19 @@ def map_peak(spark, d):
     return mapping.peaks(_score(spark, d)).withColumn("score", F.round("score", 4))
 
 
+@query(
+    "nearest_snp",
+    f"WITH {D.SNP_CTE}, {GRID}, a AS (SELECT g.chrom, g.i, s.pos, abs(g.pmin + g.i * 500000 - s.pos) AS distance FROM g JOIN snps s ON s.chrom = g.chrom AND abs(g.pmin + g.i * 500000 - s.pos) < 200000) SELECT chrom, i, arg_min(pos, (distance, pos)) AS pos, min(distance) AS distance FROM a GROUP BY chrom, i",
+)
+def nearest_snp(spark, d):
+    return mapping.nearest_snp(D.snps(spark, d), 500_000, 200_000)
+
+
+@query("corrected_frequency", f"WITH {D.SNP_CTE}, {BOTH} SELECT vid, qual, res_major, round(both_major / (both_major + both_minor) / 0.66, 6) AS cf FROM both_")
+def corrected_frequency(spark, d):
+    return quality.with_counts_both(D.snps(spark, d)).select("vid", "qual", "res_major", F.round(mapping.corrected_frequency(), 6).alias("cf"))
+
+
 @query("recombination_rate", f"WITH {D.SNP_CTE} SELECT chrom, round(1e9 * 2.0 / (max(pos) - min(pos)), 6) AS rate FROM snps GROUP BY chrom")
 def recombination_rate(spark, d):
     return mapping.recombination_rate(D.snps(spark, d), per_chrom=True).select("chrom", F.round(F.col("rate") * 1e9, 6).alias("rate"))
@@ -562,6 +581,11 @@ def variant_kind(spark, d):
     return consequence.variant_kind(D.variants(spark, d)).select("vid", "vartype", "len", "seq")
 
 
+@query("peak_distance", f"WITH {D.VARIANT_CTE} SELECT vid, abs(pos - 5000000) AS distance FROM variants ORDER BY distance, vid")
+def peak_distance(spark, d):
+    return D.variants(spark, d).select("vid", consequence.peak_distance(5_000_000).alias("distance")).orderBy("distance", "vid")
+
+
 @query("multi_alt_explode", f"WITH {CALL_CTE} SELECT chrom, pos, ref, unnest(string_split(alt, ',')) AS alt FROM calls")
 def multi_alt_explode(spark, d):
     return consequence.explode_alternatives(D.project(D.table(spark, d, "lineitem"), CALLS).select("chrom", "pos", "ref", "alt"))

@@ -310,3 +310,16 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # what was read is not read again
         filter_stream(call_stream(spark, str(tmp_path / "in")), "qual > 100", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert [r["pos"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [100]
+
+
+def test_samples_and_small_forms(spark):
+    rows = spark.createDataFrame([("1", p, p) for p in range(100)], "chrom string, pos long, vid long")
+    a, b = (sorted(r["pos"] for r in mapping.balanced_sample(rows.repartition(n), 30, 10).collect()) for n in (1, 4))
+    assert a == b and len(a) == 20 and sum(p < 30 for p in a) == 10
+    ra, rb = T.beta_params_plain(F.lit(0.25), "res", 100.0, 50.0, 0.0)
+    sa, sb = T.beta_params_plain(F.lit(0.5), "sus", 90.0, 60.0, 0.0)
+    assert tuple(spark.range(1).select(ra, rb, sa, sb).first()) == (150.0, 50.0, 90.0, 60.0)
+    names = spark.createDataFrame([("g-t1",), ("g-t2",), ("g",)], "n string").select(consequence.first_isoform(F.col("n"))).collect()
+    assert [r[0] for r in names] == [True, False, True]
+    line = spark.createDataFrame([("g", "A-", "AC")], "gene string, ref string, alt string").select(consequence.alignment_lines()).first()[0]
+    assert line == ">g reference\nA-\n>g variant\nAC"
