@@ -49,8 +49,8 @@ RULES = [
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = "(?s)^.*?://([^/?#]*)([^?#]*)(\\?[^#]*)?"
-_CANONICAL = "(?is)<link\\b(?=[^>]*\\brel\\s*=\\s*[\"']?canonical\\b)[^>]*?\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)"
-_REFRESH = "(?is)<meta\\b(?=[^>]*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b)[^>]*?\\burl\\s*=\\s*[\"']?([^\"'\\s>]+)"
+_CANONICAL = "(?is)<link\\b(?=[^>]*\\brel\\s*=\\s*[\"']?canonical\\b)[^>]*?\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)[^>]*"
+_REFRESH = "(?is)<meta\\b(?=[^>]*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b)[^>]*?\\burl\\s*=\\s*[\"']?([^\"'\\s>]+)[^>]*"
 
 
 def _part(url: Column, group: int) -> Column:
@@ -94,10 +94,11 @@ def judge(host: Column, path: Column, rules: list[UrlRule]) -> Column:
 
 
 def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
-    """Edges (``a``, ``b``) between address keys: canonical links and refreshes in ``html``,
-    and rows of ``redirects`` (``source``, ``target``)."""
+    """Edges (``a``, ``b``) between address keys: all canonical links and refreshes in
+    ``html``, and rows of ``redirects`` (``source``, ``target``)."""
     url, html = F.col("url"), F.col("html")
-    links = F.array(*(F.when(F.contains(F.lower(html), F.lit(word)), F.regexp_extract(html, pattern, 1)) for word, pattern in (("canonical", _CANONICAL), ("http-equiv", _REFRESH))))
+    found = lambda word, pattern: F.when(F.contains(F.lower(html), F.lit(word)), F.regexp_extract_all(html, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    links = F.concat(found("canonical", _CANONICAL), found("http-equiv", _REFRESH))
     edges = pages.select("url", F.explode(links).alias("link")).filter("link <> ''").select(url_key(url).alias("a"), url_key(_absolute(F.col("link"), url)).alias("b"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(url_key(F.col("source")).alias("a"), url_key(F.col("target")).alias("b")))

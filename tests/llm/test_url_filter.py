@@ -1,5 +1,7 @@
+import duckdb
+
 from segspark.llm._components import connected_components
-from segspark.llm.url_filter import UrlRule, url_filter
+from segspark.llm.url_filter import OP1_SQL, UrlRule, op1_url_filter, url_filter
 
 SCHEMA = "page_id long, url string, html string"
 RULES = [UrlRule("block", "bad.com", "/"), UrlRule("allow", "bad.com", "/good/"), UrlRule("allow", "fine.org", "/")]
@@ -51,3 +53,23 @@ def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200 + i) for i in range(50)] + [(300, 300), (60, 0), (5, 6), (None, 7)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, **dict.fromkeys(range(200, 250), 100), 300: 300}
+
+
+def test_all_links_of_a_page_against_sql(spark, tmp_path):
+    moved = lambda to: f"<META content='0; url={to}' http-equiv=refresh>"
+    pages = [
+        (1, "http://x.net/a", link("http://y.net/b") + "\n" + link("http://q.com/de/1")),
+        (2, "http://z.net/c", moved("http://w.net/") + moved("http://q.com/de/2")),
+        (3, "http://v.net/1", link("/2") + link("//u.net/") + moved("3") + moved("http://q.com/fr/1")),
+        (4, "http://u.net/", None),
+        (5, "http://v.net/3", ""),
+        (6, "http://t.net/", '<link rel=canonical href=http://s.net/ <link rel=canonical href=http://q.com/de/3>' + "<link rel=icon href=http://q.com/de/4>"),
+    ]
+    spark.createDataFrame(pages, SCHEMA).write.parquet(str(tmp_path / "pages.parquet"))
+    got = op1_url_filter(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    found = con.execute(OP1_SQL)
+    rows = sorted(map(tuple, got.select(*(c[0] for c in found.description)).collect()))
+    assert rows == sorted(found.fetchall())
+    assert [(r[0], r[4], r[5]) for r in rows] == [(1, "block", True), (2, "block", True), (3, "allow", True), (4, "allow", True), (5, "allow", True), (6, "allow", False)]
