@@ -27,9 +27,10 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stri
 #: The phrases every scan reports, whatever else it finds.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: label: gate keyword, name as words.  The keyword is part of every form of the name.
+#: label: gate keywords (cut at |), name as words.  One of the keywords is part of every form
+#: of the name.
 LICENSES = {
-    "mit": ("mit", "mit|expat|x11 mit"),
+    "mit": ("mit|expat", "mit|expat|x11 mit"),
     "apache-2": ("apache", r"apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
     "apache-1": ("apache", r"apache(?: software)?(?: license)?(?: version)? 1(?: [01])?"),
     "gpl-2": ("gpl", r"(?:gnu )?gpl ?v?2(?: 0)?(?: only| or later)?"),
@@ -100,7 +101,7 @@ LICENSES = {
     "busl": ("business source", r"business source license(?: version)?(?: 1 1)?"),
     "elastic-2": ("elastic license", r"elastic license(?: 2 0)?"),
     "openrail": ("openrail", r"(?:creativeml )?openrail(?: m)?"),
-    "proprietary": ("all rights", r"proprietary"),
+    "proprietary": ("proprietary", r"proprietary"),
 }
 
 #: Single signatures: label, gate keyword, pattern, strength.
@@ -136,7 +137,8 @@ FORMS = [
 
 @dataclass(frozen=True)
 class Rule:
-    """One signature: fires when ``keyword`` is in the words and ``pattern`` matches whole words."""
+    """One signature: fires when a word of ``keyword`` (one, or several cut at |) is in the words
+    and ``pattern`` matches whole words."""
 
     name: str
     label: str
@@ -153,7 +155,7 @@ def signature_rules() -> list[Rule]:
     for label, (keyword, name) in LICENSES.items():
         rules += [Rule(f"{form}:{label}", label.removesuffix("-long"), keyword, around % name, priority, strength) for form, priority, strength, around in FORMS]
     # A bare short identifier of several words says enough by itself.
-    rules += [Rule(f"id:{label}", label, keyword, name, 5, 0.5) for label, (keyword, name) in LICENSES.items() if " " in keyword or keyword in ("cc0", "wtfpl", "lgpl", "agpl", "odbl")]
+    rules += [Rule(f"id:{label}", label, keyword, name, 5, 0.5) for label, (keyword, name) in LICENSES.items() if " " in keyword or keyword in ("cc0", "wtfpl", "lgpl", "agpl", "odbl", "proprietary")]
     return sorted(rules, key=lambda r: r.priority)
 
 
@@ -168,7 +170,8 @@ class Scanner:
 
         self.rules, self.gate, by = rules, ahocorasick.Automaton(), {}
         for i, rule in enumerate(rules):
-            by.setdefault(rule.keyword, []).append(i)
+            for keyword in rule.keyword.split("|"):
+                by.setdefault(keyword, []).append(i)
         for keyword, which in by.items():
             self.gate.add_word(keyword, which)
         self.gate.make_automaton()

@@ -1,5 +1,7 @@
 import hashlib
 import re
+import re._constants as sre
+import re._parser as sre_parser
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +49,42 @@ def test_hundreds_of_rules_whose_gates_are_in_them():
     assert "gpl-3" in got[LICENSED[3]] and "bsd-3" in got[LICENSED[5]] and not got[LICENSED[4]]
 
 
+def forms(pattern):
+    """Texts that match, at least one for each choice of alternatives and optional parts."""
+
+    def walk(parts):
+        out = [""]
+        for op, x in parts:
+            if op is sre.LITERAL:
+                some = [chr(x)]
+            elif op is sre.SUBPATTERN:
+                some = walk(x[3])
+            elif op is sre.BRANCH:
+                some = [t for way in x[1] for t in walk(way)]
+            elif op is sre.IN:
+                some = [chr(v) if o is sre.LITERAL else chr(v[0]) if o is sre.RANGE else {sre.CATEGORY_DIGIT: "7", sre.CATEGORY_NOT_SPACE: "q"}[v] for o, v in x]
+            else:
+                assert op in (sre.MAX_REPEAT, sre.MIN_REPEAT)
+                some = [t * n for n in {x[0], min(x[1], x[0] + 1)} for t in walk(x[2])]
+            out = [a + b for a in out for b in dict.fromkeys(some)]
+        return out
+
+    found = walk(sre_parser.parse(pattern))
+    assert all(re.fullmatch(pattern, t) for t in found)
+    return found
+
+
+def test_gates_are_in_all_that_names_and_signatures_match():
+    rules = L.signature_rules()
+    for keyword, pattern in [*L.LICENSES.values(), *((k, p) for _, k, p, _ in L.SIGNATURES), *((p, p) for p in L.BASE)]:
+        for text in forms(pattern):
+            assert any(k in text for k in keyword.split("|")), (keyword, text)
+    for text, label in (("released under the expat license", "mit"), ("a proprietary license", "proprietary"), ("license expat", "mit")):
+        alone = {r.name for r in rules if re.search(rf"(?<= )(?:{r.pattern})(?= )", f" {text} ")}
+        got = L.Scanner(rules).scan(text.encode())[1]
+        assert {d["rule"] for d in got} == alone and label in {d["label"] for d in got}
+
+
 def brute_secrets(t):
     t, out = t or "", []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
