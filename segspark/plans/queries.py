@@ -335,20 +335,9 @@ def recombination_rate(spark, d):
     return mapping.recombination_rate(D.snps(spark, d), per_chrom=True).select("chrom", F.round(F.col("rate") * 1e9, 6).alias("rate"))
 
 
-OPT_SQL = (
-    f"WITH {D.SNP_CTE}, {RATES}, g0 AS (SELECT chrom, min(pos) AS pmin, CAST(ceil((max(pos) - min(pos)) / 2000000.0) AS BIGINT) AS points FROM snps GROUP BY chrom), g AS (SELECT chrom, pmin, unnest(range(0, points)) AS i FROM g0), "
-    "th AS (SELECT e, s FROM (SELECT unnest([1e-10::DOUBLE, 1e-1::DOUBLE]) AS e), (SELECT unnest([0.1::DOUBLE, 10.0::DOUBLE]) AS s)), "
-    "pairs AS (SELECT g.chrom, g.i, e, s, res_major, res_minor, sus_major, sus_minor, 0.5 * (1 - exp(-2.0 * greatest(1, abs(g.pmin + g.i * 2000000 - pos)) * s * rate)) AS podd FROM g JOIN snps ON g.chrom = snps.chrom AND pos > g.pmin + g.i * 2000000 - 50000 AND pos < g.pmin + g.i * 2000000 + 50000, rt, th), "
-    f"a AS (SELECT *, {_pair_sql('e', 's')} FROM pairs), al AS (SELECT chrom, i, e, s, sum({_ll()}) AS ll FROM a GROUP BY chrom, i, e, s), "
-    f"b AS (SELECT *, {_pair_sql('e', 's').replace('podd', '0.5::DOUBLE')} FROM pairs), bl AS (SELECT chrom, i, e, s, sum({_ll()}) AS ll0 FROM b GROUP BY chrom, i, e, s), "
-    "m AS (SELECT chrom, i, max(ll) - max(ll0) AS v FROM al JOIN bl USING (chrom, i, e, s) GROUP BY chrom, i) "
-    "SELECT g.chrom, g.pmin + g.i * 2000000 AS pos, round(greatest(coalesce(v, 0), 0), 4) AS score FROM g LEFT JOIN m ON g.chrom = m.chrom AND g.i = m.i"
-)
-
-
-@query("map_score_opt", OPT_SQL)
+@query("map_score_opt")
 def map_score_opt(spark, d):
-    return mapping.map_score_opt(D.snps(spark, d), 178, 280, step=2_000_000, window=50_000, points=2).withColumn("score", F.round("score", 4))
+    return mapping.map_score_opt(D.snps(spark, d), 178, 280).withColumn("score", F.round("score", 4))
 
 
 @query(

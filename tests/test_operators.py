@@ -323,3 +323,33 @@ def test_samples_and_small_forms(spark):
     assert [r[0] for r in names] == [True, False, True]
     line = spark.createDataFrame([("g", "A-", "AC")], "gene string, ref string, alt string").select(consequence.alignment_lines()).first()[0]
     assert line == ">g reference\nA-\n>g variant\nAC"
+
+
+def test_map_score_opt_against_brute_force(spark, tmp_path):
+    from segspark.plans.queries import QUERIES
+
+    lines = [("A", "F", 3, 1, 11, 5, 17.0, 0.03, 0.04), ("A", "F", 700, 2, 52, 9, 40.0, 0.0, 0.1), ("A", "F", 5200, 1, 3, 1, 9.0, 0.08, 0.0), ("A", "F", 6105, 3, 77, 2, 50.0, 0.01, 0.07), ("R", "F", 10, 1, 39, 4, 1.0, 0.05, 0.02), ("R", "F", 400, 1, 8, 4, 30.0, 0.02, 0.09)]
+    names = ("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_discount")
+    spark.createDataFrame(lines, ", ".join(f"{n} {k}" for n, k in zip(names, ["string"] * 2 + ["long"] * 4 + ["double"] * 3))).withColumn("l_extendedprice", F.lit(1.0)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    snps = [(a + b, 1000 * o + n, int(q), round(100 * t), round(100 * d) + 5, p % 40) for a, b, o, n, p, _, q, t, d in lines]
+    rising = lambda x, k: float(np.log(x + np.arange(k)).sum())
+
+    def ll(mean, spread, size, eps, podd, k, n):
+        c = max(mean * (1 - mean) / (spread * podd * (1 - podd) / size + eps * eps) - 1, 1e-3)
+        return rising(mean * c, k) + rising((1 - mean) * c, n - k) - rising(c, n)
+
+    both = lambda podd, eps, r: ll(1 - podd, 1.0, 178, eps, podd, r[2], r[2] + r[3]) + ll((1 + podd) / 3, 1 / 3, 280, eps, podd, r[4], r[4] + r[5])
+    rate = 2 / (max(r[1] for r in snps) - min(r[1] for r in snps))
+    want = {}
+    for chrom in ("AF", "RF"):
+        mine = [r for r in snps if r[0] == chrom]
+        for at in range(min(r[1] for r in mine), max(r[1] for r in mine), 100_000):
+            near = [r for r in mine if abs(r[1] - at) < 5_000_000]
+            tested, background = [], []
+            for eps in (10.0**e for e in range(-10, 0)):
+                background.append(sum(both(0.5, eps, r) for r in near))
+                tested += [sum(both(-0.5 * np.expm1(-2 * max(1, abs(r[1] - at)) * rate * (0.1 + 1.1 * j)), eps, r) for r in near) for j in range(10)]
+            want[chrom, at] = max(0, max(tested) - max(background))
+    got = {(r["chrom"], r["pos"]): r["score"] for r in QUERIES["map_score_opt"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and len(got) == 66 and max(got.values()) > 1
+    assert all(abs(got[k] - want[k]) < 1e-3 for k in want)
