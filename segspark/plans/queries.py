@@ -741,8 +741,11 @@ def gene_alignment(spark, d):
     rows = _coding(spark, d, "S").withColumn("cds_left", consequence.cds_position())
     edits = rows.select("gene", "vartype", "cds_left", F.col("cds_left").alias("cds_right"), F.col("alt").alias("seq"))
     ins = _coding(spark, d, "I").withColumn("cds_left", consequence.cds_position()).select("gene", "vartype", "cds_left", F.col("cds_left").alias("cds_right"), "seq")
-    genes = rows.select("gene", "strand", "cds").distinct()
-    return consequence.gene_alignment(genes, edits.unionByName(ins))
+    hits = _coding(spark, d, "D").withColumn("start", F.col("pos")).withColumn("end", F.col("pos") + F.col("len") - 1)
+    gone = consequence.deletion_spans(hits).select("gene", F.lit("D").alias("vartype"), "cds_left", "cds_right", F.lit(None).cast("string").alias("seq"))
+    ex = consequence.exon_offsets(D.exons(spark, d)).select("gene", "strand", F.col("cds_len").cast("int").alias("cds_len")).distinct()
+    genes = ex.select("gene", "strand", F.substr(F.expr(D.DNA), F.lit(1), F.col("cds_len")).alias("cds"))
+    return consequence.gene_alignment(genes, edits.unionByName(ins).unionByName(gone))
 
 
 @query("mut_output", CODING_SNPS + "SELECT concat_ws(chr(9), vid, gene, CASE WHEN ref_aa = new_aa THEN 'Syn' ELSE 'Nonsyn' END, ref_aa || '>' || new_aa) AS line FROM w")

@@ -353,3 +353,57 @@ def test_map_score_opt_against_brute_force(spark, tmp_path):
     got = {(r["chrom"], r["pos"]): r["score"] for r in QUERIES["map_score_opt"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and len(got) == 66 and max(got.values()) > 1
     assert all(abs(got[k] - want[k]) < 1e-3 for k in want)
+
+
+def dna_of(gene):
+    import hashlib
+
+    return hashlib.md5(str(gene).encode()).hexdigest().translate(str.maketrans("0123456789abcdef", "ACGTACGTACGTACGT")) * 200
+
+
+def test_gene_alignment_query_against_brute_force(spark, tmp_path):
+    from segspark.plans.queries import QUERIES
+
+    rng = random.Random(4)
+    parts = [(1, 10), (2, 12), (3, 7), (4, 9)]
+    # gene 1 and 2: all kinds, also over the ends of exons; 3: insertions alone; 4: nothing
+    lines = [("N", "O", rng.choice([7, 8]), n, rng.randrange(1, 99), rng.randrange(1, 99)) for n in rng.sample(range(1000), 250)]
+    lines += [("R", "O", 15, n, rng.randrange(1, 99), rng.randrange(1, 99)) for n in [*range(192, 200), *rng.sample(range(200, 999), 150), 398, 399]]
+    lines += [("A", "O", 22, 500 + n, 6 + n, 12) for n in (3, 40, 90)]
+    spark.createDataFrame(lines, "l_returnflag string, l_linestatus string, l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    want, kinds = {}, set()
+    for gene, size in parts:
+        chrom, start, n = "AFNOROAONFRF"[2 * (gene % 6) :][:2], gene * 7500, size * 100
+        coding = [start + n // 3 * k + i for k in range(3) for i in range(n // 6)]
+        last = {start + n // 3 * k + n // 6 - 1 for k in range(3)}
+        cp, edits = {p: i + 1 for i, p in enumerate(coding)}, []
+        for a, b, order, line, part, supp in lines:
+            pos, long = order * 1000 + line, 2 + part % 5
+            ref = "ACGTACGTAC"[part % 4 :][: long if supp % 5 == 1 else 1]
+            alt = "ACGTACGTAC"[(part + 1 + supp % 3) % 4 :][: long if supp % 5 == 2 else 1]
+            if a + b != chrom:
+                continue
+            if len(ref) > 1:
+                hit = [cp[p] for p in range(pos, pos + len(ref) - 1) if p in cp]
+                edits += [(min(hit), max(hit), "D", "")] if hit else []
+            elif len(alt) > 1:
+                edits += [(cp[pos], cp[pos], "I", alt[1:])] if pos in cp and pos not in last else []
+            else:
+                edits += [(cp[pos], cp[pos], "S", alt)] if pos in cp else []
+        cds, done, changed, after = dna_of(gene)[: len(coding)], 0, {}, {}
+        for left, right, kind, seq in sorted(edits):
+            if left - (kind != "I") < done:
+                continue
+            done = right
+            kinds.add((gene, kind))
+            if kind == "I":
+                after[left] = after.get(left, "") + seq
+            else:
+                changed |= dict.fromkeys(range(left, right + 1), seq or "-")
+        ref = "".join(c + "-" * len(after.get(i, "")) for i, c in enumerate(cds, 1))
+        alt = "".join(changed.get(i, c) + after.get(i, "") for i, c in enumerate(cds, 1))
+        turn = (lambda x: x) if gene % 2 == 0 else (lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA")))
+        want[gene] = (turn(ref), turn(alt))
+    assert kinds == {(g, k) for g in (1, 2) for k in "SID"} | {(3, "I")}
+    assert {r["gene"]: (r["ref"], r["alt"]) for r in QUERIES["gene_alignment"](spark, str(tmp_path)).collect()} == want
