@@ -768,9 +768,9 @@ def revcomp(spark, d):
     return _dna(spark, d).select("doc_id", F.md5(S.revcomp(F.col("seq"))).alias("rc"))
 
 
-@query("revcomp_iupac", "SELECT doc_id, md5(translate(reverse(text), 'ACTGactgMRVHmrvhKYBDkybd', 'TGACtgacKYBDkybdMRVHmrvh')) AS rc FROM documents WHERE lang = 'en'")
+@query("revcomp_iupac")
 def revcomp_iupac(spark, d):
-    return D.table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.md5(S.revcomp_iupac(F.col("text"))).alias("rc"))
+    return D.table(spark, d, "documents").select("doc_id", F.md5(S.revcomp_iupac(F.col("text"))).alias("rc"))
 
 
 @query("iupac", f"WITH {D.SNP_CTE} SELECT vid, qual, CASE WHEN ref || alt IN ('AT', 'TA') THEN 'W' WHEN ref || alt IN ('CG', 'GC') THEN 'S' WHEN ref || alt IN ('AC', 'CA') THEN 'M' WHEN ref || alt IN ('GT', 'TG') THEN 'K' WHEN ref || alt IN ('CT', 'TC') THEN 'Y' WHEN ref || alt IN ('AG', 'GA') THEN 'R' END AS letter FROM snps")

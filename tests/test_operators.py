@@ -407,3 +407,15 @@ def test_gene_alignment_query_against_brute_force(spark, tmp_path):
         want[gene] = (turn(ref), turn(alt))
     assert kinds == {(g, k) for g in (1, 2) for k in "SID"} | {(3, "I")}
     assert {r["gene"]: (r["ref"], r["alt"]) for r in QUERIES["gene_alignment"](spark, str(tmp_path)).collect()} == want
+
+
+def test_revcomp_iupac_of_all_languages(spark, tmp_path):
+    import hashlib
+
+    from segspark.plans.queries import QUERIES
+
+    docs = [(1, "ACMRn", "en"), (2, "äTGu", "de"), (3, "e\u0301Kx 😀", None), (4, None, "fr"), (5, "", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    turn = str.maketrans("ACTGactgMRVHmrvhKYBDkybd", "TGACtgacKYBDkybdMRVHmrvh")
+    want = {i: t if t is None else hashlib.md5(t[::-1].translate(turn).encode()).hexdigest() for i, t, _ in docs}
+    assert dict(map(tuple, QUERIES["revcomp_iupac"](spark, str(tmp_path)).collect())) == want
