@@ -783,12 +783,12 @@ def translate_cds(spark, d):
     return _dna(spark, d).select("doc_id", F.md5(S.translate_cds(F.col("seq"))).alias("protein"))
 
 
-@query("subsequence", f"WITH {D.GENE_CTE} SELECT gene, substr({D.DNA}, 11, CAST(least(60, g_end - g_start) AS INT)) AS seq FROM genes")
+@query("subsequence", f"WITH {D.GENE_CTE} SELECT gene, substr({D.DNA}, 11, CAST(g_end - g_start AS INT)) AS seq FROM genes")
 def subsequence(spark, d):
     genes = D.genes(spark, d)
-    chunks = R.chunked(genes.select(F.col("gene").alias("chrom"), F.substr(F.expr(D.DNA), F.lit(1), F.lit(100)).alias("seq")), 32)
-    regions = genes.select("gene", F.col("gene").alias("chrom"), F.lit(11).cast("long").alias("start"), (10 + F.least(F.lit(60), F.col("g_end") - F.col("g_start"))).alias("end"))
-    return R.subsequences(regions, chunks, 32, "gene").select("gene", "seq")
+    chunks = R.chunked(genes.select(F.col("gene").alias("chrom"), F.expr(D.DNA).alias("seq")), 1000)
+    regions = genes.select("gene", F.col("gene").alias("chrom"), F.lit(11).cast("long").alias("start"), (10 + F.col("g_end") - F.col("g_start")).alias("end"))
+    return R.subsequences(regions, chunks, 1000, "gene").select("gene", "seq")
 
 
 @query("masked_length", "SELECT doc_id, CAST(length(text) - length(replace(text, 'n', '')) AS INT) AS n FROM documents")
@@ -859,12 +859,14 @@ def primer_request(spark, d):
 
 @query(
     "primer_matches",
-    f"WITH {D.GENE_CTE}, c AS (SELECT gene, substr({D.DNA}, 1, 120) AS s FROM genes), pr AS (SELECT DISTINCT substr(s, CAST(1 + gene % 13 AS INT), 12) AS primer FROM c), w AS (SELECT substr(s, CAST(i AS INT), 12) AS word FROM (SELECT s, unnest(range(1, 110)) AS i FROM c)), n AS (SELECT word, count(*) AS n FROM w GROUP BY word) "
+    f"WITH {D.GENE_CTE}, c AS (SELECT gene, {D.DNA} AS s FROM genes), pr AS (SELECT DISTINCT substr(s, CAST(1 + gene % 13 AS INT), 12) AS primer FROM c), w AS (SELECT substr(s, CAST(i AS INT), 12) AS word FROM (SELECT s, unnest(range(1, length(s) - 10)) AS i FROM c)), n AS (SELECT word, count(*) AS n FROM w GROUP BY word) "
     "SELECT primer, CAST(coalesce(a.n, 0) + CASE WHEN translate(reverse(primer), 'ACGT', 'TGCA') = primer THEN 0 ELSE coalesce(b.n, 0) END AS BIGINT) AS hits FROM pr LEFT JOIN n a ON a.word = primer LEFT JOIN n b ON b.word = translate(reverse(primer), 'ACGT', 'TGCA')",
 )
 def primer_matches(spark, d):
-    chunks = D.genes(spark, d).select("gene", F.substr(F.expr(D.DNA), F.lit(1), F.lit(120)).alias("chunk_seq"))
-    wanted = chunks.select(F.substr("chunk_seq", (1 + F.col("gene") % 13).cast("int"), F.lit(12)).alias("primer"))
+    genes = R.spread(D.genes(spark, d)).select("gene", F.expr(D.DNA).alias("seq"))
+    wanted = genes.select(F.substr("seq", (1 + F.col("gene") % 13).cast("int"), F.lit(12)).alias("primer"))
+    starts = F.explode(F.sequence(F.lit(1), F.length("seq"), F.lit(100))).alias("at")
+    chunks = genes.select("seq", starts).select(F.substr("seq", F.col("at"), F.lit(100 + 12 - 1)).alias("chunk_seq"))
     return primers.matches(wanted, chunks, 12)
 
 

@@ -419,3 +419,21 @@ def test_revcomp_iupac_of_all_languages(spark, tmp_path):
     turn = str.maketrans("ACTGactgMRVHmrvhKYBDkybd", "TGACtgacKYBDkybdMRVHmrvh")
     want = {i: t if t is None else hashlib.md5(t[::-1].translate(turn).encode()).hexdigest() for i, t, _ in docs}
     assert dict(map(tuple, QUERIES["revcomp_iupac"](spark, str(tmp_path)).collect())) == want
+
+
+def test_primers_and_regions_of_whole_sequences(spark, tmp_path):
+    import hashlib
+
+    from segspark.plans.queries import QUERIES
+
+    parts = [(g, 1 + g * 7 % 50) for g in range(1, 9)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    digits = str.maketrans("0123456789abcdef", "ACGTACGTACGTACGT")
+    seqs = {g: hashlib.md5(str(g).encode()).hexdigest().translate(digits) * 200 for g, _ in parts}
+    turned = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    count = lambda w: sum(s.startswith(w, i) for s in seqs.values() for i in range(len(s)))
+    wanted = {s[g % 13 : g % 13 + 12] for g, s in seqs.items()}
+    hits = {w: sum(count(x) for x in {w, turned(w)}) for w in wanted}
+    assert dict(map(tuple, QUERIES["primer_matches"](spark, str(tmp_path)).collect())) == hits and min(hits.values()) >= 199
+    got = dict(map(tuple, QUERIES["subsequence"](spark, str(tmp_path)).collect()))
+    assert got == {g: seqs[g][10 : 10 + size * 100 - 1] for g, size in parts}
