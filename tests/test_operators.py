@@ -437,3 +437,15 @@ def test_primers_and_regions_of_whole_sequences(spark, tmp_path):
     assert dict(map(tuple, QUERIES["primer_matches"](spark, str(tmp_path)).collect())) == hits and min(hits.values()) >= 199
     got = dict(map(tuple, QUERIES["subsequence"](spark, str(tmp_path)).collect()))
     assert got == {g: seqs[g][10 : 10 + size * 100 - 1] for g, size in parts}
+
+
+def test_barcodes_are_bounded_and_not_joined(spark, capsys):
+    one = spark.createDataFrame([("x", "L", "R")], "id string, primer_left string, primer_right string")
+    codes = spark.range(assays.MOST_BARCODES + 1).selectExpr("hex(id) AS code", "concat('s', id) AS sample")
+    with pytest.raises(ValueError, match="barcodes"):
+        assays.barcode_rows(one, codes)
+    assert assays.barcode_rows(one, codes.limit(0)).count() == 0
+    rows = assays.barcode_rows(one, codes.limit(3))
+    assert rows.count() == 18
+    rows.explain()
+    assert "Join" not in capsys.readouterr().out
