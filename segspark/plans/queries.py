@@ -377,7 +377,7 @@ def pooled_rate_peaks(spark, d):
 
 @query("simulate_pools")
 def simulate_pools(spark, d):
-    return mapping.simulate_pools(spark, distances=200)
+    return mapping.simulate_pools(spark)
 
 
 # ---- calls: parse, normalise, query

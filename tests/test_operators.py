@@ -449,3 +449,10 @@ def test_barcodes_are_bounded_and_not_joined(spark, capsys):
     assert rows.count() == 18
     rows.explain()
     assert "Join" not in capsys.readouterr().out
+
+
+def test_simulated_curve_is_whole(spark):
+    from segspark.plans.queries import QUERIES
+
+    r = QUERIES["simulate_pools"](spark, "").agg(F.count("*"), F.countDistinct("distance"), F.max("distance")).first()
+    assert (r[0], r[1]) == (20_000, 2000) and abs(r[2] - 2e6) < 1e-3
