@@ -8,6 +8,11 @@ each round every sequence finds its best-ranked (leftmost) neighbouring pair and
 sequences apply theirs at once, until none has a pair left.  What survives is counted;
 a character outside the vocabulary counts as its UTF-8 bytes.
 
+Sequences beyond ``LONG`` symbols (text without blanks) are linked arrays instead: ranks
+are taken in order, and each rank merges all its places in all sequences at once, from
+left to right and up to the first one that makes a pair of no worse rank.  A round costs
+what it merges, so a sequence of any length takes little more than linear time.
+
 Defined results: null and empty texts have 0 tokens; texts are counted whole, whatever
 their length; repeated rows give repeated results; an empty table gives an empty result;
 further columns pass through, the columns that are added replace those of the same name.
@@ -15,6 +20,7 @@ further columns pass through, the columns that are added replace those of the sa
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +34,8 @@ from segspark.llm._words import mix
 
 SPACE = 0x2581
 NONE = np.iinfo(np.int32).max
+#: Symbols from which on a sequence is merged rank by rank.
+LONG = 48
 #: Distinct sequences whose counts a task keeps; beyond it, it starts anew.
 CACHED = 1 << 20
 _U = np.uint64
@@ -72,6 +80,79 @@ class PieceVocabulary:
 
     def merge(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Symbols left in each sequence; ``symbols`` holds the sequences one after another."""
+        long = lengths > LONG
+        if not long.any():
+            return self._merge_short(symbols, lengths)
+        out, apart = np.empty(len(lengths), np.int64), np.repeat(long, lengths)
+        out[long] = self._merge_long(symbols[apart], lengths[long])
+        if not long.all():
+            out[~long] = self._merge_short(symbols[~apart], lengths[~long])
+        return out
+
+    def _merge_long(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        sym, size = symbols.copy(), len(symbols)
+        starts = np.cumsum(lengths) - lengths
+        after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
+        after[starts + lengths - 1], before[starts] = -1, -1
+        rank, into, merged = np.full(size, NONE, np.int32), np.zeros(size, np.int32), np.zeros(size, np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def rate(at: np.ndarray) -> None:
+            """Look the pairs that start at ``at`` up and queue those that merge."""
+            rank[at] = NONE
+            at = at[after[at] >= 0]
+            rank[at], into[at] = self.look_up(sym[at], sym[after[at]])
+            at = at[rank[at] < NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            for part in np.split(at, np.flatnonzero(np.diff(rank[at])) + 1) if len(at) else ():
+                queue(int(rank[part[0]]), part)
+
+        def queue(r: int, at: np.ndarray) -> None:
+            if r not in waiting:
+                waiting[r] = []
+                heapq.heappush(ranks, r)
+            waiting[r].append(at)
+
+        rate(np.arange(size))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]  # still a pair, and still this one
+            if not len(at):
+                continue
+            # Of places that overlap in a chain every second one merges.
+            chain = np.concatenate(([False], at[1:] == after[at[:-1]]))
+            run = np.arange(len(at))
+            run -= np.maximum.accumulate(np.where(chain, 0, run))
+            at = at[run % 2 == 0]
+            right, made = after[at], into[at]
+            beyond = after[right]
+            # Pairs that stand after a merge while what is right of it waits; one of no worse
+            # rank goes first in its sequence.
+            left = before[at]
+            joined = np.concatenate(([False], left[1:] == right[:-1]))  # the left neighbour has just merged
+            shifted = np.concatenate(([0], made[:-1]))
+            other = np.where(joined, shifted, sym[left])
+            ahead = np.where(left >= 0, self.look_up(other, made)[0], NONE)
+            ahead = np.minimum(ahead, np.where(beyond >= 0, self.look_up(made, sym[beyond])[0], NONE))
+            stops = np.flatnonzero(ahead <= r)
+            if len(stops):
+                owner = np.searchsorted(starts, at, side="right")
+                _, first = np.unique(owner[stops], return_index=True)
+                last = np.full(len(starts) + 1, len(at))
+                last[owner[stops[first]]] = stops[first]
+                now = np.arange(len(at)) <= last[owner]
+                queue(r, at[~now])
+                at, right, made, beyond = at[now], right[now], made[now], beyond[now]
+            sym[at], after[at] = made, beyond
+            rank[right], merged[right] = NONE, 1
+            before[beyond[beyond >= 0]] = at[beyond >= 0]
+            left = before[at]
+            rate(np.unique(np.concatenate((at, left[left >= 0]))))
+        return lengths - np.add.reduceat(merged, starts)
+
+    def _merge_short(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         out = lengths.astype(np.int64).copy()
         live, sym, n = np.arange(len(lengths)), symbols, lengths.astype(np.int64)
         last = np.cumsum(n) - 1

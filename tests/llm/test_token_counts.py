@@ -1,9 +1,12 @@
+import base64
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from segspark.llm.token_counts import token_counts
+from segspark.llm.token_counts import TokenCounter, token_counts
 
 tokenizers = pytest.importorskip("public_tokenizers")
 sentencepiece = pytest.importorskip("sentencepiece")
@@ -29,3 +32,28 @@ def test_same_counts_as_the_library(spark, odd_docs):
 
 def test_no_documents(no_docs):
     assert token_counts(no_docs, MODEL).count() == 0
+
+
+def one(counter, text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return int(counter.count(data, np.array([0, len(data)]))[0])
+
+
+def test_long_sequences_count_like_the_library():
+    r = random.Random(3)
+    model, counter = sentencepiece.SentencePieceProcessor(model_file=MODEL), TokenCounter(MODEL)
+    kinds = ["ab", "aeinrst", "=-", "etaoinshrdlucmfwyp", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "äöüéñ漢字a"]
+    for i in range(300):
+        text = "".join(r.choice(kinds[i % len(kinds)]) for _ in range(r.randrange(1, 900)))
+        assert one(counter, text) == len(model.encode(text)), text
+    words = "".join(r.choice(["the", "tion", "ing", "station", "internationalization", "a", "x"]) for _ in range(4000))
+    assert one(counter, words) == len(model.encode(words))
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "ab" * 500_000, "=" * 1_000_000, base64.b64encode(random.Random(1).randbytes(750_000)).decode()], ids=["a", "ab", "rule", "base64"])
+def test_a_million_characters_without_a_blank(text):
+    model, counter = sentencepiece.SentencePieceProcessor(model_file=MODEL), TokenCounter(MODEL)
+    began = time.perf_counter()
+    got = one(counter, text)
+    assert time.perf_counter() - began < 5
+    assert got == len(model.encode(text))
