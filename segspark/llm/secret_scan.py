@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -39,7 +39,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs: those of [0-9a-f]+ with 24 or more characters
 ACCOUNT = re.compile(r"""\b(?:access_?key_?id|client_?id|account|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.I | re.A)
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*\d)(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}|(?<![0-9A-Za-z])[0-9a-f]{16,23}(?![0-9A-Za-z])")
-ENDPOINT = re.compile(r"""https?://[^\s"'<>]+|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{2,5})?\b|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:\d{2,5}\b""", re.A)
+# A run of host characters is tried once, from its beginning, and never given back.
+ENDPOINT = re.compile(r"""https?://[^\s"'<>]+|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{2,5})?\b|(?<![A-Za-z0-9_.-])[a-z0-9-]++(?:\.[a-z0-9-]++)++:\d{2,5}\b""", re.A)
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
 
@@ -57,19 +58,23 @@ def weak_parts(text: str, strong: list[tuple[str, int, int]]) -> list[tuple[str,
     if not accounts and not any(k == "access" for k, _, _ in strong):
         return []  # without an identifier nothing weak can be reported
     found = accounts + [("opaque", *m.span()) for m in OPAQUE.finditer(text)] + [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)]
-    begins, ends, out = [], [], []  # of the stretches that are taken, none overlapping another
-    for start, end in sorted((s, e) for _, s, e in strong):
-        if ends and start < ends[-1]:
-            ends[-1] = max(ends[-1], end)
+    taken, out = disjoint((s, e) for _, s, e in strong), []
+    for kind in ("account", "opaque", "endpoint"):
+        begins = [s for s, _ in taken]
+        free = [x for x in found if x[0] == kind and (not (at := bisect_left(begins, x[2])) or taken[at - 1][1] <= x[1])]
+        out += free
+        taken = sorted(taken + [(s, e) for _, s, e in free])
+    return out
+
+
+def disjoint(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches that the spans cover, in order; spans that overlap become one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
         else:
-            begins.append(start)
-            ends.append(end)
-    for kind, start, end in found:
-        at = bisect_left(begins, end)
-        if not at or ends[at - 1] <= start:
-            out.append((kind, start, end))
-            begins.insert(at, start)
-            ends.insert(at, end)
+            out.append((start, end))
     return out
 
 
@@ -86,11 +91,13 @@ def parts(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataF
     def scoped(spans: list[tuple[str, int, int]], ends: list[int]) -> list[dict]:
         return [{"kind": k, "start": s, "end": e, "scope": bisect_right(ends, s)} for k, s, e in spans]
 
+    at = next((i for i, f in enumerate(own) if f.name == text), len(own))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             strong, weak = [], []
-            for x in batch.column(len(own)):
+            for x in batch.column(at):
                 body = x.as_py() or ""
                 a = strong_parts(body)
                 b = weak_parts(body, a)
@@ -102,7 +109,8 @@ def parts(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataF
             columns = [*batch.columns[: len(own)], rows, pa.array(strong, _ARROW), pa.array(weak, _ARROW)]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    return docs.select(*(F.col(f"`{f.name}`") for f in own), F.col(f"`{text}`").alias("_body")).mapInArrow(cut, schema)
+    body = [] if keep_text else [F.col(f"`{text}`").alias("_body")]
+    return docs.select(*(F.col(f"`{f.name}`") for f in own), *body).mapInArrow(cut, schema)
 
 
 def link_parts(found: DataFrame, reach: int = REACH) -> DataFrame:
@@ -141,32 +149,43 @@ def secret_scan(docs: DataFrame, text: str = "text", reach: int = REACH) -> Data
     return both.withColumn("base_spans", _listed(F.col("strong"))).withColumn("spans", _listed(F.concat("strong", "linked"))).drop("_row", "weak")
 
 
-def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with every character of the spans gone and a mark where a run of them began."""
-    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
+MARK = "[SECRET]"
 
-    def step(a: Column, x: Column) -> Column:
-        fresh = F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.greatest(x["start"] - a["at"], F.lit(0)).cast("int")), F.when(x["start"] >= a["at"], F.lit(mark)).otherwise(F.lit("")))
-        return F.struct(fresh.alias("out"), F.greatest(a["at"], x["end"]).alias("at"))
 
-    done = F.aggregate(ordered, begin, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+def redact(text: str, spans: Iterable[tuple[int, int]], mark: str = MARK) -> str:
+    """``text`` with a mark in place of every stretch that spans cover; stretches that
+    touch each other have one mark each."""
+    out, at = [], 0
+    for start, end in disjoint(spans):
+        out += [text[at:start], mark]
+        at = end
+    return "".join([*out, text[at:]])
 
 
 def redact_documents(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
     """``docs`` with the reported spans of each text redacted, columns unchanged.
 
     Only documents with weak candidates meet the linked spans; the others stay in place."""
-    found = materialize(parts(docs, text, keep_text=True), "parts")
+    at, names = docs.columns.index(text), [f"c{i}" for i in range(len(docs.columns))]
+    found = materialize(parts(docs.toDF(*names), names[at], keep_text=True), "parts")
     span = F.struct("kind", "start", "end")
     linked = link_parts(found, reach).groupBy("_row").agg(F.collect_list(span).alias("linked"))
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     sure = found.filter(F.size("weak") == 0).withColumn("linked", none)
     both = sure.unionByName(found.filter(F.size("weak") > 0).join(linked, "_row", "left").withColumn("linked", F.coalesce("linked", none)))
-    strong = F.transform("strong", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    body = redact(F.col(f"`{text}`"), F.concat(strong, F.col("linked")))
-    return both.select(*(body.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
+    place = lambda column: F.transform(column, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    spans = F.concat(place("strong"), place("linked"))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies, places = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            new = [redact(b, [(x["start"], x["end"]) for x in p]) if p else b for b, p in zip(bodies, places, strict=True)]
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(new, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=docs_names)
+
+    docs_names = docs.columns
+    return both.select(*names, spans.alias("spans")).mapInArrow(clean, docs.schema)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

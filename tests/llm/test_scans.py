@@ -2,6 +2,7 @@ import hashlib
 import re
 import re._constants as sre
 import re._parser as sre_parser
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +117,61 @@ CASES = {
 }
 
 
+def brute_weak(t, strong):
+    """Weak parts by plain loops: earlier kinds first, no overlap with what is there."""
+    kinds = {"account": Z.ACCOUNT, "opaque": Z.OPAQUE, "endpoint": Z.ENDPOINT}
+    found = {k: [m.span() for m in p.finditer(t)] for k, p in kinds.items()}
+    if not found["account"] and not any(k == "access" for k, _, _ in strong):
+        return []
+    out = []
+    for k, spans in found.items():
+        for s, e in spans:
+            if all(e <= a or b <= s for _, a, b in [*strong, *out]):
+                out.append((k, s, e))
+    return out
+
+
+def brute_linked(t, reach):
+    strong = Z.strong_parts(t)
+    weak = brute_weak(t, strong)
+    scope = lambda s: sum(m.start() <= s for m in Z.BLANK.finditer(t))
+
+    def meets(x, role):
+        return Z.ROLES[x[0]] == role or any(Z.ROLES[y[0]] == role and scope(y[1]) == scope(x[1]) and y[1] <= x[2] + reach and y[2] >= x[1] - reach for y in strong + weak)
+
+    return sorted(x for x in weak if meets(x, "identifier") and meets(x, "secret"))
+
+
+def secret_texts(seed=9):
+    import random
+
+    r = random.Random(seed)
+    bits = ["user = bob.smith", "client_id: x_12345", "login=ann@x.y", "token = abcdefgh1", "secret:s3cr3t/val", "AKIA" + "A1" * 8, "aB3xY7zQ9kLm2NpR4sTu", "0123456789abcdef01", "ab" * 14, "https://api.example.com/v1?token=abcdef99", "10.0.0.1:8080", "db-1.example.com:5432", "a-b.c", "user", "\n\n", "\n", "\n \t\n", "word " * 9, "x" * 40 + " ", "y " * 60, "é😀"]
+    return ["".join(r.choice(bits) + r.choice([" ", " ", "\n", ", ", ""]) for _ in range(r.randrange(1, 25))) for _ in range(400)]
+
+
+@pytest.mark.parametrize("reach", [300, 40])
+def test_links_against_brute_force(spark, reach):
+    texts = secret_texts()
+    got = Z.secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), reach=reach).collect()
+    n = 0
+    for r in got:
+        want = brute_linked(texts[r["doc_id"]], reach)
+        assert sorted((x["kind"], x["start"], x["end"]) for x in r["linked"]) == want
+        n += len(want)
+    assert n > 300 and len(got) == len(texts)
+
+
+@pytest.mark.parametrize("piece", ["a-", "a.", "a", "user=abc ", "token=abcdef ", "user=abc aB3xY7zQ9kLm2NpR4sTu http://x.y/z ", "user ", "AKIA", "0f", "\n ", "http://", "1.1.1.", "aA1+"])
+def test_a_million_characters_take_no_time(piece):
+    text = "user=bob1 " + piece * (1_000_000 // len(piece))
+    began = time.perf_counter()
+    strong = Z.strong_parts(text)
+    weak = Z.weak_parts(text, strong)
+    Z.redact(text, [(s, e) for _, s, e in strong + weak])
+    assert time.perf_counter() - began < 2
+
+
 @pytest.mark.parametrize("reach", [300])
 def test_weak_parts_need_complements(spark, reach):
     docs = spark.createDataFrame(list(enumerate(CASES)), "doc_id long, text string")
