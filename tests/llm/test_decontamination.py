@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from segspark.llm import decontamination as D
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
@@ -65,3 +67,27 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert got == [(3, 5, 0)] * 4 + [(4, 4, 0)]  # a repeated row finds a repeated item twice
     assert D.decontaminate(no_docs, items).count() == 0
     assert D.decontaminate(odd_docs, spark.createDataFrame([], ITEMS)).count() == 0
+
+
+def test_any_number_of_blocks_is_one_scan(spark, tmp_path):
+    docs, items = cases()
+    spark.createDataFrame(docs, DOCS).write.parquet(str(tmp_path / "docs"))
+    bench = spark.createDataFrame(items, ITEMS)
+    path, blocks = D.item_blocks(bench, 200)
+    assert blocks >= 3 and path
+    frame = spark.read.parquet(str(tmp_path / "docs"))
+    for found in (D.decontaminate(frame, bench, block_bytes=200), D.drop_contaminated(frame, bench, block_bytes=200)):
+        assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_a_long_text_and_chunks_smaller_than_a_batch(spark, monkeypatch):
+    docs, items = cases()
+    monkeypatch.setattr(D, "CHUNK_BYTES", 300)
+    filler = " ".join(f"f{i}" for i in range(100_000))
+    some = [*docs, (1000, filler + " " + items[3][1] + " " + filler)]
+    texts = pa.array([t for _, t in some])
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in some]), texts], names=["doc_id", "text"])
+    chunks = list(D._chunks(iter([batch.slice(0, 50), batch.slice(50)]), 1))
+    assert sum(len(w.counts) for c in chunks for *_, w in c) == len(some) and len(chunks) > 1
+    got = D.decontaminate(spark.createDataFrame(some, DOCS), spark.createDataFrame(items, ITEMS)).filter("doc_id = 1000").collect()
+    assert [(r["item_id"], r["distance"], r["first_word"]) for r in got] == [(3, 0, 100_000)]
