@@ -9,7 +9,7 @@ to ranges of at most ``range_bytes`` (gaps up to ``gap_bytes`` are read over), a
 range is one read, whichever tasks the ranges go to.
 
 Of records with equal payloads of at least ``min_bytes`` the one with the largest page_id
-is the response and the others revisit it.  Equal means equal SHA-1 and length.
+is the response and the others revisit it.  Equal means equal SHA-1.
 
 Defined results: a null html is an empty payload; a null url is written as an empty
 WARC-Target-URI; rows that repeat a page_id with the same payload are all responses
@@ -34,23 +34,41 @@ from segspark.llm._scratch import materialize, scratch_path
 #: Payloads smaller than this are never revisits.
 MIN_BYTES = 1000
 #: One read covers at most so many bytes, unless a single record is longer.
-RANGE_BYTES = 4 << 20
+RANGE_BYTES = 1 << 20
 #: Unselected bytes between two selected records that are read over rather than skipped.
 GAP_BYTES = 64 << 10
+#: So many digests that repeat are broadcast.  Where there are more, hot ones are: those with
+#: more pages than HOT_PAGES and than a HOT-th of all (so HOT at most), and the buckets, at
+#: most BUCKETS, that the others fall in.
+DIRECT, HOT_PAGES, HOT, BUCKETS = 1 << 16, 1024, 4096, 1 << 18
 INDEX = "page_id long, file string, offset long, length long, url string, payload_digest string, payload_bytes long"
 
 
 def revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """``page_id, url, html, digest, refers_to`` (null: a response).
 
-    Payloads are aggregated to the digests that occur more than once before the pages are
-    joined with them; a digest that very many pages share is one key of an equi-join."""
+    Only digests and ids are aggregated.  Pages meet what repeats by broadcast; where too
+    many digests repeat for that, html moves only where one does, and no group of pages
+    that moves is larger than that of a digest that isn't hot."""
     body = F.coalesce("html", F.lit(""))
     digested = pages.select("page_id", "url", body.alias("html"), F.sha1(body.cast("binary")).alias("digest"))
     large = F.octet_length("html") >= min_bytes
-    shared = digested.filter(large).groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).filter("n > 1 AND best IS NOT NULL").select(F.col("digest").alias("_digest"), "best")
-    other = ~F.col("page_id").eqNullSafe(F.col("best")) & F.col("best").isNotNull()
-    return digested.join(shared, F.when(large, F.col("digest")) == F.col("_digest"), "left").select("page_id", "url", "html", "digest", F.when(other, F.col("best")).alias("refers_to"))
+    shared = digested.filter(large).groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).filter("n > 1 AND best IS NOT NULL")
+    shared = materialize(shared.select(F.col("digest").alias("_digest"), "best", "n"), "digests")
+    refers = lambda best: F.when(~F.col("page_id").eqNullSafe(best) & best.isNotNull(), best).alias("refers_to")
+    of = shared.agg(F.count("*").alias("digests"), F.sum("n").alias("pages")).first()
+    many = max(HOT_PAGES, (of["pages"] or 0) // HOT) if of["digests"] > DIRECT else 0
+    here = F.broadcast(shared.filter(F.col("n") > many).select(F.col("_digest").alias("_here"), F.col("best").alias("_best")))
+    marked = digested.join(here, large & (F.col("digest") == F.col("_here")), "left")
+    found = lambda df, best: df.select("page_id", "url", "html", "digest", refers(F.col(best)))
+    if not many:
+        return found(marked, "_best")
+    others, bucket = shared.filter(F.col("n") <= many), lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    buckets = F.broadcast(others.select(bucket("_digest").alias("_bucket")).distinct())
+    marked = marked.join(buckets, large & (bucket("digest") == F.col("_bucket")), "left")
+    settled = F.col("_here").isNotNull() | F.col("_bucket").isNull()
+    looked_up = marked.filter(~settled).join(others, F.col("digest") == F.col("_digest"), "left")
+    return found(marked.filter(settled), "_best").unionByName(found(looked_up, "best"))
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:

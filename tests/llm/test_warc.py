@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from segspark.llm import warc as A
@@ -43,3 +44,15 @@ def test_selected_records_only(spark):
 def test_no_pages(spark):
     index = A.write_archive(spark.createDataFrame([], "page_id long, url string, html string"))
     assert A.read_records(index).count() == 0
+
+
+@pytest.mark.parametrize("direct", [0, 1 << 16])
+def test_hot_digests_and_many_small_pages(spark, monkeypatch, direct):
+    monkeypatch.setattr(A, "HOT_PAGES", 5)
+    monkeypatch.setattr(A, "DIRECT", direct)
+    rows = [(i, "u", ["small", BIG, BIG + "x", BIG + str(i // 3)][i % 4]) for i in range(400)] + [(1000 + i, "u", None) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    index = A.write_archive(pages)
+    assert found(A.read_records(index)) == want(rows)
+    parts = A.revisits(pages.filter("html IS NULL OR html = 'small'"))
+    assert parts.filter("refers_to IS NOT NULL").count() == 0 and parts.count() == 300
