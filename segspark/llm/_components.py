@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segspark.llm._scratch import materialize
+from segspark.llm._scratch import discard, materialize
 
 #: Rounds after which something must be wrong; each shortens every path by about half.
 ROUNDS = 60
+#: A node with more edges than this, and than a HUBS-th of all edges, is a hub; so there are
+#: at most HUBS of them, whatever the graph, and their minima can be broadcast.
+HUB_EDGES, HUBS = 256, 4096
 
 
 def _settled(tree: DataFrame) -> bool:
@@ -18,32 +21,47 @@ def _settled(tree: DataFrame) -> bool:
     return roles.filter("child > 1 OR (child = 1 AND parent = 1)").isEmpty()
 
 
+def _with_minima(edges: DataFrame, end: str, least: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``edges`` with ``m``, the minimum that ``least`` (u, m) gives their node in column
+    ``end``, null if it gives none.
+
+    Edges of hubs stay in place and meet the hubs' minima, at most HUBS rows, by
+    broadcast; each of the other nodes has a bounded number of edges to shuffle."""
+    hub_least = F.broadcast(hubs.join(least, F.col("hub") == F.col("u"), "left").select("hub", F.col("m").alias("hub_m")))
+    marked = edges.join(hub_least, F.col(end) == F.col("hub"), "left")
+    of_hubs = marked.filter("hub IS NOT NULL").select("a", "b", F.col("hub_m").alias("m"))
+    others = marked.filter("hub IS NULL").select("a", "b").join(least, F.col(end) == F.col("u"), "left").select("a", "b", "m")
+    return of_hubs.unionByName(others)
+
+
 def connected_components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``node, component`` of every node that an edge (``a``, ``b``) touches, where
     ``component`` is the smallest node reachable.
 
-    Nodes are of any orderable type.  Each round joins every node's edges with the
-    smallest neighbour, first for the larger neighbours (large star), then for the
-    smaller ones (small star).  Minima are aggregated before the join, and a node with
-    very many edges is one key of a plain equi-join, whose parts adaptive execution can
-    split.  Every round is written to the shared folder, so a lost executor costs no more
-    than the round.  Loops and repeated edges are harmless; null ends are dropped.
+    Nodes are of any orderable type.  Edges point from the larger node to the smaller one.
+    Each round hands every node's larger neighbours to its smallest neighbour (large
+    star), then its smaller ones (small star).  Minima are aggregated before the join,
+    and nodes with very many edges never gather in one task.  Every round is written to
+    the shared folder, so a lost executor costs no more than the round, and replaces the
+    one before.  Loops and repeated edges are harmless; null ends are dropped.
     """
     edges = edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL")
-    nodes = None
-    tree = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     nodes = edges.filter("a = b").select(F.col("a").alias("node")).distinct()
+    tree = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     tree = materialize(tree, "edges")
     for _ in range(rounds):
         if _settled(tree):
             break
-        both = tree.unionByName(tree.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        joined = large.join(least, F.col("a") == F.col("u"))
+        many = max(HUB_EDGES, tree.count() // HUBS)
+        hubs_of = lambda table, end: table.groupBy(F.col(end).alias("hub")).count().filter(F.col("count") > many).select("hub")
+        parents = tree.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        large = _with_minima(tree, "b", parents, hubs_of(tree, "b")).select("a", F.coalesce("m", "b").alias("b"))
+        large = materialize(large.distinct(), "large-stars")
+        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        joined = _with_minima(large, "a", least, hubs_of(large, "a"))
         small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        tree = materialize(small.distinct(), "edges")
+        before, tree = tree, materialize(small.distinct(), "edges")
+        discard(before, large)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = tree.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -83,3 +83,38 @@ def test_tree_misses_no_pair():
         exact = {(max(a, b), min(a, b)) for a, b in zip(*N.links(sizes, [s.tobytes() for s in sets], 85))}
         loose = {(max(a, b), min(a, b)) for a, b in zip(*N.candidates(sizes, [N.bitmap(s) for s in sets], 85))}
         assert exact == want and want <= loose
+
+
+def test_meetings_of_small_and_long_groups(spark):
+    r = random.Random(5)
+    rows = [(g, u, r.choice([90, 100, 110, 300]), r.randrange(20)) for g, m in enumerate([1, 2, 3, 7, 8, 9, 60, 200, 2, 5]) for u in r.sample(range(1000), m)]
+    entries = spark.createDataFrame(rows, "grp long, uid long, n long, place int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    got = N.meetings(entries, 85, members=8).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    small = [set(x["uids"]) for x in got if x["grp"] is None]
+    long = {}
+    for x in got:
+        if x["grp"] is not None:
+            assert len(x["uids"]) == len(x["ns"])
+            long.setdefault(x["grp"], set()).update(x["uids"])
+    for g in range(10):
+        mine = [(u, n, p) for h, u, n, p in rows if h == g]
+        if g in long:
+            assert len(mine) > 8 and long[g] == {u for u, _, _ in mine}
+            continue
+        fit = {u for u, n, p in mine for v, k, q in mine if u != v and min(n, k) * 100 >= 85 * max(n, k) and 185 * min(n - p, k - q) >= 85 * (n + k)}
+        assert fit in small or not fit
+    assert {6, 7} <= set(long) and all(len(x) <= 8 for x in small)
+
+
+def test_order_puts_rare_words_first_and_frequent_shingles_last():
+    words = N.Words(np.frombuffer(b"a b c d e f g h", np.uint8), np.array([0, 15]))
+    sets = N.shingle_sets(words, 2)
+    plain, _ = N.window_hashes(words, 2)
+    table = np.argsort(words.hashes)
+    order = N.Order(np.sort(plain[:1]), words.hashes[table], np.array([9, 9, 9, 9, 0, 0, 3, 3])[table])
+    (found, early), = order.prefixes(words, 2, 15, sets)
+    assert early == 6 and list(found)[:2] == [plain[4], plain[5]] and found[2] == plain[6] and len(found) == 6
+    (found, early), = order.prefixes(words, 2, 1, sets)
+    assert early == 6 and len(found) == 7 and found[6] == plain[0]
