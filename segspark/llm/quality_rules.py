@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Every rule is a rejecting condition over the text.  On a bounded sample each rule is
-timed and its rejections are counted; the rules then stand in the order of rejections
-per cost inside one ``CASE``, whose branches are evaluated lazily, so that cheap and
-selective rules spare the others.  The order changes only the work, never which
+Every rule is a rejecting condition over the text and what is measured of it.  On a sample
+of about ``sample_rows`` rows, drawn from the whole table, each rule is evaluated many
+times over to learn its cost, and what it rejects is counted together with what the others
+do.  The rules then stand in the order of rejections per cost, each counted on the rows
+that those before it leave, inside one ``CASE`` whose branches are evaluated lazily: cheap
+and selective rules spare the others.  The order changes only the work, never which
 documents are kept.
 
 Defined results: null and empty texts have no words, so they fail the base rule; very
@@ -21,13 +23,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segspark.llm._scratch import materialize
+from segspark.llm._scratch import discard, materialize
 
 SPACES = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]"
 WINDOW = 8
-#: Rows that costs and selectivities are estimated on.
-SAMPLE_ROWS = 1000
+#: Rows that costs and selectivities are estimated on, about; how often each is evaluated.
+SAMPLE_ROWS, REPEATS = 1000, 20
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -43,8 +45,18 @@ def word_chars(words: Column) -> Column:
     return F.length(F.array_join(words, "")).cast("long")
 
 
+def _matched(text: Column, pattern: str) -> Column:
+    """Matches of a pattern that few places match."""
+    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
+
+
+def _outside(text: Column, runs: str) -> Column:
+    """Characters that no run of ``runs`` covers."""
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), runs, "")).cast("long")
+
+
 def n_symbols(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit("[#*$%&|<>]")), F.lit(0)).cast("long")
+    return _matched(text, "[#*$%&|<>]")
 
 
 def n_dup_lines(text: Column) -> Column:
@@ -55,10 +67,19 @@ def n_dup_lines(text: Column) -> Column:
 def n_repeat_words(words: Column, window: int = WINDOW) -> Column:
     """Words inside ``window``-word windows that occur twice or more in the text."""
 
+    def joined(h: Column, lag: int) -> Column:
+        """Each element with the one ``lag`` on."""
+        n = F.greatest(F.size(h) - lag, F.lit(0))
+        return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(lag + 1), n), lambda x, y: F.xxhash64(x, y))
+
     def hashes(w: Column) -> Column:
-        n = F.size(w) - F.lit(window - 1)
-        many = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(w, i, F.lit(window))))
-        return F.when(n > 1, many).otherwise(F.array().cast("array<bigint>"))
+        """Words are hashed once; stretches of 1, 2, 4, ... words are joined to windows."""
+        step, out = 1, lambda: F.transform(w, lambda x: F.xxhash64(x))
+        while step < window:
+            lag = min(step, window - step)
+            out = lambda inner=out, lag=lag: _let(inner(), lambda h: joined(h, lag))
+            step += lag
+        return F.when(F.size(w) > window, out()).otherwise(F.array().cast("array<bigint>"))
 
     def covered(h: Column) -> Column:
         ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -95,50 +116,99 @@ def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class Rule:
-    """``rejects`` makes the rejecting condition from the text column; it must be
-    true or false, also for null and empty texts."""
+class Measures:
+    """What rules are made of: the text, and measures of it by name.
 
-    name: str
-    rejects: Callable[[Column], Column]
+    A measure is the column of that name if the table has it (``of``: see
+    :func:`base_measures`), else made from the text."""
 
+    def __init__(self, text: Column, of: DataFrame | None = None):
+        self.text, self._have = text, set() if of is None else set(of.columns)
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
+    def __getattr__(self, name: str) -> Column:
+        if name in self._have:
+            return F.col(name)
+        words = lambda: words_of(self.text)
+        made = {"n_words": lambda: F.size(words()).cast("long"), "word_chars": lambda: word_chars(words()), "n_symbols": lambda: n_symbols(self.text), "n_dup_lines": lambda: n_dup_lines(self.text)}
+        if name not in made:
+            raise AttributeError(name)
+        return made[name]()
 
 
-def _mean_word(text: Column) -> Column:
-    return _let(words_of(text), lambda w: F.coalesce(F.try_divide(F.length(F.array_join(w, "")), F.size(w)), F.lit(0.0)))
+@dataclass(frozen=True)
+class Rule:
+    """``rejects`` makes the rejecting condition from the measures; it must be true or
+    false, also for null and empty texts."""
+
+    name: str
+    rejects: Callable[[Measures], Column]
 
 
 RULES = [
-    Rule("short_words", lambda t: _mean_word(t) < 2),
-    Rule("long_words", lambda t: _mean_word(t) > 30),
-    Rule("symbols", lambda t: 10 * n_symbols(t) > 4 * _count(t, WORD + "+")),
-    Rule("shouting", lambda t: 10 * _count(t, "\\p{Lu}") > 5 * F.greatest(_count(t, "\\p{L}"), F.lit(1))),
-    Rule("repeated_lines", lambda t: 2 * n_dup_lines(t) > _count(t, "\n") + 1),
-    Rule("no_letters", lambda t: ~F.coalesce(t, F.lit("")).rlike("\\p{L}")),
+    Rule("short_words", lambda m: m.word_chars < 2 * m.n_words),
+    Rule("long_words", lambda m: m.word_chars > 30 * m.n_words),
+    Rule("symbols", lambda m: 10 * m.n_symbols > 4 * m.n_words),
+    Rule("shouting", lambda m: 10 * _outside(m.text, "\\P{Lu}+") > 5 * F.greatest(_outside(m.text, "\\P{L}+"), F.lit(1))),
+    Rule("repeated_lines", lambda m: 2 * m.n_dup_lines > _matched(m.text, "\n") + 1),
+    Rule("no_letters", lambda m: ~F.coalesce(m.text, F.lit("")).rlike("\\p{L}")),
 ]
 
 
-def order_rules(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per second on at most ``sample_rows`` rows, best first."""
-    sample = materialize(docs.select(F.col(f"`{text}`").alias("text")).limit(sample_rows), "rule-sample")
-    rated = []
-    for rule in rules:
-        job = sample.agg(F.count_if(rule.rejects(F.col("text"))).alias("n"))
-        began = time.perf_counter()
-        rejected = job.first()["n"]
-        rated.append((rejected / (time.perf_counter() - began), rule.name, rule))
-    return [rule for _, _, rule in sorted(rated, key=lambda x: (-x[0], x[1]))]
-
+def rule_costs(measured: DataFrame, rules: list[Rule], text: str = "text", repeats: int = REPEATS) -> list[float]:
+    """Seconds that each rule takes on ``measured``: the time of ``repeats`` evaluations of
+    every row over that of as many rows alone, but at least a thousandth of the latter."""
+    again = measured.withColumn("_time", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    m = Measures(F.col(f"`{text}`"), measured)
 
-def cascade(rules: list[Rule], text: Column) -> Column:
+    def seconds(condition: Column) -> float:
+        job = again.agg(F.count_if(condition))
+        began = time.perf_counter()
+        job.collect()  # one row
+        return time.perf_counter() - began
+
+    seconds(F.col("_time") < 0)  # warm up
+    bare = min(seconds(F.col("_time") < 0) for _ in range(2))
+    return [max(seconds(rule.rejects(m)) - bare, bare / 1000) / repeats for rule in rules]
+
+
+def best_order(patterns: list[tuple[tuple[bool, ...], int]], costs: list[float]) -> list[int]:
+    """Rules (by number) by rejections per cost, each counted on what is left by those
+    before it; ``patterns``: which rules reject, and how many rows.  Ties go by number."""
+    order, rest = [], list(range(len(costs)))
+    while rest:
+        left = [(p, n) for p, n in patterns if not any(p[i] for i in order)]
+        rate = {i: sum(n for p, n in left if p[i]) / costs[i] for i in rest}
+        # Rules that reject nothing more go by cost.
+        best = min(rest, key=lambda i: (-rate[i], costs[i], i))
+        order.append(best)
+        rest.remove(best)
+    return order
+
+
+def order_rules(docs: DataFrame, rules: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS, rows: int | None = None) -> list[Rule]:
+    """The rules, best first, as a sample of about ``sample_rows`` rows suggests.
+
+    ``docs`` may hold measures already; those that it lacks are made.  Rows are drawn all
+    over the table where they lie, so the sample needs no shuffle; ``rows`` says how many
+    there are, if that is known."""
+    rows = docs.count() if rows is None else rows
+    sample = docs.sample(fraction=min(1.0, sample_rows / max(rows, 1)), seed=11) if rows > sample_rows else docs
+    measured = materialize(base_measures(sample.select(F.col(f"`{text}`").alias("text"))), "rule-sample")
+    m = Measures(F.col("text"), measured)
+    flags = [rule.rejects(m).alias(f"r{i}") for i, rule in enumerate(rules)]
+    found = measured.select(*flags).groupBy(*(f"r{i}" for i in range(len(rules)))).count().collect()  # no more than the sample
+    patterns = [(tuple(bool(x) for x in r[:-1]), r[-1]) for r in found]
+    order = best_order(patterns, rule_costs(measured, rules))
+    discard(measured)
+    return [rules[i] for i in order]
+
+
+def cascade(rules: list[Rule], text: Column, measures: Measures | None = None) -> Column:
     """Name of the first rule in this order that rejects the text, else null."""
+    m = measures or Measures(text)
     verdict = F.lit(None).cast("string")
     for rule in reversed(rules):
-        verdict = F.when(rule.rejects(text), F.lit(rule.name)).otherwise(verdict)
+        verdict = F.when(rule.rejects(m), F.lit(rule.name)).otherwise(verdict)
     return verdict
 
 
@@ -149,7 +219,8 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: list[Rule] | None
     depends on the measured order.  ``kept`` does not."""
     ordered = order_rules(docs, RULES if rules is None else rules, text, sample_rows)
     measured = base_measures(docs.drop("rejected_by", "kept") if text not in ("rejected_by", "kept") else docs, text)
-    by = F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(ordered, F.col(f"`{text}`")))
+    body = F.col(f"`{text}`")
+    by = F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(ordered, body, Measures(body, measured)))
     return measured.withColumn("rejected_by", by).withColumn("kept", F.col("rejected_by").isNull())
 
 

@@ -75,3 +75,29 @@ def test_order_does_not_change_what_is_kept(spark, odd_docs):
         kept.append([r[0] for r in odd_docs.select(by.isNull()).collect()])
     assert kept[0] == kept[1]
     assert {r.name for r in R.order_rules(odd_docs, R.RULES)} == {r.name for r in R.RULES}
+
+
+def test_rules_stand_by_rejections_per_cost():
+    # rule 0 rejects 60 rows at cost 6, rule 1 the 40 of them that rule 2 leaves and more, rule 2 30 at cost 1
+    patterns = [((True, True, False), 30), ((True, False, True), 30), ((False, True, False), 4), ((False, False, False), 100)]
+    assert R.best_order(patterns, [6.0, 2.0, 1.0]) == [2, 1, 0]
+    # rules 0 and 2 both reject 30 per cost, so the cheaper one leads; then 30 / 2 against 34 / 20
+    assert R.best_order(patterns, [2.0, 20.0, 1.0]) == [2, 0, 1]
+    assert R.best_order([((False, False), 5)], [2.0, 1.0]) == [1, 0]
+
+
+def test_order_on_a_made_up_table(spark):
+    docs = spark.createDataFrame([(i, ("x " if i % 2 else "y ") * 400) for i in range(300)], "doc_id long, text string")
+    cheap = R.Rule("cheap", lambda m: F.substring(m.text, 1, 1) == "x")
+    costly = R.Rule("costly", lambda m: F.regexp_count(m.text, F.lit("(x|y)(?= )")) * (F.substring(m.text, 1, 1) == "x").cast("int") > 0)
+    idle = R.Rule("idle", lambda m: m.n_words < 0)
+    assert [r.name for r in R.order_rules(docs, [costly, idle, cheap])][0] == "cheap"
+    kept = {r["doc_id"] for r in R.quality_rules(docs.withColumn("text", F.concat("text", F.col("doc_id").cast("string"))), rules=[costly, idle, cheap]).filter("rejected_by = 'cheap' OR rejected_by = 'base'").collect()}
+    assert {i for i in range(300) if i % 2} <= kept
+
+
+def test_the_sample_is_drawn_from_the_whole_table(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") >= 10_000, "!!! ").otherwise("word ").alias("text"))
+    flat = R.Rule("flat", lambda m: m.text.contains("!"))
+    never = R.Rule("never", lambda m: m.n_words < 0)
+    assert [r.name for r in R.order_rules(docs, [never, flat], sample_rows=200)] == ["flat", "never"]
