@@ -67,19 +67,15 @@ def n_dup_lines(text: Column) -> Column:
 def n_repeat_words(words: Column, window: int = WINDOW) -> Column:
     """Words inside ``window``-word windows that occur twice or more in the text."""
 
-    def joined(h: Column, lag: int) -> Column:
-        """Each element with the one ``lag`` on."""
-        n = F.greatest(F.size(h) - lag, F.lit(0))
-        return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(lag + 1), n), lambda x, y: F.xxhash64(x, y))
-
     def hashes(w: Column) -> Column:
-        """Words are hashed once; stretches of 1, 2, 4, ... words are joined to windows."""
-        step, out = 1, lambda: F.transform(w, lambda x: F.xxhash64(x))
-        while step < window:
-            lag = min(step, window - step)
-            out = lambda inner=out, lag=lag: _let(inner(), lambda h: joined(h, lag))
-            step += lag
-        return F.when(F.size(w) > window, out()).otherwise(F.array().cast("array<bigint>"))
+        """Words are hashed once; a window is the hash of their hashes."""
+
+        def windows(h: Column) -> Column:
+            first = F.slice(h, F.lit(1), F.size(h) - F.lit(window - 1))
+            return F.transform(first, lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, window))))
+
+        many = _let(F.transform(w, lambda x: F.xxhash64(x)), windows)
+        return F.when(F.size(w) > window, many).otherwise(F.array().cast("array<bigint>"))
 
     def covered(h: Column) -> Column:
         ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
