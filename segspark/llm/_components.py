@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segspark.llm._hot import hot_keys, join_unique
 from segspark.llm._scratch import discard, materialize
 
 #: Rounds after which something must be wrong; each shortens every path by about half.
 ROUNDS = 60
-#: A node with more edges than this, and than a HUBS-th of all edges, is a hub; so there are
-#: at most HUBS of them, whatever the graph, and their minima can be broadcast.
-HUB_EDGES, HUBS = 256, 4096
 
 
 def _settled(tree: DataFrame) -> bool:
@@ -21,19 +19,6 @@ def _settled(tree: DataFrame) -> bool:
     return roles.filter("child > 1 OR (child = 1 AND parent = 1)").isEmpty()
 
 
-def _with_minima(edges: DataFrame, end: str, least: DataFrame, hubs: DataFrame) -> DataFrame:
-    """``edges`` with ``m``, the minimum that ``least`` (u, m) gives their node in column
-    ``end``, null if it gives none.
-
-    Edges of hubs stay in place and meet the hubs' minima, at most HUBS rows, by
-    broadcast; each of the other nodes has a bounded number of edges to shuffle."""
-    hub_least = F.broadcast(hubs.join(least, F.col("hub") == F.col("u"), "left").select("hub", F.col("m").alias("hub_m")))
-    marked = edges.join(hub_least, F.col(end) == F.col("hub"), "left")
-    of_hubs = marked.filter("hub IS NOT NULL").select("a", "b", F.col("hub_m").alias("m"))
-    others = marked.filter("hub IS NULL").select("a", "b").join(least, F.col(end) == F.col("u"), "left").select("a", "b", "m")
-    return of_hubs.unionByName(others)
-
-
 def connected_components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``node, component`` of every node that an edge (``a``, ``b``) touches, where
     ``component`` is the smallest node reachable.
@@ -52,13 +37,12 @@ def connected_components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
         if _settled(tree):
             break
-        many = max(HUB_EDGES, tree.count() // HUBS)
-        hubs_of = lambda table, end: table.groupBy(F.col(end).alias("hub")).count().filter(F.col("count") > many).select("hub")
+        rows = tree.count()
         parents = tree.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        large = _with_minima(tree, "b", parents, hubs_of(tree, "b")).select("a", F.coalesce("m", "b").alias("b"))
+        large = join_unique(tree, "b", parents, "u", hot_keys(tree, "b", rows)).select("a", F.coalesce("m", "b").alias("b"))
         large = materialize(large.distinct(), "large-stars")
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        joined = _with_minima(large, "a", least, hubs_of(large, "a"))
+        joined = join_unique(large, "a", least, "u", hot_keys(large, "a", rows))
         small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         before, tree = tree, materialize(small.distinct(), "edges")
         discard(before, large)

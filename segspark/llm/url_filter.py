@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segspark.llm._components import connected_components
+from segspark.llm._hot import hot_keys, join_unique
 from segspark.llm._scratch import materialize
 
 
@@ -120,7 +121,13 @@ def url_filter(pages: DataFrame, rules: list[UrlRule] | None = None, redirects:
     own = [c for c in pages.columns if c not in added or c == "url"]
     said = judge(F.col("host"), F.col("path"), rules)
     mine = pages.select(*(F.col(f"`{c}`") for c in own), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), url_key(F.col("url")).alias("_key"))
-    joined = mine.withColumn("_said", said).join(by_node, "_key", "left")
+    mine = mine.withColumn("_said", said)
+    # Pages that a rule decides, and those without an address, need no class.
+    alone = F.col("_said").isNotNull() | F.col("_key").isNull()
+    rest = mine.filter(~alone)
+    spread = materialize(by_node.withColumnRenamed("_key", "_node"), "spread")
+    rest = join_unique(rest, "_key", spread, "_node", hot_keys(rest, "_key", rest.count()))
+    joined = mine.filter(alone).withColumn("spread", F.lit(None).cast("string")).unionByName(rest)
     return joined.select(
         *(F.col(f"`{c}`") for c in own),
         "host",

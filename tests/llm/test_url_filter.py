@@ -73,3 +73,74 @@ def test_all_links_of_a_page_against_sql(spark, tmp_path):
     rows = sorted(map(tuple, got.select(*(c[0] for c in found.description)).collect()))
     assert rows == sorted(found.fetchall())
     assert [(r[0], r[4], r[5]) for r in rows] == [(1, "block", True), (2, "block", True), (3, "allow", True), (4, "allow", True), (5, "allow", True), (6, "allow", False)]
+
+
+def web(seed=4):
+    """Some thousand pages: chains, a target with a thousand aliases, cliques of links, blocks
+    that meet allows, several links on a page, pages without links, and repeated addresses."""
+    import random
+
+    r = random.Random(seed)
+    moved = lambda to: f'<meta http-equiv="refresh" content="0; url={to}">'
+    ends = ["http://a.com/de/1", "http://b.com/fr/2", "http://www.example.org/es/3", "http://c.net/plain", "http://d.com/xx/"]
+    pages = [(f"http://alias{i}.net/{i}", r.choice([link, moved])("http://hub.net/")) for i in range(1000)] + [("http://hub.net/", link("http://q.com/de/hub"))]
+    for c in range(120):
+        n = r.randrange(2, 30)
+        chain = [(f"http://chain{c}.net/{i}", moved(f"/{i + 1}")) for i in range(n)]
+        pages += chain + [(f"http://chain{c}.net/{n}", link(r.choice(ends).replace("://", f"://c{c}.")) if c % 3 else None)]
+    for k in range(200):
+        to = [f"http://k{k}-{j}.net/x?y={j}" for j in range(r.randrange(1, 5))]
+        pages += [(t, "".join(r.choice([link, moved])(r.choice([*to, *(e.replace("://", f"://k{k}.") for e in ends)])) for _ in range(r.randrange(0, 4)))) for t in to for _ in range(r.randrange(1, 3))]
+    pages += [(f"http://q.com/{r.choice(['de', 'fr', 'en'])}/{i}", None) for i in range(300)] + [(None, link("http://q.com/de/9")), ("no scheme", moved("http://q.com/de/8"))] * 50
+    r.shuffle(pages)
+    return [(i, u, h) for i, (u, h) in enumerate(pages)]
+
+
+def by_union_find(pages):
+    import re
+
+    def key(url):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)(\?[^#]*)?", url or "")
+        return (m[1].lower(), m[2], m[3] or "") if m and m[1] else None
+
+    def rule(k):
+        fit = [(len(h + p), h + p, v) for v, h, p in (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")) if (k[0] == h or k[0].endswith("." + h)) and k[1].startswith(p)]
+        return max(fit)[1:] if fit else (None, None)
+
+    up = {}
+
+    def root(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for _, url, html in pages:
+        k = key(url)
+        for to in re.findall(r'href="([^"]*)"|url=([^"]*)"', html or "") if k else ():
+            to = to[0] or to[1]
+            to = key(to if "://" in to else f"x://{k[0]}{to}")
+            up[root(k)] = root(to)
+    votes = {}
+    for k in list(up):
+        votes.setdefault(root(k), set()).add(rule(k)[1])
+    out = []
+    for page, url, _ in pages:
+        k = key(url)
+        name, verdict = rule(k) if k else (None, None)
+        spread = next((v for v in ("allow", "block") if k in up and v in votes[root(k)]), None)
+        out.append((page, k[0] if k else "", k[1] if k else "", name, verdict or spread or "allow", verdict is None and spread is not None))
+    return out
+
+
+def test_thousands_of_pages_against_union_find_and_sql(spark, tmp_path):
+    pages = web()
+    assert len(pages) > 4000
+    spark.createDataFrame(pages, SCHEMA).repartition(4).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(map(tuple, op1_url_filter(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict", "via_alias").collect()))
+    assert got == by_union_find(pages)
+    assert sum(r[5] for r in got) > 1500 and sum(r[5] and r[4] == "block" for r in got) > 1000
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert sorted(con.execute(f"SELECT page_id, host, path, rule, verdict, via_alias FROM ({OP1_SQL})").fetchall()) == got
