@@ -2,10 +2,13 @@
 
 A text becomes lower-case words joined by single blanks.  One Aho-Corasick pass finds
 which gate keywords it holds; only the rules of those keywords run their regular
-expressions.  Every detection is an interval of words with a priority; one that lies
-inside the interval of a detection of better priority, or of a longer one of its own
-priority, is suppressed.  Because both "inside" and "better" are transitive, a single containment test against all detections
-equals resolving them one after another.
+expressions: the signatures written by hand in ``_signatures``, and the forms in which
+names of licenses are met.  Every detection is an interval of words with a priority; one
+that lies inside the interval of a detection of better priority, or of a longer one of its
+own priority, is suppressed.  Because both "inside" and "better" are transitive, a single
+containment test against all detections equals resolving them one after another; one
+sweep over the intervals in order makes it, so a text of many detections takes no more
+than its share.
 
 Defined results: null and empty texts have 0 words, no label and score 0; texts are
 scanned whole; repeated rows give repeated results; an empty table gives an empty result;
@@ -19,10 +22,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+
+from segspark.llm._signatures import SIGNATURES
 
 #: The phrases every scan reports, whatever else it finds.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -104,28 +110,6 @@ LICENSES = {
     "proprietary": ("proprietary", r"proprietary"),
 }
 
-#: Single signatures: label, gate keyword, pattern, strength.
-SIGNATURES = [
-    ("mit", "permission is hereby", r"permission is hereby granted free of charge to any person obtaining a copy", 0.95),
-    ("isc", "permission to use copy", r"permission to use copy modify and or distribute this software for any purpose", 0.95),
-    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification", 0.9),
-    ("bsd-3", "neither the name", r"neither the name of (?:\S+ ){1,8}nor the names of its contributors", 0.9),
-    ("apache-2", "apache org licenses", r"(?:www )?apache org licenses license 2 0", 0.95),
-    ("gpl", "free software you can", r"is free software you can redistribute it and or modify it under", 0.85),
-    ("unlicense", "released into the public", r"free and unencumbered software released into the public domain", 0.95),
-    ("public-domain", "public domain", r"(?:in|into|to) the public domain", 0.5),
-    ("cc-by", "creativecommons org", r"creativecommons org licenses by [1234] \d", 0.9),
-    ("cc-by-sa", "creativecommons org", r"creativecommons org licenses by sa [1234] \d", 0.9),
-    ("cc-by-nc", "creativecommons org", r"creativecommons org licenses by nc [1234] \d", 0.9),
-    ("cc0", "creativecommons org", r"creativecommons org publicdomain zero 1 0", 0.9),
-    ("mit", "opensource org", r"opensource org licenses mit", 0.9),
-    ("gpl", "gnu org licenses", r"gnu org licenses (?:old licenses )?gpl", 0.9),
-    ("all-rights-reserved", "all rights reserved", r"all rights reserved", 0.4),
-    ("zlib", "as is without", r"this software is provided as is without any express or implied warranty in no event will the authors", 0.8),
-    ("bsl-1", "boost org", r"(?:www )?boost org license 1 0", 0.9),
-    ("mpl-2", "mozilla org", r"mozilla org mpl 2 0", 0.9),
-]
-
 #: Forms a name is met in: priority, strength, pattern around it.
 FORMS = [
     ("tag", 1, 0.97, r"spdx license identifiers? (?:%s)"),
@@ -175,7 +159,8 @@ class Scanner:
         for keyword, which in by.items():
             self.gate.add_word(keyword, which)
         self.gate.make_automaton()
-        self.compiled = [re.compile(rf"(?<= )(?:{r.pattern})(?= )") for r in rules]
+        # Words hold no ASCII blanks, so with re.A a \\S is any character of a word.
+        self.compiled = [re.compile(rf"(?<= )(?:{r.pattern})(?= )", re.A) for r in rules]
 
     def scan(self, text: bytes) -> tuple[int, list[dict]]:
         words = text.translate(_FOLD).split()
@@ -183,15 +168,38 @@ class Scanner:
             return 0, []
         line = f" {b' '.join(words).decode('utf-8')} "
         active = {i for _, which in self.gate.iter(line) for i in which}
-        found = []
+        found, blanks = [], None
         for i in sorted(active):
             rule = self.rules[i]
             for m in self.compiled[i].finditer(line):
-                start = line.count(" ", 0, m.start()) - 1
+                if blanks is None:
+                    blanks = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 0x20)
+                start = int(np.searchsorted(blanks, m.start())) - 1
                 found.append({"rule": rule.name, "label": rule.label, "start": start, "end": start + m.group().count(" ") + 1, "priority": rule.priority, "strength": rule.strength})
+        suppress(found)
         return len(words), found
 
 
+def suppress(found: list[dict]) -> None:
+    """Set ``kept`` of each detection: no other of better priority covers it, nor a longer one
+    of its own priority.  One sweep by start, longest first."""
+    order = sorted(range(len(found)), key=lambda i: (found[i]["start"], -found[i]["end"], found[i]["priority"]))
+    reach: dict[int, int] = {}  # how far those before reach, by priority
+    at = 0
+    while at < len(order):
+        same = [order[at]]
+        first = found[order[at]]
+        while at + len(same) < len(order) and (x := found[order[at + len(same)]])["start"] == first["start"] and x["end"] == first["end"]:
+            same.append(order[at + len(same)])
+        at += len(same)
+        best = found[same[0]]["priority"]
+        for i in same:
+            x = found[i]
+            x["kept"] = x["priority"] == best and not any(end >= x["end"] for p, end in reach.items() if p <= x["priority"])
+        for i in same:
+            reach[found[i]["priority"]] = max(reach.get(found[i]["priority"], -1), first["end"])
+
+
 DETECTIONS = ArrayType(
     StructType(
         [
@@ -201,10 +209,11 @@ DETECTIONS = ArrayType(
             StructField("end", LongType()),
             StructField("priority", IntegerType()),
             StructField("strength", DoubleType()),
+            StructField("kept", BooleanType()),
         ]
     )
 )
-_ARROW = pa.list_(pa.struct([("rule", pa.string()), ("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("priority", pa.int32()), ("strength", pa.float64())]))
+_ARROW = pa.list_(pa.struct([("rule", pa.string()), ("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("priority", pa.int32()), ("strength", pa.float64()), ("kept", pa.bool_())]))
 
 
 @lru_cache(maxsize=2)
@@ -231,11 +240,7 @@ def detect(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None)
 
 def resolve(detected: DataFrame) -> DataFrame:
     """Adds ``kept`` (not suppressed), ``labels`` and ``score`` to the output of :func:`detect`."""
-    d = F.col("detections")
-    size = lambda x: x["end"] - x["start"]
-    inside = lambda y, x: (y["start"] <= x["start"]) & (y["end"] >= x["end"])
-    better = lambda y, x: inside(y, x) & ((y["priority"] < x["priority"]) | ((y["priority"] == x["priority"]) & (size(y) > size(x))))
-    kept = F.filter(d, lambda x: ~F.exists(d, lambda y: better(y, x)))
+    kept = F.filter("detections", lambda x: x["kept"])
     labels = F.array_join(F.array_sort(F.array_distinct(F.transform(F.col("kept"), lambda x: x["label"]))), ",")
     doubt = F.aggregate(F.col("kept"), F.lit(1.0), lambda a, x: a * (1.0 - x["strength"]))
     return detected.withColumn("kept", kept).withColumn("labels", labels).withColumn("score", F.round(1.0 - doubt, 6))

@@ -86,6 +86,44 @@ def test_gates_are_in_all_that_names_and_signatures_match():
         assert {d["rule"] for d in got} == alone and label in {d["label"] for d in got}
 
 
+def test_suppression_against_its_definition():
+    import random
+
+    r = random.Random(7)
+    for _ in range(300):
+        found = []
+        for _ in range(r.randrange(0, 30)):
+            start = r.randrange(12)
+            found.append({"start": start, "end": start + r.randrange(1, 8), "priority": r.randrange(4)})
+        L.suppress(found)
+        for x in found:
+            covers = [y for y in found if y["start"] <= x["start"] and y["end"] >= x["end"]]
+            assert x["kept"] == (not any(y["priority"] < x["priority"] or (y["priority"] == x["priority"] and y["end"] - y["start"] > x["end"] - x["start"]) for y in covers))
+
+
+@pytest.mark.parametrize("piece", ["under the mit license ", "mit ", "permission is hereby granted ", "neither the name of a b c ", "gpl v2 or later license ", "creativecommons org licenses by 4 0 ", "licensed under the terms of the "])
+def test_repeated_phrases_take_linear_time(piece):
+    scanner = L.Scanner(L.signature_rules())
+    scanner.scan(b"warm up")
+    began = time.perf_counter()
+    n, found = scanner.scan((piece * (1_000_000 // len(piece))).encode())
+    assert n > 100_000 and time.perf_counter() - began < 12
+
+
+def test_each_signature_is_its_own():
+    assert len(L.SIGNATURES) >= 200 and len({p for _, _, p, _ in L.SIGNATURES}) == len(L.SIGNATURES)
+    scanner = L.Scanner(L.signature_rules())
+    for i, (label, _, pattern, _) in enumerate(L.SIGNATURES):
+        for text in forms(pattern)[:4]:
+            rules = {d["rule"] for d in scanner.scan(f"some {text} words".encode())[1]}
+            assert f"text:{i}:{label}" in rules, (label, text)
+
+
+def test_words_with_odd_blanks_do_not_break_a_match():
+    got = L.Scanner(L.signature_rules()).scan("neither the name of A\u00a0B\u2003C nor the names of its contributors".encode())[1]
+    assert "bsd-3" in {d["label"] for d in got}
+
+
 def brute_secrets(t):
     t, out = t or "", []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
