@@ -8,13 +8,14 @@ batches.  A small network embeds the passages, gated attention weighs them,
     a_i = softmax_i( w . (tanh(V h_i) * sigmoid(U h_i)) ),   z = sum_i a_i h_i,
 
 and a logistic unit scores z.  Attention and classifier are learned together from the
-labels of documents alone.  Training uses at most ``sample_docs`` labelled documents
-(those with the smallest hashes) and ``sample_passages`` evenly spaced passages of each;
-scoring uses all passages.
+labels of documents alone.  Training uses all passages of at most ``sample_docs`` labelled
+documents, those with the smallest hashes, that have ``sample_passages`` together; scoring
+uses all passages of all documents.
 
 Defined results: null and empty texts are one passage without words and get its score;
 labelled rows with a null label are left out; a doc_id labelled more than once counts as
-the mean of its labels; without any usable label every score is 0.5; repeated rows get
+the mean of its labels; of documents that share a doc_id the one whose text has the
+smallest hash stands for it in training; without any usable label every score is 0.5; repeated rows get
 equal scores; an empty table gives an empty result; further columns pass through, the
 columns that are added replace those of the same name.  Labels, lang, source and doc_id
 never enter a score.
@@ -30,13 +31,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from segspark.llm._scratch import text_slices
+from segspark.llm._scratch import discard, materialize, text_slices
 from segspark.llm._words import Words
 
 PASSAGE = 64
 THRESHOLD = 0.3
-SAMPLE_DOCS = 4000
-SAMPLE_PASSAGES = 16
+#: Labelled documents that are learned from, and passages that they may have together.
+SAMPLE_DOCS, SAMPLE_PASSAGES = 4000, 200_000
 #: Embedding and attention widths, epochs, step and weight decay of the training.
 HIDDEN, GATE, EPOCHS, STEP, DECAY = 16, 8, 150, 0.02, 1e-4
 
@@ -113,22 +114,26 @@ class GatedAttention:
             return np.full(len(count), 0.5)
         return self._forward((x - self.mean) / self.scale, count)["y"]
 
+    def gradient(self, x: np.ndarray, count: np.ndarray, label: np.ndarray) -> dict:
+        """Of the mean logistic loss of the documents, by parameter."""
+        p, f, starts = self.p, self._forward(x, count), np.cumsum(count) - count
+        dy = (f["y"] - label) / x.dtype.type(len(label))
+        dz = np.repeat(dy[:, None] * p["o"], count, axis=0)
+        da = (dz * f["h"]).sum(1)
+        de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, starts), count))
+        g = de[:, None] * p["w"]
+        dt, ds = g * f["s"] * (1 - f["t"] ** 2), g * f["t"] * f["s"] * (1 - f["s"])
+        dh = (f["a"][:, None] * dz + dt @ p["V"].T + ds @ p["U"].T) * (1 - f["h"] ** 2)
+        return {"W": x.T @ dh, "c": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ de, "o": f["z"].T @ dy, "b": np.array([dy.sum()])}
+
     def fit(self, x: np.ndarray, count: np.ndarray, label: np.ndarray, epochs: int = EPOCHS) -> GatedAttention:
         """Full-batch Adam on the logistic loss of the documents."""
         self.mean, self.scale = x.mean(0, dtype=np.float64).astype(np.float32), (x.std(0, dtype=np.float64) + 1e-3).astype(np.float32)
         label = label.astype(np.float32)
-        x, starts, p = (x - self.mean) / self.scale, np.cumsum(count) - count, self.p
+        x, p = (x - self.mean) / self.scale, self.p
         m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
         for i in range(1, epochs + 1):
-            f = self._forward(x, count)
-            dy = (f["y"] - label) / np.float32(len(label))
-            dz = np.repeat(dy[:, None] * p["o"], count, axis=0)
-            da = (dz * f["h"]).sum(1)
-            de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, starts), count))
-            g = de[:, None] * p["w"]
-            dt, ds = g * f["s"] * (1 - f["t"] ** 2), g * f["t"] * f["s"] * (1 - f["s"])
-            dh = (f["a"][:, None] * dz + dt @ p["V"].T + ds @ p["U"].T) * (1 - f["h"] ** 2)
-            grad = {"W": x.T @ dh, "c": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "w": (f["t"] * f["s"]).T @ de, "o": f["z"].T @ dy, "b": np.array([dy.sum()])}
+            grad = self.gradient(x, count, label)
             rate = STEP * min(1, 2 * (1 - i / (epochs + 1)))
             for k in p:
                 d = grad[k] + DECAY * p[k]
@@ -147,26 +152,33 @@ def fold(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_passages: int = SAMPLE_PASSAGES) -> GatedAttention:
     """A model learned from labelled rows outside the held-out fold.
 
-    What reaches the driver is bounded by ``sample_docs * sample_passages`` vectors."""
+    What reaches the driver is ``sample_passages`` vectors at most: documents are taken in
+    the order of their hashes as long as all their passages fit."""
     usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     known = usable.groupBy("doc_id").agg(F.avg("quality").cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    bags = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label")
+    bags = texts.agg(F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), F.length("text"))).alias("of")).select("doc_id", "label", "of.text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(2)):
                 x, count = encode(data, offsets)
                 ends = np.cumsum(count)
-                rows = [x[e - n : e] if n <= sample_passages else x[e - n + np.arange(sample_passages) * n // sample_passages] for e, n in zip(ends, count)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:2]), pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary())], names=["doc_id", "label", "x"])
-
-    rows = bags.mapInArrow(vectors, StructType([docs.schema["doc_id"], *StructType.fromDDL("label double, x binary")])).orderBy("doc_id").collect()
+                own = [x[e - n : e].astype("<f4").tobytes() for e, n in zip(ends, count)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:2]), pa.array(count), pa.array(own, pa.binary())], names=["doc_id", "label", "n", "x"])
+
+    rows = materialize(bags.mapInArrow(vectors, StructType([docs.schema["doc_id"], *StructType.fromDDL("label double, n long, x binary")])), "bags")
+    sizes = rows.select("doc_id", "n").orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # sample_docs at most
+    fits = np.cumsum([r["n"] for r in sizes]) <= sample_passages
+    taken = [r["doc_id"] for r, fit in zip(sizes, fits) if fit]
+    found = {r["doc_id"]: r for r in rows.filter(F.col("doc_id").isin(taken)).collect()} if not all(fits) else {r["doc_id"]: r for r in rows.collect()}
+    discard(rows)
     model = GatedAttention()
-    if not rows:
+    if not taken:
         return model
-    bag = [np.frombuffer(r["x"], "<f4").reshape(-1, FEATURES) for r in rows]
-    return model.fit(np.concatenate(bag), np.array([len(x) for x in bag]), np.array([r["label"] for r in rows]))
+    bag = [np.frombuffer(found[i]["x"], "<f4").reshape(-1, FEATURES) for i in taken]
+    return model.fit(np.concatenate(bag), np.array([len(x) for x in bag]), np.array([found[i]["label"] for i in taken]))
 
 
 def classify(docs: DataFrame, model: GatedAttention, text: str = "text", keep_text: bool = False, threshold: float = THRESHOLD) -> DataFrame:

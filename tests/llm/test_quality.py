@@ -101,3 +101,51 @@ def test_the_sample_is_drawn_from_the_whole_table(spark):
     flat = R.Rule("flat", lambda m: m.text.contains("!"))
     never = R.Rule("never", lambda m: m.n_words < 0)
     assert [r.name for r in R.order_rules(docs, [never, flat], sample_rows=200)] == ["flat", "never"]
+
+
+def plain_score(p, bag):
+    """The score of one bag of standardised passages by plain loops."""
+    h = [np.tanh([sum(x[i] * p["W"][i][j] for i in range(len(x))) + p["c"][j] for j in range(len(p["c"]))]) for x in bag]
+    e = []
+    for v in h:
+        t = [np.tanh(sum(v[i] * p["V"][i][j] for i in range(len(v)))) for j in range(len(p["w"]))]
+        s = [1 / (1 + np.exp(-sum(v[i] * p["U"][i][j] for i in range(len(v))))) for j in range(len(p["w"]))]
+        e.append(sum(a * b * w for a, b, w in zip(t, s, p["w"])))
+    a = np.exp(e) / np.exp(e).sum()
+    z = sum(w * v for w, v in zip(a, h))
+    return 1 / (1 + np.exp(-(z @ p["o"] + p["b"][0])))
+
+
+def test_attention_and_gradient_against_plain_loops_and_differences():
+    r = np.random.default_rng(3)
+    model = M.GatedAttention()
+    model.p = {k: v.astype(np.float64) + 0.3 * r.standard_normal(v.shape) for k, v in model.p.items()}
+    count = np.array([1, 4, 2, 7])
+    x, label = r.standard_normal((count.sum(), M.FEATURES)), np.array([1.0, 0.0, 0.5, 1.0])
+    ends = np.cumsum(count)
+    want = [plain_score(model.p, x[e - n : e]) for e, n in zip(ends, count)]
+    assert np.allclose(model._forward(x, count)["y"], want)
+
+    def loss():
+        y = model._forward(x, count)["y"]
+        return -np.mean(label * np.log(y) + (1 - label) * np.log(1 - y))
+
+    for k, g in model.gradient(x, count, label).items():
+        for i in r.integers(0, g.size, 12):
+            at = np.unravel_index(i, g.shape)
+            model.p[k][at] += 1e-5
+            up = loss()
+            model.p[k][at] -= 2e-5
+            down = loss()
+            model.p[k][at] += 1e-5
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-6, k
+
+
+def test_training_agrees_on_reruns_with_repeated_ids_and_bounds_passages(spark):
+    docs = spark.createDataFrame([(i % 40, ("good words here " if i % 2 else "## || $$ ") * (5 + i % 7) * 30) for i in range(160)], "doc_id long, text string")
+    labels = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    a, b = (M.train(docs.repartition(n), labels) for n in (2, 5))
+    assert all((a.p[k] == b.p[k]).all() for k in a.p) and a.trained
+    few = M.train(docs, labels, sample_passages=60)
+    assert few.trained and any((few.p[k] != a.p[k]).any() for k in a.p)
+    assert not M.train(docs, labels, sample_passages=1).trained
