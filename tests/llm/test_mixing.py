@@ -25,3 +25,35 @@ def test_many_sources_rank_in_order(spark):
     got = X.ranked(spark.createDataFrame([(n,) for n in names], "source string"), "source").collect()
     want = [*sorted((n for n in names if n is not None), key=lambda n: n.encode()), None]
     assert [r["source"] for r in sorted(got, key=lambda r: r["rank"])] == want and [r["rank"] for r in sorted(got, key=lambda r: r["rank"])] == list(range(303))
+
+
+def filled(sizes, weights, budget, cap):
+    """Targets by filling in rounds."""
+    order = sorted(sizes, key=lambda s: (s is None, s.encode() if s is not None else b""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    total, full = budget * sum(sizes.values()), set()
+    while True:
+        rest = [s for s in order if s not in full]
+        level = (total - sum(cap * sizes[s] for s in full)) / sum(w[s] for s in rest) if rest else 0
+        now = {s for s in rest if w[s] * level > cap * sizes[s]}
+        if not now:
+            return {s: cap * sizes[s] if s in full else w[s] * level for s in order}
+        full |= now
+
+
+def test_targets_against_filling_in_rounds(spark):
+    import random
+
+    r = random.Random(1)
+    for weights, budget, cap in (((3, 1, 2), 1.5, 2), ((1, 9), 1.9, 2), ((1,), 2.5, 2), ((5, 1, 1, 1), 0.3, 1)):
+        sizes = {**{f"s{i}": int(10 ** r.uniform(0, 6)) for i in range(60)}, None: 40, "zero": 0}
+        sized = spark.createDataFrame(list(sizes.items()), "source string, size long")
+        got = {x["source"]: x["target"] for x in X.source_targets(sized, weights, budget, cap).collect()}
+        want = filled(sizes, weights, budget, cap)
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 1e-9 * max(1, want[s]) for s in want)
+
+
+def test_rows_without_an_id_draw_each_for_themselves(spark):
+    docs = spark.createDataFrame([(None, f"w{i} " * 10, "a") for i in range(400)] + [(7, f"v{i} " * 10, "b") for i in range(400)] + [(i, "x " * 10, "c") for i in range(400)], "doc_id long, text string, source string")
+    got = X.mix_sources(docs).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert len(got) == 3 and all(abs(r["taken"] - r["target"]) < 0.15 * r["target"] for r in got)
