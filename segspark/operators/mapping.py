@@ -23,15 +23,37 @@ BACKGROUND_EPS, EPS = 1e-2, 1e-4
 PAIRS = 1 << 20
 
 
+def spans(snps: DataFrame) -> DataFrame:
+    """``chrom, pmin, pmax``, without rows that have no chromosome.  All that depends on the
+    span of positions starts from this one aggregate, so a plan that needs it several times
+    scans the SNPs for it once."""
+    return snps.filter("chrom IS NOT NULL").groupBy("chrom").agg(F.min("pos").alias("pmin"), F.max("pos").alias("pmax"))
+
+
 def grid_bounds(snps: DataFrame, step: int) -> DataFrame:
     """``chrom, pmin, points``: the grid goes from the first position in steps, to before the last."""
-    return snps.groupBy("chrom").agg(F.min("pos").alias("pmin"), F.ceil((F.max("pos") - F.min("pos")) / step).alias("points"))
+    return spans(snps).select("chrom", "pmin", F.ceil((F.col("pmax") - F.col("pmin")) / step).alias("points"))
 
 
 def recombination_rate(snps: DataFrame, crossovers: float = 2.0, per_chrom: bool = False) -> DataFrame:
     """``crossovers`` over the span of positions: of all (one row), or of each chromosome."""
-    rate = (F.lit(crossovers) / (F.max("pos") - F.min("pos"))).alias("rate")
-    return snps.groupBy("chrom").agg(rate) if per_chrom else snps.agg(rate)
+    if per_chrom:
+        return spans(snps).select("chrom", (F.lit(crossovers) / (F.col("pmax") - F.col("pmin"))).alias("rate"))
+    return spans(snps).agg((F.lit(crossovers) / (F.max("pmax") - F.min("pmin"))).alias("rate"))
+
+
+def grid_cells(chrom: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (chrom << 40 | i), sorted, and the number of each pair among them."""
+    if len(i):
+        first, span = int(i.min()), int(i.max() - i.min()) + 1
+        size = (int(chrom.max()) + 1) * span
+        if size <= 4 * len(i):  # neighbouring SNPs share their grid points, so this is the rule
+            dense = chrom * span + (i - first)
+            met = np.zeros(size, bool)
+            met[dense] = True
+            there = np.flatnonzero(met)
+            return (there // span) << 40 | (there % span + first), (np.cumsum(met) - 1)[dense]
+    return np.unique(chrom << 40 | i, return_inverse=True)
 
 
 def sums_by_grid(snps: DataFrame, rates: DataFrame, n_res: int, n_sus: int, step: int, window: int, eps: list[float], scales: list[float], background: list[float]) -> DataFrame:
@@ -58,7 +80,7 @@ def sums_by_grid(snps: DataFrame, rates: DataFrame, n_res: int, n_sus: int, step
                 first = np.cumsum(width[at:to]) - width[at:to]
                 i = np.arange(len(which)) - np.repeat(first, width[at:to]) + lo[which]
                 distance = np.maximum(1, np.abs(pmin[which] + i * step - pos[which]))
-                cells, cell = np.unique(code[which] << 40 | i, return_inverse=True)
+                cells, cell = grid_cells(code[which], i)
                 total = lambda x: np.bincount(cell, weights=x, minlength=len(cells))  # noqa: B023, E731
                 for t, (e, b, s) in enumerate(thetas):
                     podd = -0.5 * np.expm1(-2.0 * distance * s * rate[which])

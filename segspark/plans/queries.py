@@ -49,10 +49,21 @@ def hapsc_filter(spark, d):
     return D.snps(spark, d).filter("hapsc <= 0.03").select(*KEY, "hapsc")
 
 
-@query("allele_filters", f"WITH {D.SNP_CTE} SELECT chrom, pos, vid FROM snps WHERE ref IN ('A', 'C', 'G', 'T') AND alt IN ('A', 'C', 'G', 'T') AND ref = ref")
+#: Alleles of the pools that differ, are unknown or missing in some SNPs.
+ALLELES = {
+    "r1": "CASE WHEN sus_minor % 7 = 0 THEN 'N' ELSE ref END",
+    "r2": "CASE WHEN sus_minor % 14 = 0 THEN 'N' WHEN res_minor = 3 THEN '-' ELSE alt END",
+    "s1": "CASE WHEN sus_minor % 5 = 0 THEN alt WHEN sus_minor % 7 = 0 THEN 'N' ELSE ref END",
+    "s2": "CASE WHEN sus_minor % 11 = 0 THEN '-' WHEN sus_minor % 13 = 0 THEN 'N' WHEN lineno = 5 THEN ref ELSE alt END",
+}
+
+
+@query("allele_filters", f"WITH {D.SNP_CTE}, a AS (SELECT *, {', '.join(f'{x} AS {c}' for c, x in ALLELES.items())} FROM snps) SELECT chrom, pos, vid, r1 || r2 || s1 || s2 AS alleles, r2 = s2 AS minor_too FROM a WHERE NOT (r1 = 'N' AND r2 = 'N') AND NOT (s1 = 'N' AND s2 = 'N') AND '-' NOT IN (r1, r2, s1, s2) AND r1 = s1")
 def allele_filters(spark, d):
-    keep = quality.no_missing_allele() & quality.no_dash() & quality.same_allele(0) & quality.same_allele(1)
-    return D.snps(spark, d).filter(keep).select(*KEY)
+    rows = D.snps(spark, d).withColumns({c: F.expr(x) for c, x in ALLELES.items()})
+    rows = rows.withColumn("alleles_res", F.array("r1", "r2")).withColumn("alleles_sus", F.array("s1", "s2"))
+    keep = quality.no_missing_allele() & quality.no_dash() & quality.same_allele(0)
+    return rows.filter(keep).select(*KEY, F.concat("r1", "r2", "s1", "s2").alias("alleles"), quality.same_allele(1).alias("minor_too"))
 
 
 MEDIANS = "m AS (SELECT quantile_cont(res_major + res_minor, 0.5) AS mr, quantile_cont(sus_major + sus_minor, 0.5) AS ms FROM snps)"
@@ -278,6 +289,7 @@ def trivial_phasing(spark, d):
 
 RATES = "rt AS (SELECT 2.0::DOUBLE / (max(pos) - min(pos)) AS rate FROM snps)"
 GRID = "g0 AS (SELECT chrom, min(pos) AS pmin, CAST(ceil((max(pos) - min(pos)) / 500000.0) AS BIGINT) AS points FROM snps GROUP BY chrom), g AS (SELECT chrom, pmin, unnest(range(0, points)) AS i FROM g0)"
+FINE_GRID = GRID.replace("500000", "100000")
 
 
 def _pair_sql(eps: str, scale: str) -> str:
@@ -293,18 +305,18 @@ def _ll() -> str:
 
 def _scored(where: str) -> str:
     return (
-        f"{D.SNP_CTE}, {RATES}, {GRID}, "
+        f"{D.SNP_CTE}, {RATES}, {FINE_GRID}, "
         f"base AS (SELECT snps.*, {_pair_sql('1e-2', '1').replace('podd', '0.5::DOUBLE')} FROM snps), base_ll AS (SELECT chrom, pos, res_major, res_minor, sus_major, sus_minor, {_ll()} AS ll0 FROM base), "
-        "pairs AS (SELECT g.chrom, g.i, b.res_major, b.res_minor, b.sus_major, b.sus_minor, b.ll0, 0.5 * (1 - exp(-2.0 * greatest(1, abs(g.pmin + g.i * 500000 - b.pos)) * rate)) AS podd "
-        f"FROM g JOIN base_ll b ON g.chrom = b.chrom AND b.pos > g.pmin + g.i * 500000 - {where} AND b.pos < g.pmin + g.i * 500000 + {where}, rt), "
+        "pairs AS (SELECT g.chrom, g.i, b.res_major, b.res_minor, b.sus_major, b.sus_minor, b.ll0, 0.5 * (1 - exp(-2.0 * greatest(1, abs(g.pmin + g.i * 100000 - b.pos)) * rate)) AS podd "
+        f"FROM g JOIN base_ll b ON g.chrom = b.chrom AND b.pos > g.pmin + g.i * 100000 - {where} AND b.pos < g.pmin + g.i * 100000 + {where}, rt), "
         f"pp AS (SELECT *, {_pair_sql('1e-4', '1')} FROM pairs), "
         f"sc AS (SELECT chrom, i, sum({_ll()} - ll0) AS s FROM pp GROUP BY chrom, i), "
-        "score AS (SELECT g.chrom, g.pmin + g.i * 500000 AS pos, greatest(coalesce(s, 0), 0) AS score FROM g LEFT JOIN sc ON g.chrom = sc.chrom AND g.i = sc.i)"
+        "score AS (SELECT g.chrom, g.pmin + g.i * 100000 AS pos, greatest(coalesce(s, 0), 0) AS score FROM g LEFT JOIN sc ON g.chrom = sc.chrom AND g.i = sc.i)"
     )
 
 
 def _score(spark, d):
-    return mapping.map_score(D.snps(spark, d), 178, 280, step=500_000, window=500_000)
+    return mapping.map_score(D.snps(spark, d), 178, 280, window=500_000)
 
 
 @query("map_score", f"WITH {_scored('500000')} SELECT chrom, pos, round(score, 4) AS score FROM score")
@@ -317,6 +329,12 @@ def map_peak(spark, d):
     return mapping.peaks(_score(spark, d)).withColumn("score", F.round("score", 4))
 
 
+@query("map_score_wide", f"WITH {_scored('5000000')} SELECT chrom, pos, round(score, 3) AS score FROM score")
+def map_score_wide(spark, d):
+    """With the default window of 5,000,000."""
+    return mapping.map_score(D.snps(spark, d), 178, 280).withColumn("score", F.round("score", 3))
+
+
 @query(
     "nearest_snp",
     f"WITH {D.SNP_CTE}, {GRID}, a AS (SELECT g.chrom, g.i, s.pos, abs(g.pmin + g.i * 500000 - s.pos) AS distance FROM g JOIN snps s ON s.chrom = g.chrom AND abs(g.pmin + g.i * 500000 - s.pos) < 200000) SELECT chrom, i, arg_min(pos, (distance, pos)) AS pos, min(distance) AS distance FROM a GROUP BY chrom, i",
