@@ -94,6 +94,22 @@ def depth_and_parents(min_depth: int = 8, max_depth: int = 300) -> Column:
     return pool("sus") & pool("res") & parent("um") & parent("tn1")
 
 
+def flip_by_parents(rows: DataFrame) -> DataFrame:
+    """Rows of the older table with each pool's alleles in the order of the parents: they, and
+    their counts, are exchanged if the second is that of TN1 or the first that of UM."""
+    out = rows
+    for p in ("res", "sus"):
+        turn = (F.col(f"{p}_a2") == F.col("tn1_a1")) | (F.col(f"{p}_a1") == F.col("um_a1"))
+        pick = lambda x, a, b, turn=turn, p=p: F.when(turn, F.col(f"{p}_{x}{a}")).otherwise(F.col(f"{p}_{x}{b}"))
+        out = out.withColumns({f"{p}_{x}{i}": pick(x, 3 - i, i) for x in ("a", "n") for i in (1, 2)})
+    return out
+
+
+def retained(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row: how many SNPs were ``retained`` and the ``total``."""
+    return kept.agg(F.count("*").alias("retained")).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))  # one row each
+
+
 def preprocess(
     snps: DataFrame,
     chrom: str | None = None,

@@ -47,17 +47,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def as_files(lines: DataFrame) -> DataFrame:
-    """Lines (``value``) as text files in the shared folder, and a scan of them: what a
-    reader of genomics files starts from."""
-    spark = lines.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; only a local session, where
+    it may be unset, gets one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="segspark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/lines-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def as_files(lines: DataFrame, path_only: bool = False) -> DataFrame | str:
+    """Lines (``value``) as text files in the shared folder, and a scan of them, or their path:
+    what a reader of genomics files starts from."""
+    path = scratch(lines.sparkSession, "lines")
     lines.write.text(path)
-    return spark.read.text(path)
+    return path if path_only else lines.sparkSession.read.text(path)
 
 
 def _columns(text: str) -> list[str]:

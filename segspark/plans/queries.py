@@ -910,3 +910,6 @@ def assay_vcf(spark, d):
 def chromosome_names(spark, d):
     rows = D.snps(spark, d).groupBy("chrom").agg(F.count("*").alias("n"))
     return R.translate_chromosomes(rows, rows.select("chrom", F.concat(F.lit("chr"), "chrom").alias("name")))
+
+
+from segspark.plans import annotation_queries  # noqa: E402, F401
