@@ -59,6 +59,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """``rows`` as a table in the shared folder: what costs a lot to compute and is used again."""
+    path = scratch(rows.sparkSession, "table")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def as_files(lines: DataFrame, path_only: bool = False) -> DataFrame | str:
     """Lines (``value``) as text files in the shared folder, and a scan of them, or their path:
     what a reader of genomics files starts from."""
