@@ -82,9 +82,9 @@ SPAN = StructType([StructField("kind", StringType()), StructField("start", LongT
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("scope", pa.int64())]))
 
 
-def parts(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+def parts(docs: DataFrame, text: str = "text", keep_text: bool = False, only_weak: bool = False) -> DataFrame:
     """``docs``, its text only if asked for, with a row number ``_row`` and the arrays
-    ``strong`` and ``weak``."""
+    ``strong`` and ``weak``; ``only_weak``: without the rows that have no weak parts."""
     own = [f for f in docs.schema.fields if f.name not in ("_row", "strong", "weak") and (keep_text or f.name != text)]
     schema = StructType([*own, StructField("_row", LongType()), StructField("strong", ArrayType(SPAN)), StructField("weak", ArrayType(SPAN))])
 
@@ -97,15 +97,20 @@ def parts(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataF
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             strong, weak = [], []
-            for x in batch.column(at):
+            some = []
+            for i, x in enumerate(batch.column(at)):
                 body = x.as_py() or ""
                 a = strong_parts(body)
                 b = weak_parts(body, a)
+                if only_weak and not b:
+                    continue
+                some.append(i)
                 ends = [m.start() for m in BLANK.finditer(body)] if b else []
                 strong.append(scoped(a, ends))
                 weak.append(scoped(b, ends))
             rows = pa.array(range(row, row + len(strong)), pa.int64())
             row += len(strong)
+            batch = batch.take(pa.array(some, pa.int64())) if only_weak else batch
             columns = [*batch.columns[: len(own)], rows, pa.array(strong, _ARROW), pa.array(weak, _ARROW)]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
@@ -165,16 +170,23 @@ def redact(text: str, spans: Iterable[tuple[int, int]], mark: str = MARK) -> str
 def redact_documents(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
     """``docs`` with the reported spans of each text redacted, columns unchanged.
 
-    Only documents with weak candidates meet the linked spans; the others stay in place."""
+    Documents without weak candidates, nearly all, are redacted where they are read; only
+    the others are written to the shared folder and meet the linked spans."""
     at, names = docs.columns.index(text), [f"c{i}" for i in range(len(docs.columns))]
-    found = materialize(parts(docs.toDF(*names), names[at], keep_text=True), "parts")
-    span = F.struct("kind", "start", "end")
-    linked = link_parts(found, reach).groupBy("_row").agg(F.collect_list(span).alias("linked"))
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    sure = found.filter(F.size("weak") == 0).withColumn("linked", none)
-    both = sure.unionByName(found.filter(F.size("weak") > 0).join(linked, "_row", "left").withColumn("linked", F.coalesce("linked", none)))
-    place = lambda column: F.transform(column, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    spans = F.concat(place("strong"), place("linked"))
+    docs_names = docs.columns
+
+    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some, new = [], []
+            for i, x in enumerate(batch.column(at)):
+                body = x.as_py()
+                strong = strong_parts(body or "")
+                if not weak_parts(body or "", strong):
+                    some.append(i)
+                    new.append(redact(body, ((s, e) for _, s, e in strong)) if strong else body)
+            columns = list(batch.take(pa.array(some, pa.int64())).columns)
+            columns[at] = pa.array(new, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=docs_names)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,8 +196,14 @@ def redact_documents(docs: DataFrame, text: str = "text", reach: int = REACH) ->
             columns[at] = pa.array(new, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=docs_names)
 
-    docs_names = docs.columns
-    return both.select(*names, spans.alias("spans")).mapInArrow(clean, docs.schema)
+    found = materialize(parts(docs.toDF(*names), names[at], keep_text=True, only_weak=True), "parts")
+    linked = link_parts(found, reach).groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("linked"))
+    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
+    both = found.join(linked, "_row", "left").withColumn("linked", F.coalesce("linked", none))
+    place = lambda column: F.transform(column, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    spans = F.concat(place("strong"), place("linked"))
+    late = both.select(*names, spans.alias("spans")).mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(sure, docs.schema).unionByName(late)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
