@@ -162,6 +162,16 @@ def read_pooled(spark, d):
     return rows.select("chrom", "pos", F.array_join("alleles_res", "").alias("alleles"), "qual", "res_major", "res_minor", "sus_major", "sus_minor")
 
 
+@query(
+    "read_normalised",
+    f"WITH {Q.CALL_CTE}, {Q.SWITCH} SELECT chrom, pos, ref, alt, CASE WHEN multi THEN NULL WHEN sw THEN alt ELSE ref END AS major, CASE WHEN multi THEN NULL WHEN sw THEN ref ELSE alt END AS minor, CAST(qual AS DOUBLE) AS qual, "
+    "CASE WHEN multi THEN 'multi-allelic' WHEN length(ref) > 1 OR length(alt) > 1 THEN 'indel' WHEN ref <> alt THEN 'SNP' ELSE '.' END AS type, CASE WHEN seen THEN CASE WHEN sw THEN b1 + b2 ELSE a1 + a2 END END AS segr_major, CASE WHEN seen THEN CASE WHEN sw THEN a1 + a2 ELSE b1 + b2 END END AS segr_minor FROM sw",
+)
+def read_normalised(spark, d):
+    """Normalised calls of all types, written as a table and read back for primer design."""
+    return R.read_normalised(spark, _pooled_text(spark, d)).drop("id", "flags")
+
+
 @query("pooled_header", "SELECT unnest(['##fileformat=RCBIv0.1', '##source=calls', '##commandline=normalise', concat_ws(chr(9), '#CHROM', 'POS', 'ID', 'REF', 'ALT', 'MAJOR', 'MINOR', 'QUAL', 'FILTER', 'TYPE', 'SEGR', 'HAPSC', 'FORMAT', 'res', 'sus')]) AS line")
 def pooled_header(spark, d):
     return spark.read.text(_pooled_text(spark, d)).filter(F.col("value").startswith("#")).select(F.col("value").alias("line"))

@@ -78,6 +78,27 @@ def read_pooled(spark: SparkSession, source: str | list[str], res: str, sus: str
     return rows.select(*columns)
 
 
+def read_normalised(spark: SparkSession, source: str | list[str]) -> DataFrame:
+    """Variants of a normalised table, of all types, as primer design takes them: ``chrom, pos,
+    id, ref, alt, major, minor, qual, flags (array), type, segr_major, segr_minor``."""
+    at = {c: F.get("f", F.lit(i)) for i, c in enumerate(POOLED_COLUMNS)}
+    segr = counts(missing(at["segr"]))
+    return fields(lines(spark, source)).select(
+        at["chrom"].alias("chrom"),
+        at["pos"].try_cast("long").alias("pos"),
+        missing(at["id"]).alias("id"),
+        at["ref"].alias("ref"),
+        at["alt"].alias("alt"),
+        missing(at["major"], "NA").alias("major"),
+        missing(at["minor"], "NA").alias("minor"),
+        at["qual"].try_cast("double").alias("qual"),
+        F.split(at["filter"], "[;,]").alias("flags"),
+        at["type"].alias("type"),
+        F.get(segr, F.lit(0)).alias("segr_major"),
+        F.get(segr, F.lit(1)).alias("segr_minor"),
+    )
+
+
 def read_two_sample_calls(spark: SparkSession, source: str | list[str], with_parents: bool = False) -> DataFrame:
     """The older call table without INFO: FORMAT in column 8, then parents if any, then the
     pools res and sus; the chromosome is what follows ``chr``."""
