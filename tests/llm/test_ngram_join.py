@@ -58,6 +58,18 @@ def test_components_against_brute_force(spark, members, k, percent):
     assert sorted(map(tuple, got), key=repr) == brute(rows, k, percent)
 
 
+def test_long_documents_against_brute_force(spark):
+    r = random.Random(8)
+    text = lambda n: [f"w{int(r.paretovariate(0.6))}" for _ in range(n)]
+    changed = lambda x, n: [f"n{r.randrange(9**6)}" if i in cut else w for cut in [set(r.sample(range(len(x)), n))] for i, w in enumerate(x)]
+    book, base = text(20_000), text(3_000)
+    out = [book, changed(book, 100), changed(book, 250), book[1_000:] + text(500), *(changed(base, n) for n in (0, 5, 20, 40, 60, 400)), *(text(r.randrange(20, 3_000)) for _ in range(25))]
+    rows = [(i, " ".join(x)) for i, x in enumerate(out)]
+    got = N.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    want = brute(rows, 4, 85)
+    assert sorted(map(tuple, got), key=repr) == want and len({c for _, _, c in want}) < len(rows) - 3
+
+
 def test_odd_documents(spark, odd_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     got = sorted(map(tuple, N.components(odd_docs).collect()), key=repr)
