@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from segspark.llm._hot import hot_keys, join_unique
+from segspark.llm._hot import hot_from, hot_keys, join_unique
 from segspark.llm._scratch import discard, materialize
 
 #: Rounds after which something must be wrong; each shortens every path by about half.
 ROUNDS = 60
 
 
-def _settled(tree: DataFrame) -> bool:
-    """Whether every component is one star: no node has two parents, no parent has one."""
-    ends = tree.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(tree.select(F.col("b").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
-    roles = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
-    return roles.filter("child > 1 OR (child = 1 AND parent = 1)").isEmpty()
+def _shape(tree: DataFrame) -> Row:
+    """``settled``: every component is one star, so no node has two parents and no parent has
+    one; ``edges``; and the most ``parents`` and ``children`` that a node has."""
+    ends = tree.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(tree.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    roles = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    loose = (F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") > 0))
+    return roles.agg((F.count_if(loose) == 0).alias("settled"), F.coalesce(F.sum("up"), F.lit(0)).alias("edges"), F.max("up").alias("parents"), F.max("down").alias("children")).first()
 
 
 def connected_components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -35,14 +37,16 @@ def connected_components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     tree = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     tree = materialize(tree, "edges")
     for _ in range(rounds):
-        if _settled(tree):
+        shape = _shape(tree)
+        if shape["settled"]:
             break
-        rows = tree.count()
+        # A node that has no more edges than this is not hot, and large stars give none more parents.
+        hot = lambda table, end, most: hot_keys(table, end, shape["edges"]) if most > hot_from(shape["edges"]) else None  # noqa: B023, E731
         parents = tree.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        large = join_unique(tree, "b", parents, "u", hot_keys(tree, "b", rows)).select("a", F.coalesce("m", "b").alias("b"))
+        large = join_unique(tree, "b", parents, "u", hot(tree, "b", shape["children"])).select("a", F.coalesce("m", "b").alias("b"))
         large = materialize(large.distinct(), "large-stars")
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        joined = join_unique(large, "a", least, "u", hot_keys(large, "a", rows))
+        joined = join_unique(large, "a", least, "u", hot(large, "a", shape["parents"]))
         small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         before, tree = tree, materialize(small.distinct(), "edges")
         discard(before, large)

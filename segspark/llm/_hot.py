@@ -10,18 +10,25 @@ from pyspark.sql import functions as F
 HOT_ROWS, HOT = 256, 4096
 
 
+def hot_from(rows: int) -> int:
+    """How many rows a key of a table of ``rows`` rows may have without being hot."""
+    return max(HOT_ROWS, rows // HOT)
+
+
 def hot_keys(table: DataFrame, key: str, rows: int) -> DataFrame:
     """The hot values of ``key`` in a table of ``rows`` rows, in column ``hot``."""
-    many = max(HOT_ROWS, rows // HOT)
-    return table.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("hot")).count().filter(F.col("count") > many).select("hot")
+    return table.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("hot")).count().filter(F.col("count") > hot_from(rows)).select("hot")
 
 
-def join_unique(left: DataFrame, key: str, right: DataFrame, right_key: str, hot: DataFrame) -> DataFrame:
-    """Left join of ``right``, which has at most one row for a key and no column of ``left``.
+def join_unique(left: DataFrame, key: str, right: DataFrame, right_key: str, hot: DataFrame | None) -> DataFrame:
+    """Left join of ``right``, which has at most one row for a key and no column of ``left``;
+    ``hot`` is None if no key is.
 
     Rows with a hot key stay in place and meet their match by broadcast; of every other key
     a bounded share of the rows is shuffled.  Rows without a key must be kept out."""
     others = [c for c in right.columns if c != right_key]
+    if hot is None:
+        return left.join(right, F.col(key) == F.col(right_key), "left").select(*(F.col(f"`{c}`") for c in left.columns), *others)
     matches = F.broadcast(hot.join(right, F.col("hot") == F.col(right_key), "left").select("hot", *(F.col(c).alias(f"_hot_{c}") for c in others)))
     marked = left.join(matches, F.col(key) == F.col("hot"), "left")
     own = [F.col(f"`{c}`") for c in left.columns]
