@@ -140,11 +140,6 @@ def beta_params_plain(spark, d):
 
 # ---- files: written, read back
 
-_POOL = (
-    "concat_ws(chr(9), chrom, pos, '.', ref, alt, CASE WHEN multi THEN 'NA' WHEN sw THEN alt ELSE ref END, CASE WHEN multi THEN 'NA' WHEN sw THEN ref ELSE alt END)"
-)
-
-
 def _pooled_text(spark, d):
     rows = normalise.normalise(Q._parsed(spark, d), Q.DESIGN)
     header = spark.createDataFrame([(x,) for x in sinks.pooled_header(["res", "sus"], ["##source=calls"], "normalise")], "value string")
@@ -183,12 +178,11 @@ def pooled_header(spark, d):
 )
 def read_two_sample_calls(spark, d):
     rows = D.project(D.table(spark, d, "lineitem"), Q.CALLS)
-    line = F.concat_ws("\t", F.concat(F.lit("9311chr"), "chrom"), "pos", F.lit("."), "ref", "alt", "qual", "filter", F.lit("GT:AD:DP:GQ:PL"), F.expr(Q.SAMPLE1), F.expr(f"CASE WHEN gone THEN './.' ELSE {Q.SAMPLE2} END"))
+    line = F.concat_ws("\t", F.concat(F.lit("s1chr"), "chrom"), "pos", F.lit("."), "ref", "alt", "qual", "filter", F.lit("GT:AD:DP:GQ:PL"), F.expr(Q.SAMPLE1), F.expr(f"CASE WHEN gone THEN './.' ELSE {Q.SAMPLE2} END"))
     got = R.read_two_sample_calls(spark, D.as_files(rows.select(line.alias("value")), path_only=True))
     return got.select("chrom", "pos", F.array_join("alleles_res", "").alias("alleles"), "qual", "res_major", "res_minor", "geno_res", "sus_major", "sus_minor", "geno_sus")
 
 
-_ALLELE = ("sus_a1", "sus_a2", "res_a1", "res_a2", "um_a1", "um_a2", "tn1_a1", "tn1_a2")
 _TABLE = {
     "sus_a1": "ref", "sus_a2": "alt", "sus_n1": "sus_major", "sus_n2": "sus_minor",
     "res_a1": "CASE WHEN lineno % 3 = 0 THEN alt ELSE ref END", "res_a2": "CASE WHEN lineno % 3 = 0 THEN ref ELSE alt END", "res_n1": "res_major", "res_n2": "res_minor",
