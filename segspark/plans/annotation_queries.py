@@ -167,7 +167,7 @@ def read_normalised(spark, d):
     return R.read_normalised(spark, _pooled_text(spark, d)).drop("id", "flags")
 
 
-@query("pooled_header", "SELECT unnest(['##fileformat=RCBIv0.1', '##source=calls', '##commandline=normalise', concat_ws(chr(9), '#CHROM', 'POS', 'ID', 'REF', 'ALT', 'MAJOR', 'MINOR', 'QUAL', 'FILTER', 'TYPE', 'SEGR', 'HAPSC', 'FORMAT', 'res', 'sus')]) AS line")
+@query("pooled_header", f"SELECT unnest(['{sinks.FORMAT}', '##source=calls', '##commandline=normalise', concat_ws(chr(9), '#CHROM', 'POS', 'ID', 'REF', 'ALT', 'MAJOR', 'MINOR', 'QUAL', 'FILTER', 'TYPE', 'SEGR', 'HAPSC', 'FORMAT', 'res', 'sus')]) AS line")
 def pooled_header(spark, d):
     return spark.read.text(_pooled_text(spark, d)).filter(F.col("value").startswith("#")).select(F.col("value").alias("line"))
 

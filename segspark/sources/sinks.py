@@ -28,11 +28,11 @@ def pooled_line(samples: list[str]) -> Column:
 
 
 #: Fixed value: the first line of a normalised table.
-FORMAT = "##fileformat=RBCIv0.1"
+FORMAT = "##fileformat=RCBIv0.1"
 
 
 def pooled_header(samples: list[str], copied: list[str] = (), command: str | None = None) -> list[str]:
-    first = ["##fileformat=RCBIv0.1", *copied, *([f"##commandline={command}"] if command else [])] if command or copied else []
+    first = [FORMAT, *copied, *([f"##commandline={command}"] if command else [])] if command or copied else []
     return [*first, "#" + "\t".join(["CHROM", "POS", "ID", "REF", "ALT", "MAJOR", "MINOR", "QUAL", "FILTER", "TYPE", "SEGR", "HAPSC", "FORMAT", *samples])]
 
 
