@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segspark.functions.stats import beta_arrays, ln_beta_binomial, log_binomial
+from segspark.functions.stats import BLOCK, beta_arrays, ln_beta_binomial, log_binomial
 from segspark.sources.text import spread
 
 #: Noise of the background model, and of phenotypes in the tested one.
@@ -83,8 +83,11 @@ def sums_by_grid(snps: DataFrame, rates: DataFrame, n_res: int, n_sus: int, step
                 cells, cell = grid_cells(code[which], i)
                 total = lambda x: np.bincount(cell, weights=x, minlength=len(cells))  # noqa: B023, E731
                 for t, (e, b, s) in enumerate(thetas):
-                    podd = -0.5 * np.expm1(-2.0 * distance * s * rate[which])
-                    ll = ln_beta_binomial(kr[which], nr[which], *beta_arrays(podd, "res", n_res, e)) + ln_beta_binomial(ks[which], ns[which], *beta_arrays(podd, "sus", n_sus, e))
+                    ll = np.empty(len(which))
+                    for part in (slice(x, x + BLOCK) for x in range(0, len(which), BLOCK)):
+                        w = which[part]
+                        podd = -0.5 * np.expm1(-2.0 * distance[part] * s * rate[w])
+                        ll[part] = ln_beta_binomial(kr[w], nr[w], *beta_arrays(podd, "res", n_res, e)) + ln_beta_binomial(ks[w], ns[w], *beta_arrays(podd, "sus", n_sus, e))
                     names = chroms.dictionary.take(pa.array(cells >> 40))
                     yield pa.RecordBatch.from_arrays([names, pa.array(cells & ((1 << 40) - 1)), pa.array(np.full(len(cells), t, np.int32)), pa.array(total(ll)), pa.array(total(base[b][which]))], names=["chrom", "i", "theta", "ll", "ll0"])
                 at = to
