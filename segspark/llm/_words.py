@@ -41,7 +41,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(base: int, n: int, name: str) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        size = max(n, 1 << 22)
+        size = max(n, 1 << 20)
         steps = np.full(size, base, dtype=_U)
         steps[0] = 1
         have = _powers[name] = np.cumprod(steps, dtype=_U)

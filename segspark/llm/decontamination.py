@@ -37,7 +37,7 @@ ERROR_RATE = 0.2
 #: Text of the items in one block; what a task holds of it is a small multiple.
 BLOCK_BYTES = 4 << 20
 #: Text of the documents that a task holds the blocks against at a time.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Words of a piece that are looked up; a longer piece can only stand where these do.
 PIECE = 8
 _TABLE = 1 << 22
