@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from segspark.llm.conversation_repair import OP11_SQL, op11_conversation_repair
 from segspark.llm.decontamination import op5_decontamination
 from segspark.llm.license_scan import op2_license_scan
 from segspark.llm.mixing import OP9_SQL, op9_mixing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLE_SQL = {
@@ -32,4 +34,5 @@ ORACLE_SQL = {
     "op6_warc": OP6_SQL,
     "op9_mixing": OP9_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op11_conversation_repair": OP11_SQL,
 }
