@@ -5,6 +5,7 @@ from __future__ import annotations
 from segspark.llm.conversation_repair import OP11_SQL, op11_conversation_repair
 from segspark.llm.decontamination import op5_decontamination
 from segspark.llm.license_scan import op2_license_scan
+from segspark.llm.line_dedup import OP12_SQL, op12_line_dedup
 from segspark.llm.mixing import OP9_SQL, op9_mixing
 from segspark.llm.ngram_join import OP4_SQL, op4_ngram_join
 from segspark.llm.quality_mil import op3_quality_classifier
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_line_dedup": op12_line_dedup,
 }
 
 ORACLE_SQL = {
@@ -35,4 +37,5 @@ ORACLE_SQL = {
     "op9_mixing": OP9_SQL,
     "op10_quality_rules": OP10_SQL,
     "op11_conversation_repair": OP11_SQL,
+    "op12_line_dedup": OP12_SQL,
 }
