@@ -44,6 +44,7 @@ from pyspark.sql.types import DataType, LongType, StructField, StructType
 
 from segspark.llm._hot import hot_from, join_unique
 from segspark.llm._scratch import discard, materialize
+from segspark.llm._sql import CRC_TABLE, ascii_bytes, crc32
 
 #: Turns of a block, and tables that one step joins.
 BLOCK, MERGED = 1024, 8
@@ -358,16 +359,13 @@ def _with(way: str, cost: str, edits: str) -> str:
     return f"lpad(CAST(CAST(substr({way}, 1, 8) AS BIGINT) + {cost} AS VARCHAR), 8, '0') || substr({way}, 9) || '{edits}'"
 
 
-#: crc32 of ASCII strings, from the table of its reflected polynomial.
-_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])))"
-_CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
 _NAMED = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
 
 #: One fold over the turns with a way for each state (e: none yet, s, u, a); what a repaired
 #: turn becomes follows from how many stand before it.
 OP11_SQL = f"""
-WITH RECURSIVE crc AS ({_CRC_TABLE}), r AS (
-  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format(_NAMED)} % 20 AS fate FROM conversations, crc
+WITH RECURSIVE crc AS ({CRC_TABLE}), r AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32(ascii_bytes(_NAMED))} % 20 AS fate FROM conversations, crc
 ), d AS (
   SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
   FROM r JOIN (VALUES (1), (2)) copies(copy) ON copy = 1 OR fate = 3 WHERE fate <> 0

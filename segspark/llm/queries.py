@@ -11,6 +11,7 @@ from segspark.llm.ngram_join import OP4_SQL, op4_ngram_join
 from segspark.llm.quality_mil import op3_quality_classifier
 from segspark.llm.quality_rules import OP10_SQL, op10_quality_rules
 from segspark.llm.secret_scan import op7_secret_scan
+from segspark.llm.target_resampling import OP13_SQL, op13_target_resampling
 from segspark.llm.token_counts import op8_token_counts
 from segspark.llm.url_filter import OP1_SQL, op1_url_filter
 from segspark.llm.warc import OP6_SQL, op6_warc
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_line_dedup": op12_line_dedup,
+    "op13_target_resampling": op13_target_resampling,
 }
 
 ORACLE_SQL = {
@@ -38,4 +40,5 @@ ORACLE_SQL = {
     "op10_quality_rules": OP10_SQL,
     "op11_conversation_repair": OP11_SQL,
     "op12_line_dedup": OP12_SQL,
+    "op13_target_resampling": OP13_SQL,
 }
