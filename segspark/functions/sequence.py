@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Amino acids of the standard genetic code, codons in the order TTT, TTC, TTA, TTG, TCT, ...
 BASES = "TCAG"
 AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+STOPS = [BASES[i // 16] + BASES[i // 4 % 4] + BASES[i % 4] for i, a in enumerate(AMINO_ACIDS) if a == "*"]
 #: IUPAC letter of two different bases.
 IUPAC = {"AT": "W", "CG": "S", "AC": "M", "GT": "K", "CT": "Y", "AG": "R"}
 

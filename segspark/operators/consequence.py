@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segspark.functions.sequence import codon_at, degeneracy, mark_base, replace_base, revcomp, translate_cds, translate_codon
+from segspark.functions.sequence import STOPS, codon_at, degeneracy, mark_base, replace_base, revcomp, translate_codon
 
 
 def variant_kind(rows: DataFrame) -> DataFrame:
@@ -97,12 +97,13 @@ def cds_strand_position() -> Column:
     return F.when(F.col("strand") == "+", F.col("cds_pos")).when(F.col("vartype") == "S", F.col("cds_len") - F.col("cds_pos") + 1).otherwise(F.col("cds_len") - F.col("cds_pos"))
 
 
-def snp_consequence(rows: DataFrame) -> DataFrame:
+def snp_consequence(rows: DataFrame, raw: Column | None = None) -> DataFrame:
     """Rows with ``cds, cds_len, cds_pos, strand, alt`` get ``codon, codon_pos, codon_alt, ref_aa,
     new_aa, degeneracy, kind, new_stop, lost_stop, lost_start``; codons are shown with the other
-    bases in small letters."""
+    bases in small letters.  ``raw`` is the codon on the plus strand where it is known; then
+    ``cds`` isn't needed."""
     plus = F.col("strand") == "+"
-    raw = codon_at(F.col("cds"), F.col("cds_pos"))
+    raw = codon_at(F.col("cds"), F.col("cds_pos")) if raw is None else raw
     out = rows.withColumn("_codon", F.when(plus, raw).otherwise(revcomp(raw)))
     out = out.withColumn("codon_pos", F.when(plus, (F.col("cds_pos") - 1) % 3 + 1).otherwise((F.col("cds_len") - F.col("cds_pos")) % 3 + 1).cast("int"))
     base = F.when(plus, F.col("alt")).otherwise(revcomp(F.col("alt")))
@@ -127,8 +128,11 @@ def snp_consequence(rows: DataFrame) -> DataFrame:
 
 def stop_scan(cds: Column, at: Column) -> Column:
     """How many codons on from the one that holds 1-based ``at`` the first stop is (1: it is
-    that codon); 0 if there is none."""
-    return F.instr(translate_cds(F.substr(cds, (F.floor((F.greatest(at, F.lit(1)) - 1) / 3) * 3 + 1).cast("int"))), "*")
+    that codon); 0 if there is none.  A mark behind each codon keeps matches in the frame."""
+    tail = F.substr(cds, (F.floor((F.greatest(at, F.lit(1)) - 1) / 3) * 3 + 1).cast("int"))
+    marked = F.regexp_replace(tail, "(?s)(...)", "$1,")
+    found = [F.nullif(F.instr(marked, stop + ","), F.lit(0)) for stop in STOPS]
+    return F.when(tail.isNotNull(), F.coalesce(F.floor((F.least(*found) - 1) / 4) + 1, F.lit(0)).cast("int"))
 
 
 def insertion_effects(rows: DataFrame) -> DataFrame:
@@ -193,12 +197,12 @@ def splice_site() -> Column:
     return inside & ((F.col("pos") <= F.col("prev_end") + reach) | (F.col("pos") >= F.col("next_start") - 2))
 
 
-def splice_motif(gene_seq: Column, g_start: Column) -> Column:
-    """The two bases of the splice site that a SNP hits, on the gene's own strand."""
-    front = F.col("pos") <= F.col("prev_end") + 2
-    at = F.when(front, F.col("prev_end") + 1).otherwise(F.col("next_start") - 2) - g_start + 1
-    motif = F.substr(gene_seq, at.cast("int"), F.lit(2))
-    return F.when(F.col("strand") == "+", motif).otherwise(revcomp(motif))
+def splice_motif(raw: Column, front: Column) -> tuple[Column, Column]:
+    """The two bases of a splice site on the gene's own strand, and which of them a SNP hits, from
+    the bases on the plus strand and the SNP's place (1 or 2) in them."""
+    plus = F.col("strand") == "+"
+    place = F.when(plus, front).otherwise(3 - front).cast("int")
+    return mark_base(F.when(plus, raw).otherwise(revcomp(raw)), place), place
 
 
 def location(has_gene: Column, has_exon: Column, in_splice: Column, type: Column) -> Column:
@@ -211,9 +215,10 @@ def effect_label() -> Column:
 
 
 def effect_list() -> Column:
-    """All effects as a comma list."""
-    names = ("new_stop", "lost_stop", "lost_start", "splicechange", "frameshift")
-    return F.array_join(F.array_compact(F.array(*(F.when(F.col(n).cast("int") > 0, n) for n in names))), ",")
+    """All effects as a comma list; a new stop with the number of its codon after the change."""
+    stop = F.when(F.col("new_stop").cast("int") > 0, F.concat(F.lit("new_stop ("), F.col("new_stop").cast("int").cast("string"), F.lit(")")))
+    names = ("lost_stop", "lost_start", "splicechange", "frameshift")
+    return F.array_join(F.array_compact(F.array(stop, *(F.when(F.col(n).cast("int") > 0, n) for n in names))), ",")
 
 
 def gene_alignment(genes: DataFrame, edits: DataFrame) -> DataFrame:

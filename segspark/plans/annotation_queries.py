@@ -19,10 +19,11 @@ from segspark.sources import text as R
 
 
 def _annotated(spark, d):
-    kinds = consequence.variant_kind(D.variants(spark, d)).withColumn("len", F.col("len").cast("int"))
+    kinds = D.written(consequence.variant_kind(D.variants(spark, d)).withColumn("len", F.col("len").cast("int")))
     exons = consequence.exon_offsets(D.exons(spark, d))
-    cds = exons.select("gene", "cds_len").distinct().select("gene", F.substr(F.expr(D.DNA), F.lit(1), F.col("cds_len").cast("int")).alias("cds"))
-    return A.annotate(kinds, D.genes(spark, d), exons, cds)
+    cds = exons.groupBy("gene").agg(F.max("cds_len").cast("int").alias("n")).select("gene", F.substr(F.expr(D.DNA), F.lit(1), F.col("n")).alias("cds"))
+    genes = D.genes(spark, d)
+    return A.annotate(kinds, genes, exons, cds, sequences=genes.select("gene", F.expr(D.DNA).alias("seq")))
 
 
 _INDEX = " + ".join(f"{w} * (instr('TCAG', substr(codon_alt, {i}, 1)) - 1)" for i, w in ((1, 16), (2, 4), (3, 1)))
@@ -44,7 +45,7 @@ _DEL_PART = Q.DEL_SPANS + (
     f"SELECT vid, gene, n AS cds_len, CASE WHEN strand = '+' THEN l ELSE n - r + 1 END AS cds_from, CASE WHEN strand = '+' THEN r ELSE n - l + 1 END AS cds_to, {_NONE}, new_stop, CASE WHEN strand = '+' THEN r >= n - 3 ELSE l < 4 END OR new_stop = 0 AS lost_stop, "
     "CASE WHEN strand = '+' THEN l < 4 ELSE r >= n - 3 END AS lost_start, splicechange, (r - l + 1) % 3 <> 0 AS frameshift FROM z"
 )
-_SPLICE = f"WITH {D.VARIANT_CTE}, {Q.KIND}, {D.EXON_CTE}, {Q.OFFSETS} SELECT DISTINCT vid, gene, TRUE AS splice FROM vk JOIN ex ON vk.chrom = ex.chrom AND vartype <> 'D' AND next_start IS NOT NULL AND pos > e_end AND pos < next_start AND (pos <= e_end + 1 + CAST(vartype = 'S' AS INT) OR pos >= next_start - 2)"
+_SPLICE = f"WITH {D.VARIANT_CTE}, {Q.KIND}, {D.EXON_CTE}, {Q.OFFSETS} SELECT vid, gene, TRUE AS splice, any_value(CASE WHEN vartype = 'S' THEN pos - CASE WHEN pos <= e_end + 2 THEN e_end + 1 ELSE next_start - 2 END + 1 END) AS sp, any_value(substr({D.DNA}, CAST(CASE WHEN pos <= e_end + 2 THEN e_end + 1 ELSE next_start - 2 END - g_start + 1 AS INT), 2)) AS two, any_value(strand) AS sst FROM vk JOIN ex ON vk.chrom = ex.chrom AND vartype <> 'D' AND next_start IS NOT NULL AND pos > e_end AND pos < next_start AND (pos <= e_end + 1 + CAST(vartype = 'S' AS INT) OR pos >= next_start - 2) GROUP BY vid, gene"
 _REGIONS = (
     f"WITH {D.VARIANT_CTE}, {Q.KIND}, {D.EXON_CTE}, h AS (SELECT vid, gene, greatest(pos, e_start) AS s, least(pos + len - 1, e_end) AS e FROM vk JOIN exons ON vk.chrom = exons.chrom AND vartype = 'D' AND pos <= e_end AND pos + len - 1 >= e_start), "
     "p AS (SELECT *, s - lag(e) OVER (PARTITION BY vid, gene ORDER BY s) - 1 AS gap FROM h) SELECT vid, gene, string_agg(CASE WHEN gap > 0 THEN concat('intronic/noncoding,', gap, '-') ELSE '' END || concat('CDS,', e - s + 1), '-' ORDER BY s) AS regions FROM p GROUP BY vid, gene"
@@ -54,17 +55,17 @@ ANNOTATED = (
     f"ef AS (({_SNP_PART}) UNION ALL ({_INS_PART}) UNION ALL ({_DEL_PART})), sp AS ({_SPLICE}), rg AS ({_REGIONS}), "
     "an AS (SELECT gh.*, CASE WHEN gh.gene IS NULL THEN 'intergenic' WHEN ef.cds_from IS NOT NULL THEN coalesce(regions, 'CDS') WHEN splice THEN 'splicesite' ELSE 'intronic/noncoding' END AS stype, "
     "CASE WHEN gh.strand = '+' THEN greatest(pos, g_start) - g_start + 1 WHEN vartype = 'S' THEN g_end - pos + 1 WHEN vartype = 'I' THEN g_end - pos ELSE g_end - least(e, g_end) + 1 END AS gene_pos, "
-    "cds_len, cds_from, cds_to, codon_pos, kind, ref_aa, new_aa, codon, codon_alt, degeneracy, new_stop, lost_stop, lost_start, coalesce(splicechange, FALSE) OR (splice IS NOT NULL AND cds_from IS NULL) AS splicechange, frameshift "
+    "cds_len, cds_from, cds_to, codon_pos, kind, ref_aa, new_aa, codon, codon_alt, degeneracy, new_stop, lost_stop, lost_start, CASE WHEN vartype = 'S' AND cds_from IS NULL THEN CASE WHEN sst = '+' THEN sp ELSE 3 - sp END END AS mp, CASE WHEN sst = '+' THEN two ELSE translate(reverse(two), 'ACGT', 'TGCA') END AS motif, coalesce(splicechange, FALSE) OR (splice IS NOT NULL AND cds_from IS NULL) AS splicechange, frameshift "
     "FROM gh LEFT JOIN ef ON gh.vid = ef.vid AND gh.gene = ef.gene LEFT JOIN sp ON gh.vid = sp.vid AND gh.gene = sp.gene LEFT JOIN rg ON gh.vid = rg.vid AND gh.gene = rg.gene) "
 )
-_FEATURES = "nullif(concat_ws(',', CASE WHEN new_stop > 0 THEN 'new_stop' END, CASE WHEN lost_stop THEN 'lost_stop' END, CASE WHEN lost_start THEN 'lost_start' END, CASE WHEN splicechange THEN 'splicechange' END, CASE WHEN frameshift THEN 'frameshift' END), '')"
+_FEATURES = "nullif(concat_ws(',', CASE WHEN new_stop > 0 THEN concat('new_stop (', new_stop, ')') END, CASE WHEN lost_stop THEN 'lost_stop' END, CASE WHEN lost_start THEN 'lost_start' END, CASE WHEN splicechange THEN 'splicechange' END, CASE WHEN frameshift THEN 'frameshift' END), '')"
 TAB = "chr(9)"
 
 
 @query(
     "annotated_table",
     ANNOTATED + f"SELECT concat_ws({TAB}, chrom, pos, 'pool', ref, alt, filter, stype, CASE WHEN gene IS NOT NULL THEN concat_ws({TAB}, gene, 1, g_start, g_end, strand, gene_pos) END, "
-    f"CASE WHEN cds_from IS NULL THEN NULL WHEN vartype = 'S' THEN concat_ws({TAB}, cds_len, cds_from, codon_pos, kind, ref_aa, new_aa, codon, degeneracy) WHEN vartype = 'I' THEN concat_ws({TAB}, cds_len, cds_from) ELSE concat_ws({TAB}, cds_len, cds_from, cds_to, cds_to - cds_from + 1) END, {_FEATURES}) AS line FROM an",
+    f"CASE WHEN cds_from IS NULL THEN CASE WHEN mp IS NOT NULL THEN concat_ws({TAB}, mp, CASE WHEN mp = 1 THEN substr(motif, 1, 1) || lower(substr(motif, 2, 1)) ELSE lower(substr(motif, 1, 1)) || substr(motif, 2, 1) END) END WHEN vartype = 'S' THEN concat_ws({TAB}, cds_len, cds_from, codon_pos, kind, ref_aa, new_aa, codon, degeneracy) WHEN vartype = 'I' THEN concat_ws({TAB}, cds_len, cds_from) ELSE concat_ws({TAB}, cds_len, cds_from, cds_to, cds_to - cds_from + 1) END, {_FEATURES}) AS line FROM an",
 )
 def annotated_table(spark, d):
     return _annotated(spark, d).select(A.annotated_line(F.lit("pool"), ("filter",)).alias("line"))

@@ -5,11 +5,10 @@ SQL start from the same rows and are independent from there on."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from segspark.sources.scratch import scratch, written  # noqa: F401
+
 SNPS = """
 l_returnflag || l_linestatus AS chrom, l_orderkey * 1000 + l_linenumber AS pos,
 substr('ACGT', CAST(1 + l_partkey % 4 AS INT), 1) AS ref, substr('ACGT', CAST(1 + l_suppkey % 4 AS INT), 1) AS alt,
@@ -47,25 +46,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names; only a local session, where
-    it may be unset, gets one of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="segspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(rows: DataFrame) -> DataFrame:
-    """``rows`` as a table in the shared folder: what costs a lot to compute and is used again."""
-    path = scratch(rows.sparkSession, "table")
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def as_files(lines: DataFrame, path_only: bool = False) -> DataFrame | str:
     """Lines (``value``) as text files in the shared folder, and a scan of them, or their path:
     what a reader of genomics files starts from."""

@@ -2,12 +2,14 @@
 
 import hashlib
 import os
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from segspark.operators import annotate as A
-from segspark.operators import consequence, primers, quality
+from segspark.operators import consequence, primers, quality, sweep
 from segspark.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -17,13 +19,14 @@ VARIANTS = [
 ]
 
 
-def annotated(spark, strand="+"):
+def annotated(spark, strand="+", whole=False):
     rows = spark.createDataFrame([(v, "1", p, r, a) for v, p, r, a in VARIANTS], "vid string, chrom string, pos long, ref string, alt string")
     kinds = consequence.variant_kind(rows).withColumn("len", F.col("len").cast("int"))
     genes = spark.createDataFrame([("g1", "1", strand, 11, 40)], "gene string, chrom string, strand string, g_start long, g_end long")
     exons = spark.createDataFrame([("g1", "1", strand, 11, 19), ("g1", "1", strand, 30, 35)], "gene string, chrom string, strand string, e_start long, e_end long")
     cds = spark.createDataFrame([("g1", "ATGGCTAAACGTTAA")], "gene string, cds string")
-    return A.annotate(kinds, genes, consequence.exon_offsets(exons), cds)
+    sequences = spark.createDataFrame([("g1", "ATGGCTAAAGTCCCCCCAGTCGTTAAGGGG")], "gene string, seq string")
+    return A.annotate(kinds, genes, consequence.exon_offsets(exons), cds, sequences=sequences if whole else None)
 
 
 def test_lines_of_a_hand_made_gene(spark):
@@ -32,14 +35,48 @@ def test_lines_of_a_hand_made_gene(spark):
     assert got["v5"] == "1\t5\ts\tA\tG\tintergenic" and got["none"] == "1\t900\ts\tA\tC\tintergenic"
     assert got["v15"] == f"1\t15\ts\tC\tT\tCDS\t{gene(5)}\t15\t5\t2\tNonsyn\tA\tV\tgCt\t0"
     assert got["v16"] == f"1\t16\ts\tT\tC\tCDS\t{gene(6)}\t15\t6\t3\tSyn\tA\tA\tgcT\t4"
-    assert got["v12"].endswith("lost_start") and got["v17"].endswith("\tnew_stop") and got["v33"].endswith("lost_stop")
+    assert got["v12"].endswith("lost_start") and got["v17"].endswith("\tnew_stop (1)") and got["v33"].endswith("lost_stop")
     assert got["v20"] == f"1\t20\ts\tG\tA\tsplicesite\t{gene(10)}\tsplicechange" and got["v28"].endswith("splicechange")
     assert got["v25"] == f"1\t25\ts\tC\tA\tintronic/noncoding\t{gene(15)}"
     assert got["v13i"] == f"1\t13\ts\tG\tGAA\tCDS\t{gene(3)}\t15\t3\tlost_stop,frameshift"
-    assert got["v14d"] == f"1\t14\ts\tGCT\tG\tCDS,2\t{gene(4)}\t15\t4\t5\t2\tnew_stop,frameshift"
+    assert got["v14d"] == f"1\t14\ts\tGCT\tG\tCDS,2\t{gene(4)}\t15\t4\t5\t2\tnew_stop (1),frameshift"
     assert "CDS,2-intronic/noncoding,10-CDS,2" in got["v18d"] and "splicechange" in got["v18d"]
 
 
+def test_splice_sites_show_their_bases(spark):
+    of = lambda strand: {r["vid"]: r["line"].split("\t")[12:] for r in annotated(spark, strand, True).select("vid", A.annotated_line(F.lit("s")).alias("line")).collect()}
+    plus, minus = of("+"), of("-")
+    assert plus["v20"] == ["1", "Gt", "splicechange"] and plus["v28"] == ["1", "Ag", "splicechange"] and plus["v25"] == []
+    assert minus["v20"] == ["2", "aC", "splicechange"] and minus["v28"] == ["2", "cT", "splicechange"]
+
+
+def sweep_brute(variants, genes):
+    out = []
+    for v, c, start, end in variants:
+        hits = [g for g, d, a, b in genes if c == d and a <= b and start is not None and start <= b and end >= a]
+        out += [(v, g) for g in hits] or [(v, None)]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("target, size", [(25_000, 20_000), (3, 50), (1, 7)])
+def test_sweep_against_all_pairs(spark, target, size):
+    """Long features over many ranges, nested ones, a hot place, repeated rows, nulls."""
+    dice = random.Random(target)
+    genes = [(i, dice.choice("AB"), s := dice.randint(1, 3000), s + dice.choice([0, 3, 40, 900])) for i in range(60)] + [(60, "A", 1, 10**6), (61, "C", 5, 4)]
+    variants = [(i, dice.choice("ABD"), s := dice.randint(1, 4000), s + dice.choice([0, 0, 0, 25, 700])) for i in range(150)]
+    variants += [(200 + i, "A", 77, 77) for i in range(90)] + [(300, None, 5, 5), (301, "A", None, None), (302, "A", 10**7, 10**7)]
+    left = spark.createDataFrame(variants, "vid long, chrom string, start long, end long")
+    right = spark.createDataFrame(genes, "gene long, chrom string, r_start long, r_end long")
+
+    def merge(a, b, find=sweep.pairs("left")):
+        i, j = find(a, b)
+        return pa.table([*sweep.take(a, ["vid"], i), *sweep.take(b, ["gene"], j)], names=["vid", "gene"])
+
+    got = sweep.sweep_join(left, right, "gene", merge, "vid long, gene long", target, size).collect()
+    assert sorted(map(tuple, got), key=repr) == sweep_brute(variants, genes)
+    assert sweep.sweep_join(left.filter("false"), right, "gene", merge, "vid long, gene long").count() == 0
+
+
 def test_mutation_lines(spark):
     got = {r["vid"]: r["line"].split("\t") for r in annotated(spark).select("vid", A.mut_line(F.lit("s")).alias("line")).collect()}
     assert got["v15"] == ["1", "15", "15", "s", "nonsynonymous", "C>T", "g1", "5", "5", "gCt>gTt", "A>V", "0"]
