@@ -180,11 +180,15 @@ def cheapest_edits(ordered: DataFrame) -> DataFrame:
     weight = F.when(F.col("fault") == FINE, 0).when(F.col("fault") == TRUNCATED, 1).otherwise(2)
     blocks = seen.select("conv_id", "seq", F.floor(F.col("seq") / BLOCK).alias("block"), "place", fault.alias("fault")).withColumn("kind", (3 * F.col("place") + weight).cast("long"))
     schema = _pieces_schema(ordered.schema["conv_id"].dataType)
-    pieces = materialize(blocks.select("conv_id", "block", "seq", "kind", "fault").groupBy("block").applyInArrow(_ways_of_block, schema), "pieces")
+    # Turns without texts are small, but what is done with them isn't: adaptive execution would
+    # take all blocks for one small partition, so they are dealt to a stated number of tasks.
+    tasks = int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = blocks.select("conv_id", "block", "seq", "kind", "fault").repartition(tasks, "block")
+    pieces = materialize(dealt.groupBy("block").applyInArrow(_ways_of_block, schema), "pieces")
     discard(told)
     whole, parts = _cut_apart(pieces)
     while parts is not None:
-        grouped = parts.withColumn("group", F.floor(F.col("piece") / MERGED))
+        grouped = parts.withColumn("group", F.floor(F.col("piece") / MERGED)).repartition(tasks, "conv_id", "group")
         joined = materialize(grouped.groupBy("conv_id", "group").applyInArrow(_ways_of_pieces, schema), "pieces")
         more, parts = _cut_apart(joined)
         whole = whole.unionByName(more)
