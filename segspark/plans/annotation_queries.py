@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from segspark.functions import sequence as S
 from segspark.functions import stats as T
 from segspark.operators import annotate as A
-from segspark.operators import consequence, mapping, normalise, primers, quality
+from segspark.operators import consequence, mapping, normalise, off_targets, primer_pairs, primers, quality
 from segspark.plans import domain as D
 from segspark.plans import queries as Q
 from segspark.plans.queries import query
@@ -296,3 +296,49 @@ def primer_designs(spark, d):
     starts = F.explode(F.sequence(F.lit(1), F.length("seq"), F.lit(400))).alias("at")
     chunks = genes.select("seq", starts).select(F.substr("seq", F.col("at"), F.lit(400 + 20 - 1)).alias("chunk_seq"))
     return primers.best_direction(_designs(genes, chunks, "fwd"), _designs(genes, chunks, "rev"))
+
+
+def _gene_bases(spark, d):
+    return D.written(R.spread(D.genes(spark, d)).select("gene", F.expr(_BASES).alias("seq")))
+
+
+#: Fixed pairs of each gene: 20 bases before and behind its base 401.
+_LEFT, _RIGHT = ("substr(seq, CAST(351 + gene % 13 AS INT), 20)", "substr(seq, CAST(640 + gene % 17 AS INT), 20)")
+_SEED, _MISMATCHES, _LONGEST = 10, 4, 400
+
+
+@query(
+    "off_targets",
+    f"WITH {D.GENE_CTE}, q AS MATERIALIZED (SELECT gene, translate(array_to_string(list_transform(range(1, 27), lambda i: md5(gene || ':' || i)), ''), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM genes), "
+    f"pr AS MATERIALIZED (SELECT gene AS vid, {_LEFT} AS l, translate(reverse({_RIGHT}), 'ACGT', 'TGCA') AS r FROM q), "
+    "pp AS (SELECT DISTINCT primer FROM (SELECT l AS primer FROM pr UNION ALL SELECT r FROM pr)), "
+    f"pt AS MATERIALIZED (SELECT primer, '+' AS strand, primer AS pattern, 20 - {_SEED} AS ahead FROM pp UNION ALL SELECT primer, '-', translate(reverse(primer), 'ACGT', 'TGCA'), 0 FROM pp), "
+    f"w AS (SELECT gene, seq, i, substr(seq, i, {_SEED}) AS word FROM (SELECT gene, seq, unnest(range(1, length(seq) - {_SEED - 2})) AS i FROM q)), "
+    f"h AS MATERIALIZED (SELECT primer, strand, gene, i - ahead AS s, i - ahead + 19 AS e FROM w JOIN pt ON word = substr(pattern, ahead + 1, {_SEED}) WHERE i > ahead AND i - ahead + 19 <= length(seq) AND list_sum(list_transform(range(1, 21), lambda k: CAST(substr(seq, i - ahead + k - 1, 1) <> substr(pattern, k, 1) AS INT))) <= {_MISMATCHES}), "
+    "o AS (SELECT DISTINCT vid, p FROM (SELECT vid, l AS p FROM pr UNION ALL SELECT vid, r FROM pr)), "
+    f"m AS (SELECT a.vid, count(*) AS n FROM (SELECT * FROM o JOIN h ON p = primer WHERE strand = '+') a JOIN (SELECT * FROM o JOIN h ON p = primer WHERE strand = '-') b ON a.vid = b.vid AND a.gene = b.gene AND a.s <= b.s AND a.e <= b.e AND b.e - a.s < {_LONGEST} GROUP BY a.vid), "
+    "c AS (SELECT primer, count(*) AS n FROM h GROUP BY primer) "
+    "SELECT pr.vid, coalesce(x.n, 0) AS left_hits, coalesce(y.n, 0) AS right_hits, coalesce(m.n, 0) AS products FROM pr LEFT JOIN m ON m.vid = pr.vid LEFT JOIN c x ON x.primer = l LEFT JOIN c y ON y.primer = r",
+)
+def off_targets_of_pairs(spark, d):
+    """A fixed pair for each gene: where it binds in all genes' sequences, what it amplifies."""
+    rows = _gene_bases(spark, d)
+    pairs = rows.select(F.col("gene").alias("vid"), F.expr(_LEFT).alias("primer_left"), S.revcomp(F.expr(_RIGHT)).alias("primer_right"))
+    parts = off_targets.windows(rows.select(F.col("gene").alias("chrom"), "seq"), 400, 20)
+    return off_targets.specificity(pairs, parts, _LONGEST, _SEED, _MISMATCHES)
+
+
+@query("primer_pairs")
+def primer_pairs_of_genes(spark, d):
+    """The best pair around base 401 of each gene, forward or else reverse, that amplifies one
+    product in all genes' sequences."""
+    layout, rows = primers.Layout(), _gene_bases(spark, d)
+    template = F.overlay(F.substr("seq", F.lit(1), F.lit(2 * layout.flank + 1)), F.lit("R"), F.lit(layout.flank + 1), F.lit(1))
+    both = [rows.select(F.col("gene").alias("vid"), F.lit(way).alias("direction"), t.alias("template")) for way, t in (("fwd", template), ("rev", S.revcomp_iupac(template)))]
+    picked = D.written(primer_pairs.pick_pairs(both[0].unionByName(both[1]), layout).filter("primer_left IS NOT NULL"))
+    named = picked.withColumn("vid", F.concat_ws(":", "vid", "direction"))
+    parts = off_targets.windows(rows.select(F.col("gene").alias("chrom"), "seq"), 400, 28)
+    one = off_targets.specificity(named, parts, layout.product_max).filter("products = 1").select("vid")
+    fine = named.join(one, "vid", "left_semi").withColumn("vid", F.split("vid", ":")[0].cast("long")).withColumn("penalty", F.round("penalty", 6))
+    fine = fine.select("vid", "direction", "left_start", "right_start", "primer_left", "primer_right", "penalty")
+    return primers.best_direction(fine.filter("direction = 'fwd'"), fine.filter("direction = 'rev'"))

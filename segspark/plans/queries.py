@@ -877,7 +877,11 @@ def primer_request(spark, d):
 
 @query(
     "primer_matches",
-    f"WITH {D.GENE_CTE}, c AS (SELECT gene, {D.DNA} AS s FROM genes), pr AS (SELECT DISTINCT substr(s, CAST(1 + gene % 13 AS INT), 12) AS primer FROM c), k AS (SELECT substr(s, CAST(1 + 100 * j AS INT), 111) AS piece FROM (SELECT s, unnest(range(0, (length(s) + 99) // 100)) AS j FROM c)), w AS (SELECT substr(piece, CAST(i AS INT), 12) AS word FROM (SELECT piece, unnest(range(1, length(piece) - 10)) AS i FROM k)), n AS (SELECT word, count(*) AS n FROM w GROUP BY word) "
+    f"WITH {D.GENE_CTE}, c AS MATERIALIZED (SELECT gene, {D.DNA} AS s FROM genes), pr AS (SELECT DISTINCT substr(s, CAST(1 + gene % 13 AS INT), 12) AS primer FROM c), "
+    "asked AS MATERIALIZED (SELECT primer AS word FROM pr UNION SELECT translate(reverse(primer), 'ACGT', 'TGCA') FROM pr), "
+    "k AS MATERIALIZED (SELECT substr(s, CAST(1 + 100 * j AS INT), 111) AS piece FROM (SELECT s, unnest(range(0, (length(s) + 99) // 100)) AS j FROM c)), "
+    "w AS (SELECT unnest(list_transform(range(1, length(piece) - 10), lambda i: substr(piece, i, 12))) AS word FROM k), "
+    "n AS MATERIALIZED (SELECT word, count(*) AS n FROM w WHERE word IN (SELECT word FROM asked) GROUP BY word) "
     "SELECT primer, CAST(coalesce(a.n, 0) + CASE WHEN translate(reverse(primer), 'ACGT', 'TGCA') = primer THEN 0 ELSE coalesce(b.n, 0) END AS BIGINT) AS hits FROM pr LEFT JOIN n a ON a.word = primer LEFT JOIN n b ON b.word = translate(reverse(primer), 'ACGT', 'TGCA')",
 )
 def primer_matches(spark, d):
