@@ -10,8 +10,11 @@ a character outside the vocabulary counts as its UTF-8 bytes.
 
 Sequences beyond ``LONG`` symbols (text without blanks) are linked arrays instead: ranks
 are taken in order, and each rank merges all its places in all sequences at once, from
-left to right and up to the first one that makes a pair of no worse rank.  A round costs
-what it merges, so a sequence of any length takes little more than linear time.
+left to right and up to the first one that makes a pair of no worse rank.  A rank whose
+merges keep making such pairs (runs of blanks, whose pieces all have one score) is after
+``TRIES`` rounds finished from left to right, place by place: each merge is followed at once
+by what it makes possible.  A place is looked at for each rank of its own pairs only, so
+a sequence of any length takes little more than linear time.
 
 Defined results: null and empty texts have 0 tokens; texts are counted whole, whatever
 their length; repeated rows give repeated results; an empty table gives an empty result;
@@ -21,8 +24,9 @@ further columns pass through, the columns that are added replace those of the sa
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,8 @@ SPACE = 0x2581
 NONE = np.iinfo(np.int32).max
 #: Symbols from which on a sequence is merged rank by rank.
 LONG = 48
+#: Rounds of one rank before the rest of its places is merged one after another.
+TRIES = 8
 #: Distinct sequences whose counts a task keeps; beyond it, it starts anew.
 CACHED = 1 << 20
 _U = np.uint64
@@ -70,6 +76,11 @@ class PieceVocabulary:
         self.pair, merged, rank = (np.array(x, np.int64) for x in zip(*merges, strict=True))
         self.merged, self.rank = merged.astype(np.int32), rank.astype(np.int32)
 
+    @cached_property
+    def ways(self) -> dict[int, tuple[int, int]]:
+        """Rank and merged symbol by pair."""
+        return dict(zip(self.pair.tolist(), zip(self.rank.tolist(), self.merged.tolist())))
+
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE: they don't merge) and merged symbol of each pair."""
         key = left.astype(np.int64) * self.size + right
@@ -114,6 +125,32 @@ class PieceVocabulary:
                 heapq.heappush(ranks, r)
             waiting[r].append(at)
 
+        def in_turn(at: np.ndarray, r: int) -> np.ndarray:
+            """Merge all pairs of rank r, and better ones that they make, from left to right;
+            returns where other pairs have come about."""
+            s, a, b, k, to, gone = map(memoryview, (sym, after, before, rank, into, merged))
+            ways, width, none, changed = self.ways, self.size, (NONE, 0), []
+            for p in at.tolist():
+                while k[p] <= r:
+                    right = a[p]
+                    s[p], beyond = to[p], a[right]
+                    a[p], k[right], gone[right] = beyond, NONE, 1
+                    own = none
+                    if beyond >= 0:
+                        b[beyond] = p
+                        own = ways.get(s[p] * width + s[beyond], none)
+                    k[p], to[p] = own
+                    left = b[p]
+                    ahead = ways.get(s[left] * width + s[p], none) if left >= 0 else none
+                    if left >= 0:
+                        k[left], to[left] = ahead
+                    if min(own[0], ahead[0]) > r:
+                        changed += [p] if left < 0 else [left, p]
+                    elif ahead[0] <= own[0]:
+                        p = left
+            return np.unique(np.array(changed, np.int64))
+
+        tries: Counter[int] = Counter()
         rate(np.arange(size))
         while ranks:
             r = heapq.heappop(ranks)
@@ -121,6 +158,11 @@ class PieceVocabulary:
             at = at[rank[at] == r]  # still a pair, and still this one
             if not len(at):
                 continue
+            tries[r] += 1
+            if tries[r] > TRIES:
+                changed = in_turn(at, r)
+                rate(changed[merged[changed] == 0])
+                continue
             # Of places that overlap in a chain every second one merges.
             chain = np.concatenate(([False], at[1:] == after[at[:-1]]))
             run = np.arange(len(at))
