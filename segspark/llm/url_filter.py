@@ -9,6 +9,7 @@ allow.  A rule that fits an address itself always decides it, so an explicit all
 never overruled by a block that arrives through an alias.
 
 The identity of an address is its host, path and query: scheme and fragment don't count.
+Links are decoded (``&amp;``) and resolved against the page's address by RFC 3986.
 Targets that are not pages themselves are judged by the rules as well.
 
 Defined results: a null address or one without ``://`` has an empty host and path, fits
@@ -19,8 +20,11 @@ further columns pass through, the columns that are added replace those of the sa
 
 from __future__ import annotations
 
+import html
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +58,10 @@ _CANONICAL = "(?is)<link\\b(?=[^>]*\\brel\\s*=\\s*[\"']?canonical\\b)[^>]*?\\bhr
 _REFRESH = "(?is)<meta\\b(?=[^>]*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b)[^>]*?\\burl\\s*=\\s*[\"']?([^\"'\\s>]+)[^>]*"
 
 
+_SCHEME = re.compile("[A-Za-z][A-Za-z0-9+.-]*:")
+_AUTHORITY = re.compile("//([^/?]*)(.*)", re.DOTALL)
+
+
 def _part(url: Column, group: int) -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, group), F.lit(""))
 
@@ -72,17 +80,44 @@ def url_key(url: Column) -> Column:
     return F.when(host != "", F.concat(host, url_path(url), _part(url, 3)))
 
 
-def _absolute(link: Column, url: Column) -> Column:
-    """A link as found in the page at ``url``; relative ones get the page's host."""
-    root = F.concat(F.lit("x://"), url_host(url))
-    base = F.regexp_replace(url_path(url), "[^/]*$", "")
-    return (
-        F.when(link == "", None)
-        .when(link.contains("://"), link)
-        .when(link.startswith("//"), F.concat(F.lit("x:"), link))
-        .when(link.startswith("/"), F.concat(root, link))
-        .otherwise(F.concat(root, F.when(base == "", F.lit("/")).otherwise(base), link))
-    )
+def resolve(host: str, path: str, link: str) -> str | None:
+    """The address that ``link``, as written in an attribute of a page, points to by RFC 3986:
+    ``x://`` with host, path without dot segments and query; null if it has no host.
+
+    A link is absolute only if it begins with a scheme and ``://``; links of other schemes
+    have no host, and one that is empty but for its fragment is the page itself."""
+    link = html.unescape(link).strip(" \t\n\f\r").partition("#")[0]
+    if not link or not host:
+        return None
+    scheme = _SCHEME.match(link)
+    if scheme:
+        link = link[scheme.end() :]
+        if not link.startswith("//"):
+            return None
+    if link.startswith("//"):
+        host, link = _AUTHORITY.match(link).groups()
+    elif link.startswith("?"):
+        link = path + link
+    elif not link.startswith("/"):
+        link = (path[: path.rfind("/") + 1] or "/") + link
+    link, mark, query = link.partition("?")
+    kept: list[str] = []
+    parts = link.split("/")[1:]
+    for part in parts:
+        if part == "..":
+            kept = kept[:-1]
+        elif part != ".":
+            kept.append(part)
+    if parts and parts[-1] in (".", ".."):
+        kept.append("")
+    return f"x://{host}{'/' if parts else ''}{'/'.join(kept)}{mark}{query}"
+
+
+def _resolved(host: Column, path: Column, link: Column) -> Column:
+    def all_of(hosts: pd.Series, paths: pd.Series, links: pd.Series) -> pd.Series:
+        return pd.Series([resolve(*x) for x in zip(hosts, paths, links)], dtype=object)
+
+    return F.pandas_udf(all_of, "string")(host, path, link)
 
 
 def judge(host: Column, path: Column, rules: list[UrlRule]) -> Column:
@@ -97,10 +132,10 @@ def judge(host: Column, path: Column, rules: list[UrlRule]) -> Column:
 def alias_edges(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """Edges (``a``, ``b``) between address keys: all canonical links and refreshes in
     ``html``, and rows of ``redirects`` (``source``, ``target``)."""
-    url, html = F.col("url"), F.col("html")
-    found = lambda word, pattern: F.when(F.contains(F.lower(html), F.lit(word)), F.regexp_extract_all(html, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    url, body = F.col("url"), F.col("html")
+    found = lambda word, pattern: F.when(F.contains(F.lower(body), F.lit(word)), F.regexp_extract_all(body, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
     links = F.concat(found("canonical", _CANONICAL), found("http-equiv", _REFRESH))
-    edges = pages.select("url", F.explode(links).alias("link")).filter("link <> ''").select(url_key(url).alias("a"), url_key(_absolute(F.col("link"), url)).alias("b"))
+    edges = pages.select("url", F.explode(links).alias("link")).filter("link <> ''").select(url_key(url).alias("a"), url_key(_resolved(url_host(url), url_path(url), F.col("link"))).alias("b"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(url_key(F.col("source")).alias("a"), url_key(F.col("target")).alias("b")))
     return edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
@@ -157,17 +192,25 @@ WITH RECURSIVE p AS (
     WHEN regexp_matches(tag, '(?is)^<link.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
     WHEN regexp_matches(tag, '(?is)^<meta.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) ELSE '' END AS link
   FROM tags
+), decoded AS (
+  SELECT host, path, query, regexp_replace(replace(replace(replace(replace(replace(link, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '(?s)#.*$', '') AS link FROM links
 ), targets AS (
   SELECT host || path || query AS a, CASE
-    WHEN contains(link, '://') THEN link
-    WHEN starts_with(link, '//') THEN 'x:' || link
-    WHEN starts_with(link, '/') THEN 'x://' || host || link
-    ELSE 'x://' || host || coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') || link END AS url
-  FROM links WHERE link <> ''
+    WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN regexp_replace(link, '^[A-Za-z][A-Za-z0-9+.-]*:', '')
+    WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(link, '//') THEN link
+    WHEN starts_with(link, '/') THEN '//' || host || link
+    WHEN starts_with(link, '?') THEN '//' || host || path || link
+    ELSE '//' || host || coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') || link END AS url
+  FROM decoded WHERE link <> ''
+), split AS (
+  SELECT a, translate(regexp_extract(url, '^//([^/?]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h,
+         string_split(regexp_extract(url, '(?s)^//[^/?]*/([^?]*)', 1), '/') AS parts, starts_with(regexp_extract(url, '(?s)^//[^/?]*(.*)', 1), '/') AS rooted, regexp_extract(url, '(?s)(\?.*)$', 1) AS q
+  FROM targets WHERE url IS NOT NULL
 ), edges AS (
-  SELECT a, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
-            || regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*(?:\?[^#]*)?)', 1) AS b
-  FROM targets WHERE regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) <> ''
+  SELECT a, h || CASE WHEN rooted THEN '/' || array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(CASE WHEN parts[-1] IN ('.', '..') THEN list_append(parts, '') ELSE parts END, lambda x: [x])),
+         lambda acc, x: CASE WHEN x[1] = '..' THEN acc[:-2] WHEN x[1] = '.' THEN acc ELSE list_concat(acc, x) END), '/') ELSE '' END || q AS b
+  FROM split WHERE h <> ''
 ), both_ways AS (
   SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b
 ), reach AS (
