@@ -98,6 +98,7 @@ class GatedAttention:
         n = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.p = {"W": n(FEATURES, HIDDEN), "c": np.zeros(HIDDEN, np.float32), "V": n(HIDDEN, GATE), "U": n(HIDDEN, GATE), "w": n(GATE), "o": n(HIDDEN), "b": np.zeros(1, np.float32)}
         self.mean, self.scale, self.trained = np.zeros(FEATURES, np.float32), np.ones(FEATURES, np.float32), False
+        self.taken: list = []  # ids of the documents it was trained on
 
     def _forward(self, x: np.ndarray, count: np.ndarray) -> dict:
         p, starts = self.p, np.cumsum(count) - count
@@ -153,7 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     """A model learned from labelled rows outside the held-out fold.
 
     What reaches the driver is ``sample_passages`` vectors at most: documents are taken in
-    the order of their hashes as long as all their passages fit."""
+    the order of their hashes, all their passages or, where these don't fit any more, none; the
+    next ones then fill what is left."""
     usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     known = usable.groupBy("doc_id").agg(F.avg("quality").cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
@@ -170,11 +172,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
 
     rows = materialize(bags.mapInArrow(vectors, StructType([docs.schema["doc_id"], *StructType.fromDDL("label double, n long, x binary")])), "bags")
     sizes = rows.select("doc_id", "n").orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # sample_docs at most
-    fits = np.cumsum([r["n"] for r in sizes]) <= sample_passages
-    taken = [r["doc_id"] for r, fit in zip(sizes, fits) if fit]
-    found = {r["doc_id"]: r for r in rows.filter(F.col("doc_id").isin(taken)).collect()} if not all(fits) else {r["doc_id"]: r for r in rows.collect()}
+    taken, room = [], sample_passages
+    for r in sizes:
+        if r["n"] <= room:
+            taken.append(r["doc_id"])
+            room -= r["n"]
+    kept = rows if len(taken) == len(sizes) else rows.filter(F.col("doc_id").isin(taken))
+    found = {r["doc_id"]: r for r in kept.collect()}
     discard(rows)
     model = GatedAttention()
+    model.taken = taken
     if not taken:
         return model
     bag = [np.frombuffer(found[i]["x"], "<f4").reshape(-1, FEATURES) for i in taken]

@@ -1,4 +1,5 @@
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -149,3 +150,15 @@ def test_training_agrees_on_reruns_with_repeated_ids_and_bounds_passages(spark):
     few = M.train(docs, labels, sample_passages=60)
     assert few.trained and any((few.p[k] != a.p[k]).any() for k in a.p)
     assert not M.train(docs, labels, sample_passages=1).trained
+
+
+def test_a_document_too_long_for_the_sample_leaves_the_others_in(spark):
+    """Whatever its place in the order of hashes."""
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5]
+    order = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").orderBy(F.xxhash64("doc_id")).collect()]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    for long_one in (order[0], order[len(order) // 2]):
+        texts = [(i, " ".join(f"word{k}" for k in range(40_000)) if i == long_one else "a short text of some words. " * 3) for i in ids]
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        model = M.train(docs, labels, sample_passages=len(ids) + 5)
+        assert model.trained and len(model.taken) == len(ids) - 1 and long_one not in model.taken
