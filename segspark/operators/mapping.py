@@ -92,11 +92,12 @@ def sums_by_grid(snps: DataFrame, rates: DataFrame, n_res: int, n_sus: int, step
                     yield pa.RecordBatch.from_arrays([names, pa.array(cells & ((1 << 40) - 1)), pa.array(np.full(len(cells), t, np.int32)), pa.array(total(ll)), pa.array(total(base[b][which]))], names=["chrom", "i", "theta", "ll", "ll0"])
                 at = to
 
-    ready = snps.select("chrom", "pos", "res_major", (F.col("res_major") + F.col("res_minor")).alias("n_res"), "sus_major", (F.col("sus_major") + F.col("sus_minor")).alias("n_sus"))
+    # SNPs come from a scan here; joins with a row for each chromosome keep their partitions.
+    ready = spread(snps).select("chrom", "pos", "res_major", (F.col("res_major") + F.col("res_minor")).alias("n_res"), "sus_major", (F.col("sus_major") + F.col("sus_minor")).alias("n_sus"))
     ready = ready.join(grid_bounds(snps, step), "chrom")
     ready = ready.join(rates, "chrom") if "chrom" in rates.columns else ready.crossJoin(F.broadcast(rates))  # one row
     ready = ready.select("chrom", "pos", "res_major", "n_res", "sus_major", "n_sus", "pmin", "points", "rate")
-    parts = spread(ready).mapInArrow(work, "chrom string, i long, theta int, ll double, ll0 double")
+    parts = ready.mapInArrow(work, "chrom string, i long, theta int, ll double, ll0 double")
     return parts.groupBy("chrom", "i", "theta").agg(F.sum("ll").alias("ll"), F.sum("ll0").alias("ll0"))
 
 

@@ -3,7 +3,10 @@ missing values (``NA``, ``na``, ``.``, ``./.``) become nulls."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 POOLED_COLUMNS = ["chrom", "pos", "id", "ref", "alt", "major", "minor", "qual", "filter", "type", "segr", "hapsc", "format"]
@@ -19,9 +22,13 @@ def lines(spark: SparkSession, source: str | list[str]) -> DataFrame:
 
 def spread(rows: DataFrame) -> DataFrame:
     """``rows`` over as many partitions as there are cores if they come in fewer (one small
-    file), for work that costs far more than moving them; larger inputs stay as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    file), for work that costs far more than moving them; larger inputs stay as they are.
+    What decides is the estimated size of a scan, so nothing runs for it."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return rows if size >= cores * split else rows.repartition(cores)
 
 
 def header(text: DataFrame) -> list[str]:
@@ -204,14 +211,99 @@ def feature_name(attributes: Column, name: str, pairs: str = "") -> Column:
     return F.regexp_replace(out, "\\.[^.]*$", "")
 
 
-def read_fasta(spark: SparkSession, source: str | list[str], chunk: int | None = None) -> DataFrame:
-    """``chrom, seq``; with ``chunk``: in pieces of so many bases, see :func:`chunked`."""
+#: Bases that a task puts together before it hands them on.
+PIECE = 1 << 16
+
+
+def _fasta_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (file, block, value) of splits in their order as stretches of sequence: ``part`` counts
+    the headers met in the split (0: what goes on from the split before), ``at`` is the place
+    in the part, ``name`` that of its header.  Each part has a row even if it has no bases."""
+    key, part, name, at, parts, size = None, 0, None, 0, [], 0
+    rows: list[tuple] = []
+
+    def close() -> None:
+        nonlocal at, parts, size
+        rows.append((*key, part, name, at, "".join(parts)))
+        at, parts, size = at + size, [], 0
+
+    for batch in batches:
+        for file, block, line in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            if (file, block) != key:
+                if key is not None:
+                    close()
+                key, part, name, at = (file, block), 0, None, 0
+            if line.startswith(">"):
+                close()
+                part, at = part + 1, 0
+                name = (line[1:].split(None, 1) or [""])[0] if not line[1:2].isspace() else ""
+            else:
+                line = "".join(line.split())
+                parts.append(line)
+                size += len(line)
+                if size >= PIECE:
+                    close()
+        if rows:
+            yield _piece_batch(rows)
+            rows = []
+    if key is not None:
+        close()
+        yield _piece_batch(rows)
+
+
+def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"file": pa.string(), "block": pa.int64(), "part": pa.int32(), "name": pa.string(), "at": pa.int64(), "seq": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
+
+
+def fasta_pieces(spark: SparkSession, source: str | list[str]) -> DataFrame:
+    """``head`` (which sequence of which file), ``chrom, at`` (from 0), ``seq``: stretches of sequences,
+    in any order, each as far as its split of the file goes.
+
+    Splits are read by many tasks; each counts the bases of what it begins with and of what it
+    ends with.  One row for each split tells the next ones which sequence goes on, and where."""
     if isinstance(source, list):
-        text = spark.createDataFrame([(x,) for x in "\n".join(source).split(">")], "value string")
+        text = spark.createDataFrame([(x,) for y in source for x in y.split("\n")], "value string").coalesce(1).select(F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), "value")
     else:
-        text = spark.read.option("lineSep", ">").text(source)
-    rows = text.filter(F.trim("value") != "").select(F.regexp_extract("value", "^(\\S+)", 1).alias("chrom"), F.regexp_replace(F.regexp_replace("value", "^[^\\n]*", ""), "\\s", "").alias("seq"))
-    return rows if chunk is None else chunked(rows, chunk)
+        text = spark.read.text(source).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    pieces = text.mapInArrow(_fasta_pieces, "file string, block long, part int, name string, at long, seq string")
+    ends = pieces.groupBy("file", "block").agg(F.max(F.struct("part", (F.col("at") + F.length("seq")).alias("bases"), "name")).alias("last"))
+    in_file = Window.partitionBy("file").orderBy("block")
+    counted = ends.withColumn("run", F.sum((F.col("last.part") > 0).cast("int")).over(in_file))
+    in_run = Window.partitionBy("file", "run").orderBy("block")
+    first = lambda c: F.first(c).over(in_run)  # noqa: E731  the split that holds the header
+    so_far = F.struct(F.sum("last.bases").over(in_run).alias("bases"), first("last.name").alias("name"), first("block").alias("block"), first("last.part").alias("part"))
+    carried = counted.withColumn("so_far", so_far).select(F.col("file").alias("_file"), F.col("block").alias("_block"), F.lag("so_far").over(in_file).alias("before"))
+    rows = pieces.join(carried, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    goes_on = F.col("part") == 0
+    mine = lambda c: F.when(goes_on, F.col(f"before.{c}")).otherwise(F.col(c))
+    head = F.struct("file", mine("block").alias("block"), mine("part").alias("part"))
+    place = F.when(goes_on, F.col("before.bases") + F.col("at")).otherwise(F.col("at"))
+    return rows.select(head.alias("head"), mine("name").alias("chrom"), place.alias("at"), "seq").filter("chrom IS NOT NULL")
+
+
+def fasta_index(spark: SparkSession, source: str | list[str]) -> DataFrame:
+    """``chrom, bases`` of each sequence."""
+    sums = fasta_pieces(spark, source).groupBy("head", "chrom").agg(F.sum(F.length("seq")).cast("long").alias("bases"))
+    return sums.select("chrom", "bases")
+
+
+def read_fasta(spark: SparkSession, source: str | list[str], chunk: int | None = None) -> DataFrame:
+    """``chrom, seq``; with ``chunk``: ``chrom, chunk (from 0), seq`` in pieces of so many bases.
+
+    No task holds more than some stretches of a sequence unless whole ones are asked for;
+    text without line ends is a line, which is read as one."""
+    pieces = fasta_pieces(spark, source)
+    if chunk is None:
+        sorted_ = F.array_sort(F.collect_list(F.struct("at", "seq")))
+        return pieces.groupBy("head", "chrom").agg(F.array_join(F.transform(sorted_, lambda x: x["seq"]), "").alias("seq")).select("chrom", "seq")
+    last = F.col("at") + F.length("seq") - 1
+    spans = pieces.filter("seq <> ''").withColumn("chunk", F.explode(F.sequence(F.floor(F.col("at") / chunk), F.floor(last / chunk))))
+    from_ = F.greatest(F.col("at"), F.col("chunk") * chunk)
+    size = F.least(last, (F.col("chunk") + 1) * chunk - 1) - from_ + 1
+    cut = spans.select("head", "chrom", "chunk", from_.alias("at"), F.substr("seq", (from_ - F.col("at") + 1).cast("int"), size.cast("int")).alias("seq"))
+    listed = F.array_sort(F.collect_list(F.struct("at", "seq")))
+    return cut.groupBy("head", "chrom", "chunk").agg(F.array_join(F.transform(listed, lambda x: x["seq"]), "").alias("seq")).select("chrom", "chunk", "seq")
 
 
 def chunked(sequences: DataFrame, size: int) -> DataFrame:

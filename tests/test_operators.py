@@ -245,6 +245,29 @@ def test_sample_conditions(spark):
     assert calls.filter("key = '1@100'").select(*variants.split_key(F.col("key"))).first() == ("1", 100)
 
 
+def test_fasta_over_many_splits(spark, tmp_path):
+    """Sequences that go on over splits of any size, with headers and blank lines anywhere."""
+    dice = random.Random(9)
+    want = []
+    for k in range(3):
+        lines = []
+        for i in range(dice.randint(1, 6)):
+            seq = "".join(dice.choices("ACGTN", k=dice.choice([0, 1, 59, 60, 700, 4000])))
+            want.append((f"s{k}_{i}", seq))
+            lines += [f">s{k}_{i} about it", *(seq[x : x + 60] for x in range(0, len(seq), 60)), *[""] * dice.randint(0, 2)]
+        (tmp_path / f"f{k}.fa").write_text("\n".join([*["ACGT"] * (k == 1), *lines, ""]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (1 << 20, 1000, 137):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert sorted(map(tuple, R.read_fasta(spark, str(tmp_path)).collect())) == sorted(want)
+            chunks = R.read_fasta(spark, str(tmp_path), chunk=97).collect()
+            assert sorted(map(tuple, chunks)) == sorted((n, i, s[97 * i : 97 * i + 97]) for n, s in want for i in range((len(s) + 96) // 97))
+            assert sorted(map(tuple, R.fasta_index(spark, str(tmp_path)).collect())) == sorted((n, len(s)) for n, s in want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_gff_and_fasta(spark):
     gff = ["##gff", "chr1x\tsrc\tmRNA\t5\t9\t.\t+\t.\tID=a-g1-t1.2;Note=x", "chr2x\tsrc\tCDS\t5\t9\t0.5\t-\t0\tParent=q"]
     rows = R.read_gff(spark, gff, chrom="1", start=9, end=30, prefix="chr", suffix="x")
