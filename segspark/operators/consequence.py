@@ -221,33 +221,37 @@ def effect_list() -> Column:
     return F.array_join(F.array_compact(F.array(stop, *(F.when(F.col(n).cast("int") > 0, n) for n in names))), ",")
 
 
+_EDIT = "struct<cds_left:int,cds_right:int,vartype:string,seq:string,upto:int,at:int>"
+
+
 def gene_alignment(genes: DataFrame, edits: DataFrame) -> DataFrame:
-    """``gene, ref, alt``: the gapped coding sequence (genes: gene, strand, cds) with all edits
-    (gene, vartype, cds_left, cds_right, seq) put in, on the gene's own strand.  An edit that
-    begins before the one before it ended is left out."""
-    e = F.struct("cds_left", "cds_right", "vartype", "seq")
+    """``gene, ref, alt, edited``: the gapped coding sequence (genes: gene, strand, cds) with all
+    edits (gene, vartype, cds_left, cds_right, seq) put in, on the gene's own strand, and how many.
+    An edit that begins before the one before it ended is left out.
+
+    One sweep over a gene's edits in order notes which count and where each ends; the pieces
+    between and in them are then cut out by these places and joined once."""
+    insert = F.col("vartype") == "I"
+    upto = F.when(insert, F.col("cds_left")).otherwise(F.col("cds_left") - 1)
+    e = F.struct("cds_left", "cds_right", "vartype", "seq", upto.cast("int").alias("upto"), F.greatest(upto, "cds_right").cast("int").alias("at"))
     listed = edits.groupBy("gene").agg(F.array_sort(F.collect_list(e)).alias("edits"))
-    start = F.struct(F.lit("").alias("ref"), F.lit("").alias("alt"), F.lit(0).alias("at"))
-
-    def put(a: Column, x: Column) -> Column:
-        insert = x["vartype"] == "I"
-        upto = F.when(insert, x["cds_left"]).otherwise(x["cds_left"] - 1)
-        kept = F.substr(F.col("cds"), a["at"] + 1, upto - a["at"])
-        gone = F.when(insert, F.repeat(F.lit("-"), F.length(x["seq"]))).otherwise(F.substr(F.col("cds"), x["cds_left"], x["cds_right"] - x["cds_left"] + 1))
-        new = F.when(x["vartype"] == "D", F.repeat(F.lit("-"), x["cds_right"] - x["cds_left"] + 1)).otherwise(x["seq"])
-        done = F.struct(F.concat(a["ref"], kept, gone).alias("ref"), F.concat(a["alt"], kept, new).alias("alt"), F.greatest(upto, x["cds_right"]).alias("at"))
-        return F.when(upto < a["at"], a).otherwise(done)
-
-    def end(a: Column) -> Column:
-        rest = F.substr(F.col("cds"), a["at"] + 1)
-        return F.struct(F.concat(a["ref"], rest).alias("ref"), F.concat(a["alt"], rest).alias("alt"))
-
-    none = F.array().cast("array<struct<cds_left:int,cds_right:int,vartype:string,seq:string>>")
-    out = genes.join(listed, "gene", "left").withColumn("_a", F.aggregate(F.coalesce("edits", none), start, put, end))
+    none = F.array().cast(f"array<{_EDIT}>")
+    end_of = lambda a, i: F.when(i > 0, F.get(a, i - 1)["at"]).otherwise(0)
+    sweep = F.aggregate(F.coalesce(F.col("edits").cast(f"array<{_EDIT}>"), none), none, lambda a, x: F.when(x["upto"] < end_of(a, F.size(a)), a).otherwise(F.concat(a, F.array(x))))
+    rows = genes.join(listed, "gene", "left").withColumn("_kept", sweep)
+    cds, kept = F.col("cds"), F.col("_kept")
+
+    def line(change) -> Column:
+        between = lambda x, i: F.substr(cds, end_of(kept, i) + 1, x["upto"] - end_of(kept, i))
+        parts = F.transform(kept, lambda x, i: F.concat(between(x, i), change(x)))
+        return F.concat(F.array_join(parts, ""), F.substr(cds, end_of(kept, F.size(kept)) + 1))
+
+    gone = lambda x: F.when(x["vartype"] == "I", F.repeat(F.lit("-"), F.length(x["seq"]))).otherwise(F.substr(cds, x["cds_left"], x["cds_right"] - x["cds_left"] + 1))
+    new = lambda x: F.when(x["vartype"] == "D", F.repeat(F.lit("-"), x["cds_right"] - x["cds_left"] + 1)).otherwise(x["seq"])
     turn = lambda x: F.when(F.col("strand") == "+", x).otherwise(revcomp(x))
-    return out.select("gene", turn(F.col("_a.ref")).alias("ref"), turn(F.col("_a.alt")).alias("alt"))
+    return rows.select("gene", turn(line(gone)).alias("ref"), turn(line(new)).alias("alt"), F.size(kept).alias("edited"))
 
 
 def alignment_lines() -> Column:
-    """An aligned gene (gene, ref, alt) as lines of text."""
-    return F.concat_ws("\n", F.concat(F.lit(">"), F.col("gene").cast("string"), F.lit(" reference")), "ref", F.concat(F.lit(">"), F.col("gene").cast("string"), F.lit(" variant")), "alt")
+    """An aligned gene (gene, ref, alt) as lines of text: its name, the reference, the variant."""
+    return F.concat_ws("\n", F.concat(F.lit(">"), F.col("gene").cast("string")), "ref", "alt")

@@ -754,8 +754,20 @@ def sample_label(spark, d):
     return rows.select("chrom", "pos", "alt", consequence.sample_label().alias("label"))
 
 
-@query("gene_alignment")
-def gene_alignment(spark, d):
+_EDITED = (
+    f"WITH RECURSIVE {D.EXON_CTE}, {OFFSETS}, gs AS (SELECT DISTINCT gene, strand, substr({D.DNA}, 1, CAST(cds_len AS INT)) AS cds FROM ex), "
+    f"e AS (SELECT gene, cp AS l, cp AS r, 'S' AS k, alt AS seq FROM ({CODING_SNPS} SELECT gene, cp, alt FROM h) UNION ALL SELECT gene, cp, cp, 'I', seq FROM ({CODING_INS} SELECT gene, cp, seq FROM h) UNION ALL SELECT gene, l, r, 'D', NULL FROM ({DEL_SPANS} SELECT gene, l, r FROM g)), "
+    "o AS MATERIALIZED (SELECT *, CASE WHEN k = 'I' THEN l ELSE l - 1 END AS upto, row_number() OVER (PARTITION BY gene ORDER BY l, r, k, seq) AS n FROM e), "
+    "acc AS (SELECT gene, CAST(0 AS BIGINT) AS n, 0 AS at_end FROM gs UNION ALL SELECT gene, n, greatest(upto, r) FROM (SELECT o.*, row_number() OVER (PARTITION BY o.gene ORDER BY o.n) AS k1 FROM acc JOIN o ON o.gene = acc.gene AND o.n > acc.n AND o.upto >= acc.at_end) WHERE k1 = 1), "
+    "pc AS (SELECT gene, n, at_end, lag(at_end) OVER (PARTITION BY gene ORDER BY n) AS before FROM acc), "
+    "cut AS (SELECT pc.gene, pc.n, substr(cds, before + 1, upto - before) AS kept, CASE WHEN k = 'I' THEN repeat('-', length(seq)) ELSE substr(cds, l, r - l + 1) END AS gone, CASE WHEN k = 'D' THEN repeat('-', r - l + 1) ELSE seq END AS new FROM pc JOIN gs USING (gene) JOIN o ON o.gene = pc.gene AND o.n = pc.n), "
+    "jn AS (SELECT gene, string_agg(kept || gone, '' ORDER BY n) AS ref, string_agg(kept || new, '' ORDER BY n) AS alt, count(*) AS edited FROM cut GROUP BY gene), tl AS (SELECT gene, max(at_end) AS at_end FROM acc GROUP BY gene), "
+    "al AS (SELECT gene, coalesce(ref, '') || substr(cds, at_end + 1) AS ref, coalesce(alt, '') || substr(cds, at_end + 1) AS alt, strand, CAST(coalesce(edited, 0) AS INT) AS edited FROM gs JOIN tl USING (gene) LEFT JOIN jn USING (gene)), "
+    "fin AS (SELECT gene, CASE WHEN strand = '+' THEN ref ELSE translate(reverse(ref), 'ACGT', 'TGCA') END AS ref, CASE WHEN strand = '+' THEN alt ELSE translate(reverse(alt), 'ACGT', 'TGCA') END AS alt, edited FROM al) "
+)
+
+
+def _aligned(spark, d):
     rows = _coding(spark, d, "S").withColumn("cds_left", consequence.cds_position())
     edits = rows.select("gene", "vartype", "cds_left", F.col("cds_left").alias("cds_right"), F.col("alt").alias("seq"))
     ins = _coding(spark, d, "I").withColumn("cds_left", consequence.cds_position()).select("gene", "vartype", "cds_left", F.col("cds_left").alias("cds_right"), "seq")
@@ -766,6 +778,17 @@ def gene_alignment(spark, d):
     return consequence.gene_alignment(genes, edits.unionByName(ins).unionByName(gone))
 
 
+@query("gene_alignment", _EDITED + "SELECT gene, ref, alt FROM fin")
+def gene_alignment(spark, d):
+    return _aligned(spark, d).select("gene", "ref", "alt")
+
+
+@query("alignment_file", _EDITED + "SELECT concat_ws(chr(10), '>' || gene, ref, alt) AS lines FROM fin WHERE edited > 0")
+def alignment_file(spark, d):
+    """Genes with variants in their coding sequence, three lines each."""
+    return _aligned(spark, d).filter("edited > 0").select(consequence.alignment_lines().alias("lines"))
+
+
 @query("mut_output", CODING_SNPS + "SELECT concat_ws(chr(9), vid, gene, CASE WHEN ref_aa = new_aa THEN 'Syn' ELSE 'Nonsyn' END, ref_aa || '>' || new_aa) AS line FROM w")
 def mut_output(spark, d):
     rows = consequence.snp_consequence(_coding(spark, d, "S").withColumn("cds_pos", consequence.cds_position()))

@@ -26,8 +26,8 @@ def spread(rows: DataFrame) -> DataFrame:
     What decides is the estimated size of a scan, so nothing runs for it."""
     spark = rows.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return rows if size >= cores * split else rows.repartition(cores)
 
 
