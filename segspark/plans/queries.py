@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from segspark.functions import sequence as S
 from segspark.functions import stats as T
-from segspark.operators import assays, bins, consequence, mapping, normalise, overlap, primers, quality, variants
+from segspark.operators import assays, bins, consequence, expressions, mapping, normalise, overlap, primers, quality, variants
 from segspark.plans import domain as D
 from segspark.sources import text as R
 from segspark.sources.sinks import pooled_line, tabbed
@@ -517,6 +517,31 @@ def crosscomp(spark, d):
     return _parsed(spark, d).filter(variants.compare(1, 2, lambda a, b: _dp(a) < _dp(b))).select("chrom", "pos")
 
 
+#: Expressions of one filter, and the same in SQL.
+EXPRESSIONS = {
+    "QUAL > 30": "CAST(qual AS INT) > 30",
+    "REF != 'A' and QUAL <= 40": "ref <> 'A' AND CAST(qual AS INT) <= 40",
+    "DP % 2 == 0 or CHR == 'AF'": "CAST(qual AS INT) % 2 = 0 OR chrom = 'AF'",
+    "not (QUAL > 10) and CHR in ('AF', 'RF')": "NOT CAST(qual AS INT) > 10 AND chrom IN ('AF', 'RF')",
+    "10 < QUAL < 20": "CAST(qual AS INT) > 10 AND CAST(qual AS INT) < 20",
+    "any('DP > 70')": "a1 + b1 > 70 OR (NOT gone AND a2 + b2 > 70)",
+    "all('DP > 15')": "a1 + b1 > 15 AND (gone OR a2 + b2 > 15)",
+    "atleast(2, 'DP * 2 >= 21') and POS - 1 > 2000": "a1 + b1 > 10 AND NOT gone AND a2 + b2 > 10 AND pos > 2001",
+    'forsample(2, "DP > 8 and GT != \'0/1\'")': "NOT gone AND a2 + b2 > 8 AND g2 <> '0/1'",
+    "crosscomp('DP[1] < DP[2]') or not any('NUM == 2')": "gone OR a1 + b1 < a2 + b2",
+    "missing > 3 or FILTER == 'PASS'": "filter = 'PASS'",
+}
+_EXPRESSION_SQL = " UNION ALL ".join(f"SELECT {k} AS expression, count(*) AS n, sum(pos) AS places FROM calls WHERE {sql}" for k, sql in enumerate(EXPRESSIONS.values()))
+
+
+@query("expression_filters", f"WITH {CALL_CTE} SELECT expression, n, CAST(places AS BIGINT) AS places FROM ({_EXPRESSION_SQL}) WHERE n > 0")
+def expression_filters(spark, d):
+    """Which calls each expression keeps, by their number and the sum of their positions."""
+    met = F.array(*(F.when(expressions.condition(x), F.lit(k)) for k, x in enumerate(EXPRESSIONS)))
+    rows = _parsed(spark, d).select("pos", F.explode(F.array_compact(met)).alias("expression"))
+    return rows.groupBy("expression").agg(F.count("*").alias("n"), F.sum("pos").alias("places"))
+
+
 @query("field_projection", f"WITH {CALL_CTE} SELECT chrom, pos, CASE WHEN NOT gone THEN a2 + b2 END AS dp FROM calls")
 def field_projection(spark, d):
     return _parsed(spark, d).select("chrom", "pos", variants.field_of(2, "DP", "int").alias("dp"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from segspark.functions import sequence as S
 from segspark.functions import stats as T
-from segspark.operators import assays, bins, consequence, mapping, normalise, overlap, primers, quality, variants
+from segspark.operators import assays, bins, consequence, expressions, mapping, normalise, overlap, primers, quality, variants
 from segspark.sources import sinks
 from segspark.sources import text as R
 
@@ -231,6 +231,18 @@ def test_alignment(spark):
     assert got == {"g": ("ATG--GCTAAACGTTAA", "ACGGGGCT---CGTTAA"), "h": ("GGTT", "GGTC"), "i": ("ACG", "ACG")}
 
 
+def test_expressions_are_read_not_run(spark):
+    calls = R.read_vcf(spark, VCF)
+    pick = lambda x: {r[0] for r in calls.filter(expressions.condition(x)).select("pos").collect()}
+    every = {r[0] for r in calls.select("pos").collect()}
+    assert pick("POS > 0") == every and pick("nothing > 0") == set() and pick("not nothing > 0") == every
+    assert pick("any('DP > 20')") == {200} and pick("-POS < -150 and QUAL >= 0") == {p for p in every if p > 150}
+    assert pick("'A' in REF or POS in (200, 7)") >= {200}
+    for bad in ("__import__('os')", "POS", "any(DP > 3)", "POS > (lambda: 1)()", "any('x.y > 1')", "[x for x in y]", "POS >", "atleast('2', 'DP > 1')", "DP[1] > 2", "any('any(1)')", "POS is None"):
+        with pytest.raises(ValueError):
+            expressions.condition(bad)
+
+
 def test_sample_conditions(spark):
     calls = R.read_vcf(spark, VCF)
     dp = lambda s: variants.tag(s, "DP", "int")
