@@ -123,16 +123,34 @@ def beta_arrays(podd: np.ndarray, pool: str, size: float, eps: float) -> tuple[n
 FLAT = 1e-3
 
 
-def expected_curve(points: int, start: float, stop: float, locus: float, rate: float, pool: float):
-    """Columns over ``range(points)`` (``id``): position, expected rate and its band."""
-    x = F.lit(start) + F.col("id") * ((stop - start) / (points - 1))
+def uniform(*key: Column) -> Column:
+    """A number in [0, 1) from the md5 of the key, alike on every run and engine."""
+    name = F.concat_ws(":", *(k.cast("string") for k in key))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def binomial_draw(n: int, p: Column, u: Column) -> Column:
+    """The number of successes of ``n`` trials whose cumulated probability is the first to reach
+    ``u``; terms follow from each other, so ``p`` should not be near to 1 for large n."""
+    first = F.pow(1 - p, F.lit(n))
+    start = F.struct(first.alias("term"), first.alias("sum"), F.lit(0).alias("k"))
+    odds = F.try_divide(p, 1 - p)
+
+    def more(a: Column, i: Column) -> Column:
+        term = a["term"] * odds * (n - i + 1) / i
+        return F.when(a["sum"] >= u, a).otherwise(F.struct(term.alias("term"), (a["sum"] + term).alias("sum"), i.alias("k")))
+
+    return F.when(p >= 1, F.lit(n)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, more, lambda a: a["k"]))
+
+
+def expected_at(x: Column, locus: float, rate: float, pool: float) -> list[Column]:
+    """Expected rate at position ``x`` and its band."""
     podd = odd_crossovers(F.abs(x - (locus + 1e5)), rate)
-    middle, band = 0.98 - podd, F.sqrt(odd_variance(podd, pool))
-    return [x.alias("pos"), middle.alias("rate"), (middle - band).alias("low"), (middle + band).alias("high")]
+    middle, band = 0.98 - podd, F.sqrt(odd_variance(podd, F.lit(pool)))
+    return [middle.alias("rate"), (middle - band).alias("low"), (middle + band).alias("high")]
 
 
-def ideal_curves(points: int = 100, span: float = 5.0):
-    """Columns over ``range(points)``: distance and the idealised rates of both pools."""
-    x = F.lit(-span) + F.col("id") * (2 * span / (points - 1))
+def ideal_at(x: Column) -> list[Column]:
+    """The idealised rates of both pools at distance ``x``."""
     fall = F.exp(-F.abs(x))
-    return [x.alias("x"), (0.5 + 0.5 * fall).alias("res"), (0.5 - 0.2 * fall).alias("sus")]
+    return [(0.5 + 0.5 * fall).alias("res"), (0.5 - 0.2 * fall).alias("sus")]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segspark.functions.stats import BLOCK, beta_arrays, ln_beta_binomial, log_binomial
+from segspark.functions.stats import BLOCK, beta_arrays, binomial_draw, ln_beta_binomial, log_binomial, odd_crossovers, uniform
 from segspark.sources.text import spread
 
 #: Noise of the background model, and of phenotypes in the tested one.
@@ -227,16 +227,14 @@ def pooled_rate_peaks(snps: DataFrame, window: int, step: int, least: float = -6
     return position_bins(scored, ["peak", "background"], window, step).filter(F.col("background") > least)
 
 
-def simulate_pools(spark, distances: int = 2000, span: float = 2e6, rate: float = 2 / 17_645_844, pool: int = 178, reads: int = 20, draws: int = 10, seed: int = 1) -> DataFrame:
-    """``distance, draw, pool_count, read_count``: binomial draws of a pool at each distance
-    and of reads from it.  The generator's seed depends on the row alone."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            x = (ids // draws) * (span / (distances - 1))
-            even = 1 - 0.5 * (1 - np.exp(-2.0 * x * rate))
-            made = [(lambda g: (c := g.binomial(pool, p), g.binomial(reads, c / pool)))(np.random.default_rng([seed, int(i)])) for i, p in zip(ids, even, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(ids % draws), pa.array([a for a, _ in made], pa.int64()), pa.array([b for _, b in made], pa.int64())], names=["distance", "draw", "pool_count", "read_count"])
-
-    return spark.range(distances * draws).mapInArrow(work, "distance double, draw long, pool_count long, read_count long")
+def simulate_pools(places: DataFrame, locus: int, rate: float = 2 / 17_645_844, pool: int = 178, reads: int = 20, draws: int = 10, seed: int = 1) -> DataFrame:
+    """``chrom, pos, draw, distance, pool_count, read_count`` for each of ``places`` (chrom, pos): how many
+    of a pool keep the allele of a locus that far away, and how many of the reads from the
+    pool show it.  Both are drawn by the inverse of their cumulated probability from hashes
+    of place and draw, so every run and engine draws alike."""
+    rows = places.select("chrom", "pos", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    rows = rows.withColumn("distance", F.abs(F.col("pos") - locus))
+    drawn = lambda what: uniform(F.lit(seed), F.col("chrom"), F.col("pos"), F.col("draw"), F.lit(what))
+    lost = rows.withColumn("_lost", binomial_draw(pool, odd_crossovers(F.col("distance"), rate), drawn("pool")))
+    without = binomial_draw(reads, F.col("_lost") / pool, drawn("reads"))
+    return lost.select("chrom", "pos", "draw", "distance", (pool - F.col("_lost")).alias("pool_count"), (reads - without).alias("read_count"))

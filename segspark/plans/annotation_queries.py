@@ -132,11 +132,11 @@ def balanced_sample(spark, d):
     return rows.groupBy((F.col("pos") >= 7_000_000).alias("side")).agg(F.count("*").alias("n"))
 
 
-@query("beta_params_plain", "WITH p AS (SELECT range AS id, 0.5 * (1 - exp(-2.0 * range * 1000 * 7.3e-8)) AS podd FROM range(1, 3000)) SELECT id, round(2.0 * 178 * (1 - podd - 1e-3), 6) AS ra, round(2.0 * 178 * (podd + 1e-3), 6) AS rb, round(2.0 * 178 * (1 + podd + 1e-3) / 3, 6) AS sa, round(2.0 * 280 * (2 - podd - 1e-3) / 3, 6) AS sb FROM p")
+@query("beta_params_plain", f"WITH {D.SNP_CTE}, {Q.PODD} SELECT chrom, pos, vid, round(2.0 * 178 * (1 - podd - 1e-3), 6) AS ra, round(2.0 * 178 * (podd + 1e-3), 6) AS rb, round(2.0 * 178 * (1 + podd + 1e-3) / 3, 6) AS sa, round(2.0 * 280 * (2 - podd - 1e-3) / 3, 6) AS sb FROM p")
 def beta_params_plain(spark, d):
-    podd = T.odd_crossovers(F.col("id") * 1000, 7.3e-8)
+    rows, podd = Q._podd(spark, d)
     (ra, rb), (sa, sb) = (T.beta_params_plain(podd, pool, 178.0, 280.0, 1e-3) for pool in ("res", "sus"))
-    return spark.range(1, 3000).select("id", *(F.round(c, 6).alias(n) for c, n in ((ra, "ra"), (rb, "rb"), (sa, "sa"), (sb, "sb"))))
+    return rows.select(*Q.KEY, *(F.round(c, 6).alias(n) for c, n in ((ra, "ra"), (rb, "rb"), (sa, "sa"), (sb, "sb"))))
 
 
 # ---- files: written, read back

@@ -218,37 +218,49 @@ def segregation_pvalue(spark, d):
     return rows.select("k", "n", F.round(T.binomial_p_value(F.col("k"), F.col("n")), 8).alias("p"))
 
 
-@query("podd_curve", "SELECT range AS id, round(0.5 * (1 - exp(-2.0 * range * 1000 * 7.3e-8)), 10) AS podd, round(0.5 * (1 - exp(-2.0 * range * 1000 * 7.3e-8)) * (1 - 0.5 * (1 - exp(-2.0 * range * 1000 * 7.3e-8))) / 178, 12) AS variance FROM range(0, 5000)")
+#: The locus that distances of SNPs are taken from.
+LOCUS = 7_000_000
+FAR = f"greatest(1, abs(pos - {LOCUS}))"
+PODD = f"d AS (SELECT chrom, pos, vid, {FAR} AS distance FROM snps), p AS (SELECT *, 0.5 * (1 - exp(-2.0 * distance * 7.3e-8)) AS podd FROM d)"
+
+
+def _podd(spark, d):
+    rows = D.snps(spark, d).select("chrom", "pos", "vid", F.greatest(F.lit(1), F.abs(F.col("pos") - LOCUS)).alias("distance"))
+    return rows, T.odd_crossovers(F.col("distance"), 7.3e-8)
+
+
+@query("podd_curve", f"WITH {D.SNP_CTE}, {PODD} SELECT chrom, pos, vid, round(podd, 10) AS podd, round(podd * (1 - podd) / 178, 12) AS variance FROM p")
 def podd_curve(spark, d):
-    podd = T.odd_crossovers(F.col("id") * 1000, 7.3e-8)
-    return spark.range(5000).select("id", F.round(podd, 10).alias("podd"), F.round(T.odd_variance(podd, F.lit(178.0)), 12).alias("variance"))
+    rows, podd = _podd(spark, d)
+    return rows.select("chrom", "pos", "vid", F.round(podd, 10).alias("podd"), F.round(T.odd_variance(podd, F.lit(178.0)), 12).alias("variance"))
 
 
 @query(
     "expected_curve",
-    "WITH c AS (SELECT range AS id, 19000000.0 + range * (2000000.0 / 999) AS pos FROM range(0, 1000)), p AS (SELECT *, 0.5 * (1 - exp(-2.0 * abs(pos - 20229204.0) * 3.69e-8)) AS podd FROM c) "
-    "SELECT round(pos, 3) AS pos, round(0.98 - podd, 8) AS rate, round(0.98 - podd - sqrt(podd * (1 - podd) / 178), 8) AS low, round(0.98 - podd + sqrt(podd * (1 - podd) / 178), 8) AS high FROM p",
+    f"WITH {D.SNP_CTE}, p AS (SELECT chrom, pos, vid, 0.5 * (1 - exp(-2.0 * abs(pos - {LOCUS + 100000}.0) * 3.69e-8)) AS podd FROM snps) "
+    "SELECT chrom, pos, vid, round(0.98 - podd, 8) AS rate, round(0.98 - podd - sqrt(podd * (1 - podd) / 178), 8) AS low, round(0.98 - podd + sqrt(podd * (1 - podd) / 178), 8) AS high FROM p",
 )
 def expected_curve(spark, d):
-    rows = spark.range(1000).select(*T.expected_curve(1000, 19e6, 21e6, 20129204.0, 3.69e-8, F.lit(178.0)))
-    return rows.select(F.round("pos", 3).alias("pos"), *(F.round(c, 8).alias(c) for c in ("rate", "low", "high")))
+    rows = D.snps(spark, d).select("chrom", "pos", "vid", *T.expected_at(F.col("pos"), LOCUS, 3.69e-8, 178.0))
+    return rows.select("chrom", "pos", "vid", *(F.round(c, 8).alias(c) for c in ("rate", "low", "high")))
 
 
-@query("ideal_curves", "WITH c AS (SELECT -5.0 + range * (10.0 / 99) AS x FROM range(0, 100)) SELECT round(x, 8) AS x, round(0.5 + 0.5 * exp(-abs(x)), 8) AS res, round(0.5 - 0.2 * exp(-abs(x)), 8) AS sus FROM c")
+@query("ideal_curves", f"WITH {D.SNP_CTE}, c AS (SELECT chrom, pos, vid, (pos - {LOCUS}) / 1000000.0::DOUBLE AS x FROM snps) SELECT chrom, pos, vid, round(0.5 + 0.5 * exp(-abs(x)), 8) AS res, round(0.5 - 0.2 * exp(-abs(x)), 8) AS sus FROM c")
 def ideal_curves(spark, d):
-    return spark.range(100).select(*T.ideal_curves()).select(*(F.round(c, 8).alias(c) for c in ("x", "res", "sus")))
+    rows = D.snps(spark, d).select("chrom", "pos", "vid", *T.ideal_at((F.col("pos") - LOCUS) / 1e6))
+    return rows.select("chrom", "pos", "vid", *(F.round(c, 8).alias(c) for c in ("res", "sus")))
 
 
 BETA = "b AS (SELECT *, (1 - podd) * ((1 - podd) * podd / (podd * (1 - podd) / 178 + 1e-8) - 1) AS ra, podd * ((1 - podd) * podd / (podd * (1 - podd) / 178 + 1e-8) - 1) AS rb, (1 + podd) / 3 * ((1 + podd) / 3 * (1 - (1 + podd) / 3) / (podd * (1 - podd) / 840 + 1e-8) - 1) AS sa, (1 - (1 + podd) / 3) * ((1 + podd) / 3 * (1 - (1 + podd) / 3) / (podd * (1 - podd) / 840 + 1e-8) - 1) AS sb FROM p)"
 
 
-@query("beta_params", f"WITH p AS (SELECT range AS id, 0.5 * (1 - exp(-2.0 * range * 1000 * 7.3e-8)) AS podd FROM range(1, 3000)), {BETA} SELECT id, round(ra, 4) AS ra, round(rb, 4) AS rb, round(sa, 4) AS sa, round(sb, 4) AS sb, round(ra / (ra + rb), 8) AS mean, round(ra * rb / ((ra + rb) * (ra + rb) * (ra + rb + 1)), 10) AS variance FROM b")
+@query("beta_params", f"WITH {D.SNP_CTE}, {PODD}, {BETA} SELECT chrom, pos, vid, round(ra, 4) AS ra, round(rb, 4) AS rb, round(sa, 4) AS sa, round(sb, 4) AS sb, round(ra / (ra + rb), 8) AS mean, round(ra * rb / ((ra + rb) * (ra + rb) * (ra + rb + 1)), 10) AS variance FROM b")
 def beta_params(spark, d):
-    podd = T.odd_crossovers(F.col("id") * 1000, 7.3e-8)
+    rows, podd = _podd(spark, d)
     (ra, rb), (sa, sb) = T.beta_params(podd, "res", 178.0, 1e-4), T.beta_params(podd, "sus", 280.0, 1e-4)
-    rows = spark.range(1, 3000).select("id", ra.alias("ra"), rb.alias("rb"), sa.alias("sa"), sb.alias("sb"))
+    made = rows.select(*KEY, ra.alias("ra"), rb.alias("rb"), sa.alias("sa"), sb.alias("sb"))
     mean, variance = T.beta_moments(F.col("ra"), F.col("rb"))
-    return rows.select("id", *(F.round(c, 4).alias(c) for c in ("ra", "rb", "sa", "sb")), F.round(mean, 8).alias("mean"), F.round(variance, 10).alias("variance"))
+    return made.select(*KEY, *(F.round(c, 4).alias(c) for c in ("ra", "rb", "sa", "sb")), F.round(mean, 8).alias("mean"), F.round(variance, 10).alias("variance"))
 
 
 RISE = "list_sum(list_transform(range(0, {k}), lambda i: ln({x} + i)))"
@@ -393,9 +405,26 @@ def pooled_rate_peaks(spark, d):
     return rows.select("chrom", "bin", "bin_pos", "n", F.round("peak", 4).alias("peak"), F.round("background", 4).alias("background"))
 
 
-@query("simulate_pools")
+def _uniform_sql(what: str) -> str:
+    return f"CAST('0x' || substr(md5('1:' || chrom || ':' || pos || ':' || draw || ':{what}'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
+def _binomial_sql(source: str, n: int, name: str) -> str:
+    """``name``: rows of ``source`` (r, q, u) with ``k``, how many cumulated probabilities stay below u."""
+    term = f"CASE WHEN q <= 0 THEN CASE WHEN j = 0 THEN 1.0 ELSE 0.0 END WHEN q >= 1 THEN CASE WHEN j = {n} THEN 1.0 ELSE 0.0 END ELSE exp(lgamma({n + 1}) - lgamma(j + 1) - lgamma({n + 1} - j) + j * ln(q) + ({n} - j) * ln(1 - q)) END"
+    return f"{name} AS (SELECT r, count(*) FILTER (below < u) AS k FROM (SELECT r, u, sum({term}) OVER (PARTITION BY r ORDER BY j) AS below FROM (SELECT r, q, u, unnest(range(0, {n})) AS j FROM {source})) GROUP BY r)"
+
+
+@query(
+    "simulate_pools",
+    f"WITH {D.SNP_CTE}, w AS (SELECT DISTINCT chrom, pos FROM snps), d AS MATERIALIZED (SELECT *, row_number() OVER () AS r, abs(pos - {LOCUS}) AS distance FROM (SELECT chrom, pos, unnest([0, 1]) AS draw FROM w)), "
+    f"a AS (SELECT r, greatest(0.5 * (1 - exp(-2.0 * distance * 2.0 / 17645844)), 0) AS q, {_uniform_sql('pool')} AS u FROM d), {_binomial_sql('a', 178, 'pk')}, "
+    f"c AS (SELECT d.r, k / 178.0::DOUBLE AS q, {_uniform_sql('reads')} AS u FROM d JOIN pk ON d.r = pk.r), {_binomial_sql('c', 20, 'rk')} "
+    "SELECT chrom, pos, CAST(draw AS INT) AS draw, distance, CAST(178 - pk.k AS INT) AS pool_count, CAST(20 - rk.k AS INT) AS read_count FROM d JOIN pk ON d.r = pk.r JOIN rk ON d.r = rk.r",
+)
 def simulate_pools(spark, d):
-    return mapping.simulate_pools(spark)
+    """Two draws at each SNP's distance from a locus."""
+    return mapping.simulate_pools(D.snps(spark, d).select("chrom", "pos").distinct(), LOCUS, draws=2)
 
 
 # ---- calls: parse, normalise, query

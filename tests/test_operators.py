@@ -1,5 +1,6 @@
 """Hand-derived cases and properties of single operators."""
 
+import math
 import random
 
 import numpy as np
@@ -486,8 +487,21 @@ def test_barcodes_are_bounded_and_not_joined(spark, capsys):
     assert "Join" not in capsys.readouterr().out
 
 
-def test_simulated_curve_is_whole(spark):
-    from segspark.plans.queries import QUERIES
-
-    r = QUERIES["simulate_pools"](spark, "").agg(F.count("*"), F.countDistinct("distance"), F.max("distance")).first()
-    assert (r[0], r[1]) == (20_000, 2000) and abs(r[2] - 2e6) < 1e-3
+def test_binomial_draws_against_sums(spark):
+    dice = random.Random(3)
+    rows = [(i, dice.choice([0.0, 1e-6, 0.03, 0.4, 0.5, 0.9, 1.0]), dice.random()) for i in range(300)]
+    got = spark.createDataFrame(rows, "i long, p double, u double").select("i", T.binomial_draw(20, F.col("p"), F.col("u")).alias("k")).collect()
+    for r in got:
+        _, p, u = rows[r["i"]]
+        below = [sum(math.comb(20, j) * p**j * (1 - p) ** (20 - j) for j in range(k + 1)) for k in range(20)]
+        assert r["k"] == sum(x < u for x in below)
+
+
+def test_simulated_pools_follow_the_curve(spark):
+    places = spark.range(400).select(F.lit("c").alias("chrom"), (F.col("id") * 50_000).alias("pos"))
+    made = mapping.simulate_pools(places, 10_000_000, draws=10)
+    assert made.count() == 4000 and made.filter("distance = 0 AND (pool_count < 178 OR read_count < 20)").count() == 0
+    podd = T.odd_crossovers(F.col("distance"), 2 / 17_645_844)
+    off = made.agg(F.avg(F.col("pool_count") / 178 - (1 - podd)), F.avg(F.col("read_count") / 20 - F.col("pool_count") / 178), F.stddev(F.col("pool_count") / 178 - (1 - podd))).first()
+    assert abs(off[0]) < 0.005 and abs(off[1]) < 0.01 and 0.02 < off[2] < 0.04
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, mapping.simulate_pools(places, 10_000_000, draws=10).collect()))
