@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Columns of the normalised and the primer table.
 POOLED_COLUMNS = ["chrom", "pos", "id", "ref", "alt", "major", "minor", "qual", "filter", "type", "segr", "hapsc", "format"]
 PRIMER_COLUMNS = ["chrom", "pos", "id", "ref", "alt", "major", "minor", "qual", "filter", "type", "segr", "direction", "primer_left", "primer_right", "product_len", "n_count", "product_seq"]
 
@@ -186,6 +187,7 @@ def read_gff(spark: SparkSession, source: str | list[str], chrom: str | None = N
     return rows
 
 
+#: Keys of a feature file's configuration.
 GFF_KEYS = {"GENE_FEATURE", "CODING_FEATURE", "OTHER_FEATURES", "CROP_CHR_GFF_START", "CROP_CHR_GFF_END", "ISOFORM_FEATURE", "GENE_SPLITSTRING", "ISOFORM_SPLITSTRING", "CODING_SPLITSTRING", "SPLITSTRING", "GENE_TAG", "ISOFORM_TAG", "CODING_TAG", "TAG", "GFF_SORTED"}
 
 
