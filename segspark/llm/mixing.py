@@ -7,8 +7,8 @@ weights 3, 1, 2, repeating, and share ``budget`` times all words.  A source stop
 if a number drawn from the hash of its id, its text and the seed is below the fraction.
 
 Defined results: a null or empty text has size 0; a null source is a source of its own;
-a source of size 0 has target 0 and none of its documents is taken; rows that repeat a
-doc_id draw alike, and so do all rows with a null doc_id; an empty table gives an empty
+a source of size 0 has target 0 and none of its documents is taken; rows equal in doc_id
+and text draw alike, rows without a doc_id draw by their text; an empty table gives an empty
 result; further columns pass through, the columns that are added replace those of the
 same name.
 """
