@@ -127,8 +127,10 @@ def test_indels(spark):
 
 def test_splice_motif(spark):
     row = spark.createDataFrame([(20, "S", 19, 30, "+", "ATGGCTAAAGTCCCCCCAGCGTTAA", 11)], "pos long, vartype string, prev_end long, next_start long, strand string, seq string, g_start long")
-    r = row.select(consequence.splice_site().alias("s"), consequence.splice_motif(F.col("seq"), F.col("g_start")).alias("m")).first()
-    assert r["s"] and r["m"] == "GT"
+    bases = F.substr("seq", (F.col("prev_end") + 1 - F.col("g_start") + 1).cast("int"), F.lit(2))
+    motif, place = consequence.splice_motif(bases, F.col("pos") - F.col("prev_end"))
+    r = row.select(consequence.splice_site().alias("s"), motif.alias("m"), place.alias("p")).first()
+    assert r["s"] and (r["m"], r["p"]) == ("Gt", 1)
 
 
 def test_sequence_functions(spark):
