@@ -38,9 +38,9 @@ RANGE_BYTES = 1 << 20
 #: Unselected bytes between two selected records that are read over rather than skipped.
 GAP_BYTES = 64 << 10
 #: So many digests that repeat are broadcast.  Where there are more, hot ones are: those with
-#: more pages than HOT_PAGES and than a DIRECT-th of all (so DIRECT at most), and the buckets,
-#: at most BUCKETS, that the others fall in.
-DIRECT, HOT_PAGES, BUCKETS = 1 << 16, 1024, 1 << 18
+#: more pages than HOT_PAGES and than a HOT-th of all (so HOT at most), and the buckets, at
+#: most BUCKETS, that the others fall in.
+DIRECT, HOT_PAGES, HOT, BUCKETS = 1 << 16, 1024, 1 << 16, 1 << 18
 INDEX = "page_id long, file string, offset long, length long, url string, payload_digest string, payload_bytes long"
 
 
@@ -57,7 +57,7 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     shared = materialize(shared.select(F.col("digest").alias("_digest"), "best", "n"), "digests")
     refers = lambda best: F.when(~F.col("page_id").eqNullSafe(best) & best.isNotNull(), best).alias("refers_to")
     of = shared.agg(F.count("*").alias("digests"), F.sum("n").alias("pages")).first()
-    many = max(HOT_PAGES, (of["pages"] or 0) // max(DIRECT, 1)) if of["digests"] > DIRECT else 0
+    many = max(HOT_PAGES, (of["pages"] or 0) // HOT) if of["digests"] > DIRECT else 0
     here = F.broadcast(shared.filter(F.col("n") > many).select(F.col("_digest").alias("_here"), F.col("best").alias("_best")))
     marked = digested.join(here, large & (F.col("digest") == F.col("_here")), "left")
     found = lambda df, best: df.select("page_id", "url", "html", "digest", refers(F.col(best)))
