@@ -424,7 +424,7 @@ def _binomial_sql(source: str, n: int, name: str) -> str:
 )
 def simulate_pools(spark, d):
     """Two draws at each SNP's distance from a locus."""
-    return mapping.simulate_pools(D.snps(spark, d).select("chrom", "pos").distinct(), LOCUS, draws=2)
+    return mapping.simulate_pools(R.spread(D.snps(spark, d).select("chrom", "pos").distinct()), LOCUS, draws=2)
 
 
 # ---- calls: parse, normalise, query
