@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from segspark.llm._components import connected_components
-from segspark.llm._scratch import discard, materialize, text_slices
+from segspark.llm._scratch import LEAST_TASKS, discard, materialize, tasks_for, text_slices
 from segspark.llm._words import Words, mix, shingle_sets, window_hashes
 
 SIZE = 4
@@ -361,16 +361,19 @@ def first_keys(dealt: DataFrame) -> DataFrame:
     return dealt.select("uid", F.explode(keys).alias("key"))
 
 
-def later_links(dealt: DataFrame, edges: DataFrame, signed: DataFrame, test: Callable, percent: int, members: int, size: int) -> DataFrame | None:
-    """Edges between what ``edges`` leave apart in groups of several blocks; None if there
-    are no such groups.
+def all_links(dealt: DataFrame, edges: DataFrame, signed: DataFrame, test: Callable, percent: int, members: int, size: int) -> DataFrame:
+    """``node, component`` by ``edges`` and by the links between what ``edges`` leave apart in
+    groups of several blocks.
+
+    The second search for components starts with the stars that the first has found.
 
     Blocks hold one component each, or whole small components, of one range of sizes; pairs
     of blocks that are one component or whose sizes are not near need no test."""
+    found = connected_components(edges)
     large = dealt.filter("k > 1").drop("k")
     if large.isEmpty():
-        return None
-    label = connected_components(edges).select(F.col("node").alias("uid"), "component")
+        return found
+    label = found.select(F.col("node").alias("uid"), "component")
     band = F.floor(F.log(F.col("n")) / math.log(100 / percent))
     large = large.join(label, "uid", "left").withColumn("component", F.coalesce("component", "uid")).withColumn("band", band)
     of = large.groupBy("grp", "band", "component").agg(F.count("*").alias("m"), F.sum("bytes").alias("b"))
@@ -389,8 +392,12 @@ def later_links(dealt: DataFrame, edges: DataFrame, signed: DataFrame, test: Cal
     sides = F.array_distinct(F.array("x.block", "y.block"))
     pairs = pairs.select(F.col("x.grp").alias("grp"), F.xxhash64("x.grp", "x.block", "y.block").alias("key"), F.explode(sides).alias("block"))
     keyed = pairs.join(placed.select("grp", "block", "uid"), ["grp", "block"]).select("key", "uid").join(signed, "uid")
-    found = materialize(resolve(keyed, test, percent), "spanning")
+    more = materialize(resolve(keyed, test, percent), "spanning")
     discard(placed)
+    if not more.isEmpty():
+        stars = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = connected_components(stars.unionByName(more))
+    discard(more)
     return found
 
 
@@ -436,32 +443,36 @@ def scan(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(work, schema)
 
 
-def most_seen(noticed: DataFrame, limit: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """``value, seen`` of those seen most, sorted by value: all above a threshold that at
-    most ``limit`` pass, so that is the most that reaches the driver."""
-    seen = materialize(noticed.groupBy("c1").agg(F.sum("n").alias("seen")).filter(F.col("seen") >= least), "seen")
+def most_seen(noticed: DataFrame, rows: int, limit: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """``value, seen`` of those seen most in ``noticed`` (of ``rows`` rows), sorted by value:
+    all above a threshold that at most ``limit`` pass, so that is the most that reaches the
+    driver."""
+    few = tasks_for(rows)
+    seen = materialize(noticed.groupBy("c1").agg(F.sum("n").alias("seen")).filter(F.col("seen") >= least).coalesce(few), "seen")
     step = F.floor(16 * F.log2("seen"))
-    steps = seen.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()  # 1024 rows at most
+    steps = seen.groupBy(step.alias("step")).count().coalesce(LEAST_TASKS).collect()  # 1024 rows at most
     passed, total = None, 0
-    for r in steps:
+    for r in sorted(steps, key=lambda r: -r["step"]):
         total += r["count"]
         if total > limit:
             break
         passed = r["step"]
-    rows = seen.filter(step >= passed).orderBy("c1").toPandas() if passed is not None else None
+    most = seen.filter(step >= passed).toPandas() if passed is not None else None
     discard(seen)
-    if rows is None:
+    if most is None:
         return np.empty(0, _U), np.empty(0)
-    value, count = rows["c1"].to_numpy(np.int64).view(_U), rows["seen"].to_numpy(np.float64)
+    value, count = most["c1"].to_numpy(np.int64).view(_U), most["seen"].to_numpy(np.float64)
     order = np.argsort(value)
     return value[order], count[order]
 
 
 def learn_order(found: DataFrame) -> Order:
     """The order of shingles that the rows of :func:`scan` suggest."""
-    frequent, _ = most_seen(found.filter(F.col("kind") == SHINGLE), FREQUENT, FREQUENT_FROM)
-    words, count = most_seen(found.filter(F.col("kind") == WORD), WORDS)
-    total = found.filter(F.col("kind") == DOCUMENT).agg(F.sum("n").alias("n")).first()["n"] or 1
+    kind = F.col("kind")
+    have = found.agg(F.count_if(kind == SHINGLE).alias("shingles"), F.count_if(kind == WORD).alias("words"), F.sum(F.when(kind == DOCUMENT, F.col("n"))).alias("n")).first()
+    frequent, _ = most_seen(found.filter(kind == SHINGLE), have["shingles"], FREQUENT, FREQUENT_FROM)
+    words, count = most_seen(found.filter(kind == WORD), have["words"], WORDS)
+    total = have["n"] or 1
     classes = np.clip(np.log2(np.maximum(count, 1) / total / WORD_SHARE), 1, 15).astype(np.int64)
     return Order(frequent, words, classes)
 
@@ -546,19 +557,17 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     dealt = materialize(deal(late.join(F.broadcast(several), "grp").unionByName(crowded), bitmap_bytes, members, BYTES), "dealt")
     signed = classes.select("uid", "n", "signature")
     near = materialize(resolve(small.unionByName(first_keys(dealt)).join(signed, "uid"), candidates, percent), "spanning")
-    more = later_links(dealt, near, signed, candidates, percent, members, BYTES)
-    family = connected_components(near if more is None else near.unionByName(more)).select(F.col("node").alias("uid"), F.col("component").alias("grp"))
+    family = all_links(dealt, near, signed, candidates, percent, members, BYTES).select(F.col("node").alias("uid"), F.col("component").alias("grp"))
     names = classes.select("uid", "c1", "c2", "n", "first_id")
     family = materialize(family.join(names.select("uid", "c1", "c2", "n"), "uid"), "families")
-    discard(met, dealt, near, *([] if more is None else [more]))
+    discard(met, dealt, near)
 
     dealt = materialize(deal(family.select("grp", "uid", "n"), set_bytes, members, BYTES), "dealt")
     keys = first_keys(dealt).groupBy("uid").agg(F.collect_list("key").alias("keys"))
     sets = materialize(_wanted_sets(docs, text, size, family.select("uid", "c1", "c2").join(keys, "uid")), "sets")
     near = materialize(resolve(sets.select("uid", "n", "signature", F.explode("keys").alias("key")), links, percent), "spanning")
-    more = later_links(dealt, near, sets.filter("size(keys) > 1").select("uid", "n", "signature"), links, percent, members, BYTES)
-    label = materialize(connected_components(near if more is None else near.unionByName(more)), "labels")
-    discard(dealt, sets, family, near, *([] if more is None else [more]))
+    label = materialize(all_links(dealt, near, sets.filter("size(keys) > 1").select("uid", "n", "signature"), links, percent, members, BYTES), "labels")
+    discard(dealt, sets, family, near)
 
     # Classes that have a link; all others name themselves by their smallest id.
     linked = names.join(label.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))

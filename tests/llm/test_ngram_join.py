@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from segspark.llm import ngram_join as N
+from segspark.llm._components import connected_components
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -58,6 +59,39 @@ def test_components_against_brute_force(spark, members, k, percent):
     assert sorted(map(tuple, got), key=repr) == brute(rows, k, percent)
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Shuffles of 64 partitions that nothing joins again; gives a count of the tasks of a call."""
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    tracker = spark.sparkContext.statusTracker()
+
+    def tasks(name, call):
+        spark.sparkContext.setJobGroup(name, name)
+        out = call()
+        stages = {s for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds}
+        return out, sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield tasks
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_rounds_and_the_order_have_tasks_for_their_rows_not_for_all_partitions(spark, many_partitions):
+    edges = [(i, i + 1) for i in range(50)] + [(200, 100 + i) for i in range(50)] + [(300, 300), (7, 7)]
+    got, tasks = many_partitions("rounds", lambda: connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    want = {i: 0 for i in range(51)} | {i: 100 for i in [*range(100, 150), 200]} | {300: 300}
+    assert len(got) == len(want) and dict(map(tuple, got)) == want
+    rows = [(N.SHINGLE, None, i % 40, None, 5) for i in range(400)] + [(N.WORD, None, i, None, 9) for i in range(30)] + [(N.DOCUMENT, 1, 1, 1, 77)]
+    found = spark.createDataFrame(rows, "kind int, doc_id long, c1 long, c2 long, n long")
+    order, more = many_partitions("order", lambda: N.learn_order(found))
+    assert order.frequent.tolist() == list(range(40)) and np.count_nonzero(order.words) == 30
+    assert tasks < 1000 and more < 100
+
+
 def test_long_documents_against_brute_force(spark):
     r = random.Random(8)
     text = lambda n: [f"w{int(r.paretovariate(0.6))}" for _ in range(n)]
