@@ -136,3 +136,12 @@ def test_designs_against_brute_force(spark):
     want = {g: found for g, s in seqs.items() if (found := design(s, "fwd") or design(s, "rev"))}
     got = {r["vid"]: (r["direction"], r["primer_left"], r["primer_right"], r["product_len"]) for r in QUERIES["primer_designs"](spark, SF).collect()}
     assert got == want and len(got) > 150
+
+
+def test_sequences_are_never_broadcast(spark):
+    genes = spark.range(10).selectExpr("id AS gene", "'a' AS chrom", "'+' AS strand", "id * 100 AS g_start", "id * 100 + 99 AS g_end")
+    exons = genes.selectExpr("gene", "g_start AS e_start", "g_end AS e_end", "0L AS exon_off", "100L AS cds_len")
+    long = genes.selectExpr("gene", "repeat(cast(gene AS string), 100000) AS seq")
+    models = A.gene_models(genes, exons, long.withColumnRenamed("seq", "cds"), long)
+    assert "Broadcast" not in models._jdf.queryExecution().executedPlan().toString()
+    assert sum(len(r["cds"]) + len(r["seq"]) for r in models.collect()) == 2_000_000
