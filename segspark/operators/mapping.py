@@ -56,6 +56,140 @@ def grid_cells(chrom: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.unique(chrom << 40 | i, return_inverse=True)
 
 
+#: Grid steps whose SNPs are summed together, and the fewest steps of a window for that.
+GROUP, WIDE = 256, 16
+#: Chebyshev terms of a grid step, those that are tried where they do not converge, and the largest
+#: last term that counts as converged.
+TERMS, TOLERANCE = (10, 20), 1e-12
+#: Counts that are summed as terms ln(x + j); SNPs with larger ones are computed pair by pair.
+COUNTS = 255
+
+
+def _terms(podd: np.ndarray, pool: str, size: int, eps: float, tops: list[int], turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chebyshev coefficients (cell, term, place) of ln(alpha + j), ln(beta + j) and -ln(alpha + beta + j)
+    for j below each of ``tops``, from podd at the nodes of each cell; and which cells converge."""
+    alpha, beta = beta_arrays(podd, pool, size, eps)
+    parts = [sign * np.log(x[..., None] + np.arange(top)) for x, top, sign in zip((alpha, beta, alpha + beta), tops, (1, 1, -1))]
+    found = turn @ np.concatenate(parts, axis=-1)
+    return found, np.abs(found[:, -2:]).max(axis=(1, 2), initial=0.0) <= TOLERANCE
+
+
+def _chebyshev(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes in 0 to 1, and the matrix that turns values there into coefficients."""
+    angle = np.pi * (np.arange(n) + 0.5) / n
+    return (np.cos(angle) + 1) / 2, np.cos(np.arange(n)[:, None] * angle) * np.where(np.arange(n) == 0, 1, 2)[:, None] / n
+
+
+def _moments(cell: np.ndarray, cells: int, share: np.ndarray, counts: list[np.ndarray], tops: list[int]) -> np.ndarray:
+    """(term, cell, place): sums of Chebyshev polynomials at ``share`` (0 to 1) of the SNPs of a cell
+    whose count goes beyond each place."""
+    angle, size = np.arccos(np.clip(2 * share - 1, -1, 1)), sum(tops)
+    out = np.empty((TERMS[-1], cells, size))
+    for k in range(TERMS[-1]):
+        at, weight = 0, np.cos(k * angle)
+        for v, top in zip(counts, tops):
+            by = np.bincount(cell * (top + 1) + v, weights=weight, minlength=cells * (top + 1)).reshape(cells, top + 1)
+            out[k, :, at : at + top] = by[:, ::-1].cumsum(1)[:, ::-1][:, 1:]
+            at += top
+    return out
+
+
+def _wide_sums(snps: DataFrame, n_res: int, n_sus: int, step: int, window: int, thetas: list[tuple[float, float, float]]) -> DataFrame:
+    """The sums of :func:`sums_by_grid` for windows of many steps.
+
+    With x = alpha, beta or their sum, a log likelihood is a sum of ln(x + j) over j below a count.
+    Between two grid points x is smooth in the distance unless the locus is there, so these are
+    series of Chebyshev polynomials: SNPs are summed once for each step, and a product of
+    matrices carries the sums of all steps to all grid points in reach.  Pairs within a step,
+    cells where the series has not converged, the edges of the window and large counts are
+    computed one by one."""
+    m = window // step  # offsets 1 - m to m are within the window, the last one unless it is m steps away
+    far = np.arange(1, m)
+    series = [(terms, *_chebyshev(terms)) for terms in TERMS]
+    pools = (("res", n_res), ("sus", n_sus))
+
+    def work(rows: pa.Table) -> pa.Table:
+        pos, k_res, all_res, k_sus, all_sus, pmin, points = (rows[c].to_numpy().astype(np.int64) for c in ("pos", "res_major", "n_res", "sus_major", "n_sus", "pmin", "points"))
+        counts, rate, total = {"res": (k_res, all_res), "sus": (k_sus, all_sus)}, float(rows["rate"][0].as_py()), int(points[0])
+        place = pos - pmin
+        block, over = place // step, place % step
+        first = int(block.min()) - m - 1
+        size = int(block.max()) + m + 2 - first
+        cells, cell = np.unique(block, return_inverse=True)
+        ones = np.zeros(size)
+        fit = np.ones(len(pos), bool)
+        for k, n in counts.values():
+            fit &= (k >= 0) & (k <= n) & (n <= COUNTS)
+        small, large = np.flatnonzero(fit), np.flatnonzero(~fit)
+
+        def reach(which: np.ndarray, offset: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """SNPs that have the grid point ``offset`` in their window, its place, the distance."""
+            distance = np.abs(offset * step - over[which])
+            near = distance < window
+            return which[near], (block[which] + offset - first)[near], np.maximum(1, distance[near])
+
+        def sums(pairs: tuple[np.ndarray, np.ndarray, np.ndarray], pool: str, eps: float, scale: float) -> np.ndarray:
+            which, at, distance = pairs
+            (k, n), number, ll = counts[pool], dict(pools)[pool], np.empty(len(which))
+            for part in (slice(x, x + BLOCK) for x in range(0, len(which), BLOCK)):
+                podd = -0.5 * np.expm1(-2.0 * distance[part] * scale * rate)
+                ll[part] = ln_beta_binomial(k[which[part]], n[which[part]], *beta_arrays(podd, pool, number, eps))
+            return np.bincount(at, weights=ll, minlength=size)
+
+        joined = lambda pairs: tuple(map(np.concatenate, zip(*pairs)))
+        # One by one: pairs within a step and at the edges; what the last step of the window has too much.
+        single = joined([reach(small, o) for o in (0, 1, -m, m + 1)])
+        last = small[over[small] == 0] if m * step == window else small[:0]
+        surplus = (last, block[last] + m - first, np.full(len(last), m * step))
+        beyond = np.arange(-m - 1, m + 2)
+        tops = {p: [int(v[small].max(initial=0)) for v in (k, n - k, n)] for p, (k, n) in counts.items()}
+        moments = {p: _moments(cell[small], len(cells), over[small] / step, [k[small], (n - k)[small], n[small]], tops[p]) for p, (k, n) in counts.items()}
+        ll0 = {}
+        for b in {b for _, b, _ in thetas}:
+            half = np.full(len(pos), 0.5)
+            base = sum(ln_beta_binomial(*counts[p], *beta_arrays(half, p, number, b)) for p, number in pools)
+            whole, ll0[b] = np.bincount(cell[small], weights=base[small], minlength=len(cells)), np.zeros(size)
+            for o in range(1 - m, m + 1):
+                if o not in (0, 1):
+                    ll0[b][cells + o - first] += whole
+            for pairs, sign in ((single, 1), (surplus, -1), *((reach(large[x : x + 4096].repeat(len(beyond)), np.tile(beyond, len(large[x : x + 4096]))), 1) for x in range(0, len(large), 4096))):
+                ll0[b] += sign * np.bincount(pairs[1], weights=base[pairs[0]], minlength=size)
+        out = []
+        for eps, _, scale in thetas:
+            ll = np.zeros(size)
+            for p, number in pools:
+                ll += sums(single, p, eps, scale) - sums(surplus, p, eps, scale)
+                for x in range(0, len(large), 4096):
+                    ll += sums(reach(large[x : x + 4096].repeat(len(beyond)), np.tile(beyond, len(large[x : x + 4096]))), p, eps, scale)
+                steps = far if len(small) else far[:0]
+                for terms, nodes, turn in series:
+                    if len(steps):
+                        found, fine = _terms(-0.5 * np.expm1(-2.0 * (steps[:, None] + nodes) * step * scale * rate), p, number, eps, tops[p], turn)
+                        both = [(moments[p][side:terms:2] @ found[fine, side::2].transpose(1, 2, 0)).sum(0) for side in (0, 1)]  # the same to the left and to the right, the opposite
+                        left, right = both[0] + both[1], both[0] - both[1]
+                        for c, s in enumerate(steps[fine].tolist()):
+                            ll[cells - s - first] += left[:, c]
+                            ll[cells + s + 1 - first] += right[:, c]
+                        steps = steps[~fine]
+                for s in steps.tolist():
+                    ll += sums((small, block[small] - s - first, s * step + over[small]), p, eps, scale)
+                    ll += sums((small, block[small] + s + 1 - first, (s + 1) * step - over[small]), p, eps, scale)
+            out.append(ll)
+        for o in range(-m - 1, m + 2):
+            ones[cells + o - first] = 1
+        there = np.flatnonzero(ones)
+        there = there[(there + first >= 0) & (there + first < total)]
+        names = pa.array([rows["chrom"][0].as_py()] * (len(there) * len(thetas)), pa.string())
+        columns = [np.tile(there + first, len(thetas)), np.repeat(np.arange(len(thetas), dtype=np.int32), len(there)), np.concatenate([x[there] for x in out]), np.concatenate([ll0[b][there] for _, b, _ in thetas])]
+        return pa.table([names, *map(pa.array, columns)], names=["chrom", "i", "theta", "ll", "ll0"])
+
+    dealt = snps.filter("pos IS NOT NULL").withColumn("_group", F.floor((F.col("pos") - F.col("pmin")) / (step * GROUP)))
+    # Groups cost far more than their rows, so they are dealt to many tasks, however few bytes they are.
+    spark = snps.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    return dealt.repartition(tasks, "chrom", "_group").groupBy("chrom", "_group").applyInArrow(work, "chrom string, i long, theta int, ll double, ll0 double")
+
+
 def sums_by_grid(snps: DataFrame, rates: DataFrame, n_res: int, n_sus: int, step: int, window: int, eps: list[float], scales: list[float], background: list[float]) -> DataFrame:
     """``chrom, i, theta, ll, ll0``: log likelihoods at grid point i, summed over its window,
     for each pair theta of ``eps`` and ``scales``; ``background`` has an epsilon for each."""
@@ -97,7 +231,10 @@ def sums_by_grid(snps: DataFrame, rates: DataFrame, n_res: int, n_sus: int, step
     ready = ready.join(grid_bounds(snps, step), "chrom")
     ready = ready.join(rates, "chrom") if "chrom" in rates.columns else ready.crossJoin(F.broadcast(rates))  # one row
     ready = ready.select("chrom", "pos", "res_major", "n_res", "sus_major", "n_sus", "pmin", "points", "rate")
-    parts = ready.mapInArrow(work, "chrom string, i long, theta int, ll double, ll0 double")
+    if window >= WIDE * step:
+        parts = _wide_sums(ready, n_res, n_sus, step, window, thetas)
+    else:
+        parts = ready.mapInArrow(work, "chrom string, i long, theta int, ll double, ll0 double")
     return parts.groupBy("chrom", "i", "theta").agg(F.sum("ll").alias("ll"), F.sum("ll0").alias("ll0"))
 
 

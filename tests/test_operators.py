@@ -507,3 +507,23 @@ def test_simulated_pools_follow_the_curve(spark):
     off = made.agg(F.avg(F.col("pool_count") / 178 - (1 - podd)), F.avg(F.col("read_count") / 20 - F.col("pool_count") / 178), F.stddev(F.col("pool_count") / 178 - (1 - podd))).first()
     assert abs(off[0]) < 0.005 and abs(off[1]) < 0.01 and 0.02 < off[2] < 0.04
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, mapping.simulate_pools(places, 10_000_000, draws=10).collect()))
+
+
+def test_wide_windows_sum_as_pair_by_pair(spark, monkeypatch):
+    """Steps with many and without SNPs, SNPs on grid points, a large count, windows of whole and broken steps."""
+    import random
+
+    dice = random.Random(3)
+    places = [1000, 9_000] + [1000 + dice.choice([100 * dice.randint(0, 70), dice.randint(0, 900), dice.randint(0, 7900)]) for _ in range(400)]
+    rows = [(c, x, dice.randint(0, 40), dice.randint(0, 9), dice.randint(0, 15), dice.randint(0, 40)) for x in places for c in "AB"] + [("A", 3333, 400, 20, 5, 5), (None, 5, 1, 1, 1, 1)]
+    snps = spark.createDataFrame(rows, "chrom string, pos long, res_major int, res_minor int, sus_major int, sus_minor int")
+    rates = spark.createDataFrame([(2e-4,)], "rate double")
+    for window in (2000, 1650):
+        got = []
+        for wide in (16, 1000):
+            monkeypatch.setattr(mapping, "WIDE", wide)
+            found = mapping.sums_by_grid(snps, rates, 178, 280, 100, window, [1e-10, 1e-2, 1e-1], [0.1, 10.0], [1e-2, 1e-2, 1e-1])
+            assert ("FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()) == (wide == 16)
+            got.append({(r["chrom"], r["i"], r["theta"]): (r["ll"], r["ll0"]) for r in found.collect()})
+        assert got[0].keys() == got[1].keys() and len(got[0]) == 2 * 80 * 6
+        assert all(abs(x - y) < 1e-8 for k, v in got[1].items() for x, y in zip(v, got[0][k]))
