@@ -132,15 +132,30 @@ def uniform(*key: Column) -> Column:
 def binomial_draw(n: int, p: Column, u: Column) -> Column:
     """The number of successes of ``n`` trials whose cumulated probability is the first to reach
     ``u``; terms follow from each other, so ``p`` should not be near to 1 for large n."""
-    first = F.pow(1 - p, F.lit(n))
-    start = F.struct(first.alias("term"), first.alias("sum"), F.lit(0).alias("k"))
-    odds = F.try_divide(p, 1 - p)
+    return F.pandas_udf(lambda p, u: pd.Series(draw_binomial(n, p.to_numpy(float), u.to_numpy(float))), "int")(p, u)
+
+
+def draw_binomial(n: int, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The same over arrays: a term at a time for all that have not reached ``u``."""
+    out = np.zeros(len(p), np.int32)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore", under="ignore"):
+        for part in (slice(at, at + DRAWS) for at in range(0, len(p), DRAWS)):
+            odds, aim, k = p[part] / (1 - p[part]), u[part], out[part]
+            term = (1 - p[part]) ** n
+            total = term.copy()
+            for i in range(1, n + 1):
+                open_ = ~(total >= aim)
+                if not open_.any():
+                    break
+                k += open_
+                term = term * odds * (n - i + 1) / i
+                total += term
+            k[p[part] >= 1] = n
+    return out
 
-    def more(a: Column, i: Column) -> Column:
-        term = a["term"] * odds * (n - i + 1) / i
-        return F.when(a["sum"] >= u, a).otherwise(F.struct(term.alias("term"), (a["sum"] + term).alias("sum"), i.alias("k")))
 
-    return F.when(p >= 1, F.lit(n)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, more, lambda a: a["k"]))
+#: Draws that are made together.
+DRAWS = 1 << 12
 
 
 def expected_at(x: Column, locus: float, rate: float, pool: float) -> list[Column]:

@@ -527,3 +527,31 @@ def test_wide_windows_sum_as_pair_by_pair(spark, monkeypatch):
             got.append({(r["chrom"], r["i"], r["theta"]): (r["ll"], r["ll0"]) for r in found.collect()})
         assert got[0].keys() == got[1].keys() and len(got[0]) == 2 * 80 * 6
         assert all(abs(x - y) < 1e-8 for k, v in got[1].items() for x, y in zip(v, got[0][k]))
+
+
+def test_binomial_draws_are_made_together():
+    """As term by term, with certain and impossible successes; no plan repeats a term for each row."""
+    import numpy as np
+
+    dice = np.random.default_rng(4)
+    p, u = np.concatenate(([0.0, 1.0, 0.5], dice.random(9000))), np.concatenate(([0.3, 0.3, 0.0], dice.random(9000)))
+    for n in (20, 178):
+        got = T.draw_binomial(n, p * 0.9 if n > 20 else p, u)
+        for x, y, k in zip((p * 0.9 if n > 20 else p).tolist(), u.tolist(), got.tolist()):
+            term = total = (1 - x) ** n
+            want = 0
+            while total < y and want < n and x < 1:
+                want += 1
+                term = term * (x / (1 - x)) * (n - want + 1) / want
+                total += term
+            assert k == (n if x >= 1 else want)
+
+
+def test_many_features_are_not_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([("v", "1", 5, "S", 1)], "vid string, chrom string, pos long, vartype string, len int")
+    features = spark.createDataFrame([(1, "1", 1, 9), (2, "1", 5, 5), (3, "1", 6, 9)], "f_id long, chrom string, f_start long, f_end long")
+    for most in (2, 3):
+        monkeypatch.setattr(overlap, "BROADCAST_FEATURES", most)
+        found = overlap.features_of(rows, features)
+        assert sorted(r["f_id"] for r in found.collect()) == [1, 2]
+        assert ("MERGE" in found._jdf.queryExecution().analyzed().toString().upper()) == (most == 2)
