@@ -555,3 +555,18 @@ def test_many_features_are_not_broadcast(spark, monkeypatch):
         found = overlap.features_of(rows, features)
         assert sorted(r["f_id"] for r in found.collect()) == [1, 2]
         assert ("MERGE" in found._jdf.queryExecution().analyzed().toString().upper()) == (most == 2)
+
+
+def test_words_are_counted_where_they_are_read(spark):
+    """Odd sizes, other letters in words and sequences, words that read alike both ways, short and empty chunks."""
+    dice = random.Random(9)
+    chunks = ["".join(dice.choices("ACGTN", [8, 8, 8, 8, 1], k=dice.randint(0, 60))) for _ in range(200)] + ["NNNNNNNNNNNN", "ACGTACGTACGT", "ACéGTACGTA", None, "A"]
+    frame = spark.createDataFrame([(x,) for x in chunks], "chunk_seq string")
+    turn = str.maketrans("ACGT", "TGCA")
+    for size in (1, 3, 4, 7, 28):
+        asked = {x[i : i + size] for x in chunks if x for i in range(0, max(0, len(x) - size + 1), 5)} | {"ACGT"[:size], "N" * size, "T" * size}
+        asked = {x for x in asked if len(x) == size and x.isascii()}
+        found = primers.matches(spark.createDataFrame([(x,) for x in asked], "primer string"), frame, size)
+        assert ("MapInArrow" in found._jdf.queryExecution().executedPlan().toString()) == (size <= primers.PACKED)
+        words = [x[i : i + size] for x in chunks if x for i in range(len(x) - size + 1)]
+        assert {r["primer"]: r["hits"] for r in found.collect()} == {p: sum(w in {p, p[::-1].translate(turn)} for w in words) for p in asked}
